@@ -13,10 +13,11 @@ from functools import cache
 
 import numpy as np
 
-#: Pre-tokens that a worker keeps.
-CACHE_WORDS = 700_000
-#: Code points for which the splitting engines' notions of white space differ: such texts go to the library whole.
-_ODD = "[\x1c-\x1f\x85\u180e]"
+#: Units that a worker keeps.
+CACHE_UNITS = 400_000
+
+#: What `runs` looks for, where a text has nothing but words, full stops, commas, spaces and line feeds.
+_PAIRS = [a + b for a in " \n" for b in " \n.,"] + [a + b for a in ".," for b in ".,"]
 
 
 def default_vocabulary() -> str:
@@ -26,7 +27,16 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
+    """Splits texts into units, so that no pre-token lies in two of them, and encodes each unit once.
+
+    The patterns of byte-level BPE take one space with what follows it, and end a run of letters, digits or other marks
+    where another kind begins. Where white space, full stops and commas of a text stand alone, between words, units
+    begin at each of them; these are plain string operations. Other texts are split by the pattern itself.
+    """
+
     def __init__(self, vocabulary: str, pattern: str | None = None):
+        import re
+
         import regex
         from tokenizers import Tokenizer
 
@@ -37,82 +47,113 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.split = regex.compile(pattern).findall
-        self.odd = regex.compile(_ODD).search
-        self._reset()
-
-    def _reset(self):
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
-
-    def _room(self, words: int, ids: int):
-        while len(self.index) + words > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        while self.used + ids > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-
-    def _learn(self, words: list[str]):
-        """Adds words that are not in the cache."""
-        ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        self._room(len(words), len(flat))
+        self.pattern = regex.compile(pattern).findall
+        self.runs = re.compile(r"\s[\s.,]|[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]").search
+        self.plain = re.compile(r"[^\w \n.,]|_").search  # finds nothing in texts of words, full stops and commas
+        self.odd = re.compile("[\x00\x01\x1c-\x1f\x85\u180e]").search  # the first two mark keys; the rest is white space to some engines only
+        vocab = self.library.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
+        for token, i in vocab.items():
+            self.leads[i] = token.startswith("\u0120")
+        self._hold({}, np.zeros(1 << 16, np.uint32), np.zeros(0, np.int32))
+
+    def _hold(self, index: dict[str, int], flat: np.ndarray, length: np.ndarray):
+        self.index, self.flat = index, flat
+        self.used = int(length.sum())
+        self.length = np.zeros(max(1 << 16, 2 * len(length)), np.int32)
+        self.length[: len(length)] = length
+        self.start = np.zeros(len(self.length), np.int32)
+        self.start[: len(length)] = np.cumsum(length) - length
+        self.hits = np.zeros(len(self.length), np.int32)
+
+    def _trim(self):
+        """Keeps the units that were met again, the most frequent half of the cache at most."""
         n = len(self.index)
+        hits = self.hits[:n]
+        least = max(2, int(np.partition(hits, -CACHE_UNITS // 2)[-CACHE_UNITS // 2]) + 1) if n > CACHE_UNITS // 2 else 2
+        keep = hits >= least
+        length = self.length[:n][keep]
+        place = np.arange(int(length.sum())) + np.repeat(self.start[:n][keep] - (np.cumsum(length) - length), length)
+        units = [u for u, k in zip(self.index, keep.tolist(), strict=True) if k]
+        self._hold(dict(zip(units, range(len(units)), strict=True)), np.concatenate([self.flat[place], np.zeros(1 << 16, np.uint32)]), length)
+
+    def _learn(self, keys: list[str]):
+        """Adds units. Words with their space go to the library as one text, whose ids part where a token leads with a space."""
+        words = [k for k in keys if k.isalpha()]
+        if len(words) > 1:
+            flat = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            first = np.flatnonzero(self.leads[flat])
+            if len(first) == len(words):
+                self._add(words, flat, np.diff(np.append(first, len(flat))).astype(np.int32))
+                keys = [k for k in keys if not k.isalpha()]
+        if keys:
+            units = [k[1:] if k[:1] in "\0\1" and k else " " + k for k in keys]
+            ids = [x.ids for x in self.library.encode_batch_fast(units, add_special_tokens=False)]
+            length = np.fromiter(map(len, ids), np.int32, len(ids))
+            self._add(keys, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum())), length)
+
+    def _add(self, keys: list[str], flat: np.ndarray, length: np.ndarray):
+        n, m = len(self.index), len(keys)
+        if n + m > len(self.start):
+            more = np.zeros(max(m, len(self.start)), np.int32)
+            self.start, self.length, self.hits = (np.concatenate([x, more]) for x in (self.start, self.length, self.hits))
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), np.uint32)])
         self.flat[self.used : self.used + len(flat)] = flat
-        self.length[n : n + len(words)] = lengths
-        self.start[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + m] = length
+        self.start[n : n + m] = self.used + np.cumsum(length) - length
         self.used += len(flat)
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def _indexes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > CACHE_WORDS:
-            self._reset()
-        split = [self.split(x) if not self.odd(x) else None for x in texts]
-        counts = np.array([len(x) if x is not None else 0 for x in split], np.int64)
-        words = list(itertools.chain.from_iterable(x for x in split if x))
-        at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int32, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys(words[i] for i in missing)))
-            at[missing] = [self.index[words[i]] for i in missing]
-        for i, x in enumerate(split):
-            if x is None:
-                counts[i] = -1
+        self.index.update(zip(keys, range(n, n + m), strict=True))
+
+    def _keys(self, text: str) -> list[str]:
+        """A key for each unit: a unit without the space that it begins with, or a mark and the unit."""
+        if self.plain(text) is None:
+            whole = any(x in text for x in _PAIRS)
+        elif self.odd(text):
+            return ["\0" + text]
+        else:
+            whole = self.runs(text)
+        if whole:
+            return ["\0" + x for x in self.pattern(text)]
+        return ("\1" + text).replace("\n", " \1\n").replace(".", " \1.").replace(",", " \1,").split(" ")
+
+    def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The cache's number of each unit, text after text; and the number of units of each text."""
+        if len(self.index) > CACHE_UNITS:
+            self._trim()
+        keyed = [self._keys(t) for t in texts]
+        counts = np.fromiter(map(len, keyed), np.int64, len(keyed))
+        keys = list(itertools.chain.from_iterable(keyed))
+        at = np.fromiter(map(self.index.get, keys, itertools.repeat(-1)), np.int32, len(keys))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = [keys[i] for i in missing]
+            self._learn(list(dict.fromkeys(new)))
+            at[missing] = [self.index[k] for k in new]
+        n = len(self.index)
+        self.hits[:n] += np.bincount(at, minlength=n).astype(np.int32)
         return at, counts
 
     def lengths(self, texts: list[str]) -> np.ndarray:
         """Number of ids of each text."""
-        at, counts = self._indexes(texts)
-        done = np.concatenate([[0], np.cumsum(self.length[at])])
-        end = np.cumsum(np.maximum(counts, 0))
-        out = done[end] - done[end - np.maximum(counts, 0)]
-        for i in np.flatnonzero(counts < 0):
-            out[i] = len(self.library.encode(texts[i], add_special_tokens=False).ids)
-        return out
+        at, counts = self._look_up(texts)
+        done = np.concatenate([[0], np.cumsum(self.length[at], dtype=np.int64)])
+        stop = np.cumsum(counts)
+        return done[stop] - done[stop - counts]
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one uint32 array, the id `end` after each text if given; and the number of ids of each text."""
-        at, counts = self._indexes(texts)
+        at, counts = self._look_up(texts)
         n = self.length[at]
-        total = int(n.sum())
-        place = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
+        done = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        stop = np.cumsum(counts)
+        lengths = done[stop] - done[stop - counts]
+        place = np.repeat(self.start[at] - done[:-1].astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
         flat = self.flat[place]
-        done = np.concatenate([[0], np.cumsum(n)])
-        stop = np.cumsum(np.maximum(counts, 0))
-        lo, hi = done[stop - np.maximum(counts, 0)], done[stop]
-        tail = [] if end is None else [np.array([end], np.uint32)]
-        if end is None and not (counts < 0).any():
-            return flat, hi - lo
-        parts, lengths = [], np.empty(len(texts), np.int64)
-        for i in range(len(texts)):
-            own = flat[lo[i] : hi[i]] if counts[i] >= 0 else np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-            parts += [own, *tail]
-            lengths[i] = len(own) + len(tail)
-        return (np.concatenate(parts) if parts else flat), lengths
+        if end is None:
+            return flat, lengths
+        return np.insert(flat, done[stop], np.uint32(end)), lengths + 1
 
 
 @cache
