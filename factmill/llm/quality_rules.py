@@ -2,9 +2,9 @@
 
 Only DataFrame functions run. document_statistics() computes everything inside a row (no shuffle), votes() turns the
 statistics into votes of +1 (good), -1 (bad) or 0 (abstains). Documents are counted by their votes, at most
-3 ** len(RULES) rows whatever the input; EM for a one-coin model (each rule has one accuracy, abstentions carry no
-evidence) is a fold over that frame's single row of counts. The result, a prior and an accuracy for each rule, becomes
-literals of the plan that scores each document.
+3 ** len(RULES) rows whatever the input; EM for a two-coin model (each rule has an accuracy on good documents and one on bad documents, since a rule
+knows one kind of fault and passes the others; abstentions carry no evidence) is a fold over that frame's single row of
+counts. The result, a prior and two accuracies for each rule, becomes literals of the plan that scores each document.
 
 Null and empty texts have no words: all counts 0, base_failed, not kept. Ties at posterior 0.5 are kept. Copies count as
 often as they occur. Very long texts cost n log n in their number of words. Over an empty table nothing is estimated
@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Rounds of EM, and the bounds that keep a rule's accuracy that of a helpful rule.
-ROUNDS, WORST, BEST = 25, 0.55, 0.995
-PRIOR, ACCURACY = 0.7, 0.8
+#: Rounds of EM; where it starts: share of good documents, a rule's accuracy on good and on bad documents.
+ROUNDS, PRIOR, ON_GOOD, ON_BAD = 25, 0.7, 0.999, 0.25
+#: A rule says bad only where good documents hardly come: EM may not take it to err on more of them than this leaves.
+LEAST_ON_GOOD = 0.999
+#: Votes of each kind that every rule is taken to have cast beforehand.
+PSEUDO = 0.5
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -42,10 +45,10 @@ c = F.col
 RULES = [
     Rule("symbols", lambda: c("n_symbols") * 10 > c("n_words"), lambda: c("n_symbols") * 100 <= c("n_words")),
     Rule("repeated_words", lambda: c("n_repeat_words") * 100 > c("n_words") * 30, lambda: c("n_repeat_words") * 100 <= c("n_words") * 10),
-    Rule("repeated_lines", lambda: c("n_dup_lines") * 10 > c("n_lines") * 3, lambda: (c("n_dup_lines") == 0) & (c("n_lines") > 1)),
+    Rule("repeated_lines", lambda: (c("n_dup_lines") * 10 > c("n_lines") * 4) & (c("n_dup_lines") > 2), lambda: (c("n_dup_lines") == 0) & (c("n_lines") > 1)),
     Rule("word_length", lambda: (c("word_chars") > c("n_words") * 10) | (c("word_chars") * 2 < c("n_words") * 5), lambda: (c("word_chars") * 2 <= c("n_words") * 13) & (c("word_chars") * 2 >= c("n_words") * 7)),
     Rule("upper_case", lambda: c("n_upper") * 10 > c("word_chars") * 3, lambda: c("n_upper") * 10 <= c("word_chars")),
-    Rule("line_ends", lambda: c("n_ended_lines") * 5 < c("n_lines"), lambda: c("n_ended_lines") * 10 >= c("n_lines") * 8),
+    Rule("line_ends", lambda: (c("n_ended_lines") * 5 < c("n_lines")) & (c("n_lines") > 4), lambda: c("n_ended_lines") * 10 >= c("n_lines") * 8),
     Rule("variety", lambda: (c("n_distinct_words") * 10 < c("n_words") * 3) & (c("n_words") <= 2000), lambda: c("n_distinct_words") * 10 >= c("n_words") * 6),
 ]
 
@@ -77,7 +80,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         F.when(F.size("w") < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))).alias("h"),
     )
     t = t.withColumn("s", _repeated(c("h"), c("n_words"))).drop("h")
-    near = F.filter("s", lambda x, k: (F.get("s.h", k - 1) == x["h"]) | (F.get("s.h", k + 1) == x["h"]))
+    near = F.filter("s", lambda x, k: (F.get("s", k - 1)["h"] == x["h"]) | (F.get("s", k + 1)["h"] == x["h"]))
     t = t.withColumn("p", F.sort_array(F.transform(near, lambda x: x["i"]))).drop("s")
     gaps = F.transform("p", lambda x, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), x - F.get("p", k - 1))))
     return t.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)).drop("p")
@@ -92,48 +95,51 @@ def votes(statistics: DataFrame) -> DataFrame:
     return statistics.withColumns({f"v_{r.name}": F.when(r.bad(), F.lit(-1)).when(r.good(), F.lit(1)).otherwise(F.lit(0)).cast("int") for r in RULES})
 
 
+def _weight(v: Column, on_good: Column, on_bad: Column) -> Column:
+    """Log odds for good that a vote gives."""
+    return F.when(v == 1, F.log(on_good / (1 - on_bad))).when(v == -1, F.log((1 - on_good) / on_bad)).otherwise(F.lit(0.0))
+
+
 def estimate(voted: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
-    """EM over the counts of vote patterns: {"prior": share of good documents, rule: accuracy, ...}."""
+    """EM over the counts of vote patterns: {"prior": share of good documents, rule: (accuracy on good, on bad), ...}."""
     names = [f"v_{r.name}" for r in RULES]
+    at = range(len(names))
     patterns = voted.groupBy(*names).agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct(F.array(*names).alias("v"), "n"))).alias("p"))
 
-    def logit(x: Column) -> Column:
-        return F.log(x / (1 - x))
-
-    def score(state: Column, v: Column) -> Column:
-        z = reduce(lambda a, b: a + b, [F.get(v, F.lit(j)) * logit(state["a"][j]) for j in range(len(names))], logit(state["prior"]))
-        return 1 / (1 + F.exp(-z))
+    def zeros() -> Column:
+        return F.array(*[F.lit(0.0) for _ in at])
 
     def step(state: Column, _: Column) -> Column:
-        q = F.transform("p", lambda x: F.struct(x["n"].alias("n"), x["v"].alias("v"), score(state, x["v"]).alias("q")))
-        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("g"), F.array(*[F.lit(0.0)] * len(names)).alias("ok"), F.array(*[F.lit(0.0)] * len(names)).alias("all"))
+        def with_posterior(x: Column) -> Column:
+            z = reduce(lambda a, b: a + b, [_weight(F.get(x["v"], F.lit(j)), state["g"][j], state["b"][j]) for j in at], F.log(state["prior"] / (1 - state["prior"])))
+            return F.struct(x["n"].alias("n"), x["v"].alias("v"), (x["n"] / (1 + F.exp(-z))).alias("good"))
 
         def add(s: Column, x: Column) -> Column:
-            voted_, agrees = [], []
-            for j in range(len(names)):
-                v = F.get(x["v"], F.lit(j))
-                voted_.append(s["all"][j] + F.when(v == 0, F.lit(0.0)).otherwise(x["n"]))
-                agrees.append(s["ok"][j] + x["n"] * F.when(v == 1, x["q"]).when(v == -1, 1 - x["q"]).otherwise(F.lit(0.0)))
-            return F.struct((s["n"] + x["n"]).alias("n"), (s["g"] + x["n"] * x["q"]).alias("g"), F.array(*agrees).alias("ok"), F.array(*voted_).alias("all"))
+            bad = x["n"] - x["good"]
+
+            def each(name: str, vote: Column, share: Column) -> Column:
+                return F.array(*[s[name][j] + F.when(F.get(x["v"], F.lit(j)) == vote, share).otherwise(F.lit(0.0)) for j in at]).alias(name)
+
+            return F.struct((s["n"] + x["n"]).alias("n"), (s["good"] + x["good"]).alias("good"), each("gg", F.lit(1), x["good"]), each("gb", F.lit(-1), x["good"]), each("bg", F.lit(1), bad), each("bb", F.lit(-1), bad))
 
         def updated(s: Column) -> Column:
-            a = [F.when(s["all"][j] > 0, F.least(F.greatest(s["ok"][j] / F.greatest(s["all"][j], F.lit(1e-9)), F.lit(WORST)), F.lit(BEST))).otherwise(F.lit(ACCURACY)) for j in range(len(names))]
-            return F.struct(F.least(F.greatest(s["g"] / F.greatest(s["n"], F.lit(1e-9)), F.lit(0.01)), F.lit(0.99)).alias("prior"), F.array(*a).alias("a"))
+            g = [F.greatest((s["gg"][j] + PSEUDO) / (s["gg"][j] + s["gb"][j] + 2 * PSEUDO), F.lit(LEAST_ON_GOOD)) for j in at]
+            b = [(s["bb"][j] + PSEUDO) / (s["bb"][j] + s["bg"][j] + 2 * PSEUDO) for j in at]
+            return F.struct(((s["good"] + PSEUDO) / (s["n"] + 2 * PSEUDO)).alias("prior"), F.array(*g).alias("g"), F.array(*b).alias("b"))
 
-        return F.aggregate(q, zero, add, updated)
+        start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("good"), *[zeros().alias(x) for x in ("gg", "gb", "bg", "bb")])
+        return F.aggregate(F.transform("p", with_posterior), start, add, updated)
 
-    start = F.struct(F.lit(PRIOR).alias("prior"), F.array(*[F.lit(ACCURACY)] * len(names)).alias("a"))
+    start = F.struct(F.lit(PRIOR).alias("prior"), F.array(*[F.lit(ON_GOOD) for _ in at]).alias("g"), F.array(*[F.lit(ON_BAD) for _ in at]).alias("b"))
     state = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("s")).first()["s"]
-    return {"prior": state["prior"]} | dict(zip([r.name for r in RULES], state["a"], strict=True))
+    return {"prior": state["prior"]} | {r.name: (state["g"][j], state["b"][j]) for j, r in enumerate(RULES)}
 
 
-def posterior(model: dict[str, float]) -> Column:
+def posterior(model: dict) -> Column:
     """Probability that a voted document is good."""
-    from math import log
-
-    z = reduce(lambda a, b: a + b, [c(f"v_{r.name}") * F.lit(log(model[r.name] / (1 - model[r.name]))) for r in RULES], F.lit(log(model["prior"] / (1 - model["prior"]))))
-    return 1 / (1 + F.exp(-z))
+    z = [_weight(c(f"v_{r.name}"), F.lit(model[r.name][0]), F.lit(model[r.name][1])) for r in RULES]
+    return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, z, F.log(F.lit(model["prior"] / (1 - model["prior"]))))))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 Features are the n-grams (MIN_N to MAX_N characters, lower case, white space runs as one space, a space at either end) that a
 text has, hashed into BUCKETS. fit() takes labelled rows outside the held-out fifth: at most MAX_ROWS of each class,
 those with the least hash of doc_id. From them it counts, per bucket and class, the texts that have it; the counts give each
-bucket's log-count ratio r. The FEATURES buckets that tell the classes apart best (greatest likelihood ratio statistic)
+bucket's log-count ratio r. At most FEATURES buckets that tell the classes apart best (greatest likelihood ratio statistic, above LEAST)
 are kept, each scaled by its r, and a logistic regression with an L2 penalty is fitted to them by accelerated gradient descent.
 Counts come to the driver as one dense pair of vectors for each of TASKS tasks, and the training matrix as one bit for
-each row and feature: both have a fixed bound. The class weights follow the classes' shares among all labelled rows.
+each row and feature: both have a fixed bound. A class
+weighs as the square root of its labelled rows, so a rare class is not drowned.
 
 score() reads each whole text once, in a map without shuffle; its broadcast is one float for each bucket.
 
@@ -32,7 +33,9 @@ MIN_N, MAX_N = 3, 5
 BUCKETS = 1 << 18
 #: Labelled rows of each class that the classifier is fitted on at most.
 MAX_ROWS = 4000
-FEATURES = 8192
+FEATURES = 4096
+#: Likelihood ratio statistic that a feature needs: chance alone exceeds it in about one of 600 cases.
+LEAST = 10.0
 TASKS = 8
 SMOOTHING, PENALTY, ROUNDS = 1.0, 1e-3, 150
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -175,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     r = np.log(p[1] / p[0])
     g = _statistic(k, n)
     chosen = np.sort(np.argsort(-g, kind="stable")[:FEATURES])
-    chosen = chosen[g[chosen] > 0]
+    chosen = chosen[g[chosen] > LEAST]
     if not len(chosen):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(counts[1] / counts[0])))
     bits, y = [], []
@@ -184,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         y.append(row.label)
     y = np.array(y, float)
     x = np.unpackbits(np.stack(bits), axis=1, count=len(chosen))
-    class_weight = np.array([counts[0] / n[0], counts[1] / n[1]])
+    class_weight = np.sqrt([counts[0], counts[1]]) / n
     weight = class_weight[y.astype(int)] / (class_weight * n).sum()
     w, c = _logistic(x, r[chosen], y, weight)
     weights = np.zeros(BUCKETS, np.float32)

@@ -52,16 +52,23 @@ def test_em_against_plain(spark):
     voted = q.votes(q.document_statistics(frame(spark))).cache()
     got = q.estimate(voted)
     names = [r.name for r in q.RULES]
-    rows = [[r[f"v_{n}"] for n in names] for r in voted.collect()]
-    prior, a = q.PRIOR, [q.ACCURACY] * len(names)
+    rows = [[r[f"v_{n}"] for n in names] for r in voted.collect()]  # as the plain loop below takes them
+    prior, acc = q.PRIOR, [(q.ON_GOOD, q.ON_BAD)] * len(names)
     for _ in range(q.ROUNDS):
-        p = [1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(v * math.log(x / (1 - x)) for v, x in zip(r, a, strict=True)))) for r in rows]
+        p = []
+        for r in rows:
+            z = math.log(prior / (1 - prior))
+            for v, (g, b) in zip(r, acc, strict=True):
+                z += math.log(g / (1 - b)) if v > 0 else math.log((1 - g) / b) if v < 0 else 0
+            p.append(1 / (1 + math.exp(-z)))
+        new = []
         for j in range(len(names)):
-            on = [(r[j], x) for r, x in zip(rows, p, strict=True) if r[j]]
-            a[j] = min(max(sum(x if v > 0 else 1 - x for v, x in on) / len(on), q.WORST), q.BEST) if on else q.ACCURACY
-        prior = min(max(sum(p) / len(p), 0.01), 0.99)
-    assert got["prior"] == pytest.approx(prior, rel=1e-9)
-    assert [got[n] for n in names] == pytest.approx(a, rel=1e-9)
+            s = {(v, y): sum((x if y else 1 - x) for r, x in zip(rows, p, strict=True) if r[j] == v) + q.PSEUDO for v in (1, -1) for y in (0, 1)}
+            new.append((max(s[1, 1] / (s[1, 1] + s[-1, 1]), q.LEAST_ON_GOOD), s[-1, 0] / (s[-1, 0] + s[1, 0])))
+        acc, prior = new, (sum(p) + q.PSEUDO) / (len(p) + 2 * q.PSEUDO)
+    assert got["prior"] == pytest.approx(prior, rel=1e-6)
+    for n, a in zip(names, acc, strict=True):
+        assert got[n[2:] if n.startswith("v_") else n] == pytest.approx(a, rel=1e-6)
 
 
 def test_empty(spark):
