@@ -79,6 +79,7 @@ class Shard:
     terms: dict[bytes, int]
     bounds: np.ndarray
     positions: np.ndarray
+    carried: pa.Array | None = None
 
     @classmethod
     def build(cls, rows, doc_ids, split: list[list[bytes]], vocabulary: dict[bytes, int] | None) -> Shard:
@@ -138,22 +139,33 @@ class Shard:
 
 def _shards(vocabulary, shard_bytes: int, batches):
     rows, keys, split, size = [], [], [], 0
+    carried = []
+
+    def closed():
+        shard = Shard.build(rows, keys, split, vocabulary)
+        shard.carried = pa.concat_arrays(carried) if carried else None
+        carried.clear()
+        return shard
+
     for batch in batches:
         for piece in pieces(batch, "text"):
             own = texts(piece)
+            if piece.num_columns > 3:
+                carried.append(piece.column(3))
             keys += piece.column(0).to_pylist()
             rows += piece.column(2).to_pylist()
             split += map(words, own)
             size += sum(map(len, own))
             if size >= shard_bytes:
-                yield Shard.build(rows, keys, split, vocabulary)
+                yield closed()
                 rows, keys, split, size = [], [], [], 0
     if keys:
-        yield Shard.build(rows, keys, split, vocabulary)
+        yield closed()
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+def _rows(docs: DataFrame, carry: bool = False) -> DataFrame:
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), *own)
 
 
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -216,8 +228,8 @@ def _matched(shards, phrases: Phrases, slop: int | None):
         for lo in range(0, n, 4096):
             at = range(lo, min(n, lo + 4096))
             yield pa.record_batch(
-                [pa.array([s.doc_ids[i] for i in at], pa.int64()), pa.array(s.n_words[lo : lo + 4096]), pa.array([sorted(items.get(i, ())) for i in at], pa.list_(pa.string())), pa.array([spans.get(i, []) for i in at], kind), pa.array(s.rows[lo : lo + 4096], pa.int64())],
-                names=["doc_id", "n_words", "items", "spans", "row"],
+                [pa.array([s.doc_ids[i] for i in at], pa.int64()), pa.array(s.n_words[lo : lo + 4096]), pa.array([sorted(items.get(i, ())) for i in at], pa.list_(pa.string())), pa.array([spans.get(i, []) for i in at], kind), pa.array(s.rows[lo : lo + 4096], pa.int64()), *([] if s.carried is None else [s.carried.slice(lo, 4096)])],
+                names=["doc_id", "n_words", "items", "spans", "row", *([] if s.carried is None else ["carried"])],
             )
 
 
@@ -243,19 +255,22 @@ def _united(found: list[DataFrame]) -> DataFrame:
         grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
         return F.when((F.size(a) > 0) & (x["start"] <= F.try_element_at(a, F.lit(-1))["stop"]), grown).otherwise(F.concat(a, F.array(x)))
 
-    g = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
-    return g.select("doc_id", "n_words", "items", F.aggregate("s", F.array().cast("array<struct<start:bigint,stop:bigint>>"), merge).alias("spans"))
+    own = [F.first("carried").alias("carried")] if "carried" in every.columns else []
+    g = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), *own)
+    return g.select(*(["carried"] if own else []), "doc_id", "n_words", "items", F.aggregate("s", F.array().cast("array<struct<start:bigint,stop:bigint>>"), merge).alias("spans"))
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, items, spans of every document, indexed and searched in one go."""
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """doc_id, n_words, items, spans of every document, indexed and searched in one go; carry: and its row, in a struct `carried`."""
 
     def go(phrases, batches):
         known = phrases.value
         return _matched(_shards(known.terms, SHARD_BYTES, batches), known, slop)
 
     sc = docs.sparkSession.sparkContext
-    return _united([_rows(docs).mapInArrow(partial(go, sc.broadcast(p)), _MATCHES) for p in _blocks(items, window, block_bytes)])
+    rows = _rows(docs, carry)
+    schema = _MATCHES + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else "")
+    return _united([rows.mapInArrow(partial(go, sc.broadcast(p)), schema) for p in _blocks(items, window, block_bytes)])
 
 
 def index_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -279,6 +294,12 @@ def contamination(matches: DataFrame) -> DataFrame:
     return m.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated."""
+    found = contamination(phrase_matches(docs, items, carry=True))
+    return found.where(~F.col("contaminated")).select("carried.*")
+
+
 def op3_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = contamination(phrase_matches(docs, items))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -27,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, pieces, texts
 
 RADIUS = 3
+_NO_ID = (1 << 63) - 1
 #: Bit ranges; any RADIUS differing bits leave two of them equal.
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 #: (query, node) pairs that a lookup handles at once.
@@ -276,5 +278,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     return prints.join(of, "fp")
 
 
+def with_fingerprint(docs: DataFrame, column: str, words: int = 3) -> DataFrame:
+    """All columns of docs and the fingerprint."""
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+
+    def go(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text", 1 << 20):
+                yield pa.record_batch([*piece.columns, pa.array(_prints(texts(piece), words).view(np.int64))], names=[*piece.schema.names, column])
+
+    return rows.mapInArrow(go, StructType([*rows.schema.fields, StructField(column, LongType())]))
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, of each component only one: that of the least doc_id, and of its rows that of the least fingerprint."""
+    key, print_ = next((f"{p}key", f"{p}print") for p in ("", "_", "__", "___") if not {f"{p}key", f"{p}print"} & {*docs.columns})
+    found = near_duplicates(docs, words, radius)
+    null_last = F.coalesce("doc_id", F.lit(_NO_ID))
+    kept = found.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("n")).agg(F.min(F.struct(null_last.alias(key), F.col("fp").alias(print_))).alias("k")).select("k.*")
+    rows = with_fingerprint(docs, print_, words).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    return rows.join(kept, [key, print_]).dropDuplicates([key, print_]).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op7_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
