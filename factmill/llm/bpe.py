@@ -12,12 +12,16 @@ import os
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units that a worker keeps.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 600_000
 
-#: What `runs` looks for, where a text has nothing but words, full stops, commas, spaces and line feeds.
-_PAIRS = [a + b for a in " \n" for b in " \n.,"] + [a + b for a in ".," for b in ".,"]
+#: The vocabulary's pattern without its look-ahead, which matters where white space is followed by white space only.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
+#: Texts that it does not split exactly: with neighbouring white space, or characters that are white space beyond ASCII's or a mark.
+_NOT_PLAIN = r"[ \t\n\f\r][ \t\n\f\r]|[\x00\x01\x0b\x1c-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def default_vocabulary() -> str:
@@ -27,11 +31,10 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Splits texts into units, so that no pre-token lies in two of them, and encodes each unit once.
+    """Splits texts into pre-tokens and encodes each one once.
 
-    The patterns of byte-level BPE take one space with what follows it, and end a run of letters, digits or other marks
-    where another kind begins. Where white space, full stops and commas of a text stand alone, between words, units
-    begin at each of them; these are plain string operations. Other texts are split by the pattern itself.
+    Texts without neighbouring white space are split and their pre-tokens counted by Arrow's string functions, and
+    Python sees the distinct ones only. Other texts are split by the vocabulary's pattern itself.
     """
 
     def __init__(self, vocabulary: str, pattern: str | None = None):
@@ -48,9 +51,8 @@ class Encoder:
         self.library = Tokenizer.from_file(vocabulary)
         self.library.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.pattern = regex.compile(pattern).findall
-        self.runs = re.compile(r"\s[\s.,]|[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]").search
-        self.plain = re.compile(r"[^\w \n.,]|_").search  # finds nothing in texts of words, full stops and commas
-        self.odd = re.compile("[\x00\x01\x1c-\x1f\x85\u180e]").search  # the first two mark keys; the rest is white space to some engines only
+        # the first marks keys; the rest is white space to some engines only
+        self.odd = re.compile("[\x00\x01\x1c-\x1f\x85\u180e]").search
         vocab = self.library.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
         for token, i in vocab.items():
@@ -77,23 +79,22 @@ class Encoder:
         units = [u for u, k in zip(self.index, keep.tolist(), strict=True) if k]
         self._hold(dict(zip(units, range(len(units)), strict=True)), np.concatenate([self.flat[place], np.zeros(1 << 16, np.uint32)]), length)
 
-    def _learn(self, keys: list[str]):
+    def _learn(self, units: list[str]):
         """Adds units. Words with their space go to the library as one text, whose ids part where a token leads with a space."""
-        words = [k for k in keys if k.isalpha()]
+        words = [u for u in units if u[:1] == " " and u[1:].isalpha()]
         if len(words) > 1:
-            flat = np.array(self.library.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            flat = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
             first = np.flatnonzero(self.leads[flat])
             if len(first) == len(words):
                 self._add(words, flat, np.diff(np.append(first, len(flat))).astype(np.int32))
-                keys = [k for k in keys if not k.isalpha()]
-        if keys:
-            units = [k[1:] if k[:1] in "\0\1" and k else " " + k for k in keys]
-            ids = [x.ids for x in self.library.encode_batch_fast(units, add_special_tokens=False)]
+                units = [u for u in units if not (u[:1] == " " and u[1:].isalpha())]
+        if units:
+            ids = [x.ids for x in self.library.encode_batch_fast([u[1:] if u[:1] == "\0" else u for u in units], add_special_tokens=False)]
             length = np.fromiter(map(len, ids), np.int32, len(ids))
-            self._add(keys, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum())), length)
+            self._add(units, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(length.sum())), length)
 
-    def _add(self, keys: list[str], flat: np.ndarray, length: np.ndarray):
-        n, m = len(self.index), len(keys)
+    def _add(self, units: list[str], flat: np.ndarray, length: np.ndarray):
+        n, m = len(self.index), len(units)
         if n + m > len(self.start):
             more = np.zeros(max(m, len(self.start)), np.int32)
             self.start, self.length, self.hits = (np.concatenate([x, more]) for x in (self.start, self.length, self.hits))
@@ -103,45 +104,58 @@ class Encoder:
         self.length[n : n + m] = length
         self.start[n : n + m] = self.used + np.cumsum(length) - length
         self.used += len(flat)
-        self.index.update(zip(keys, range(n, n + m), strict=True))
-
-    def _keys(self, text: str) -> list[str]:
-        """A key for each unit: a unit without the space that it begins with, or a mark and the unit."""
-        if self.plain(text) is None:
-            whole = any(x in text for x in _PAIRS)
-        elif self.odd(text):
-            return ["\0" + text]
-        else:
-            whole = self.runs(text)
-        if whole:
-            return ["\0" + x for x in self.pattern(text)]
-        return ("\1" + text).replace("\n", " \1\n").replace(".", " \1.").replace(",", " \1,").split(" ")
-
-    def _look_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.index.update(zip(units, range(n, n + m), strict=True))
+
+    def _units(self, text: str) -> list[str]:
+        """By the pattern; a text on whose white space engines disagree is one unit, behind a mark."""
+        return ["\0" + text] if self.odd(text) else self.pattern(text)
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units, text after text, and the texts' numbers of units."""
+        plain = ~np.asarray(pc.match_substring_regex(texts, _NOT_PLAIN).to_numpy(zero_copy_only=False), bool)
+        some = texts if plain.all() else texts.filter(pa.array(plain))
+        lists = pc.split_pattern(pc.replace_substring_regex(some, _PARTS, "\x01\\0"), "\x01")
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = np.asarray(pc.list_value_length(lists))  # an empty unit stands before the first mark
+        units = pc.list_flatten(lists)
+        if plain.all():
+            return units, counts
+        other = [self._units(t) for t in texts.filter(pa.array(~plain)).to_pylist()]
+        counts[~plain] = [len(x) for x in other]
+        every = pa.concat_arrays([units, pa.array(list(itertools.chain.from_iterable(other)), pa.string())])
+        first = np.empty(len(texts), np.int64)  # of each text in `every`
+        by = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        first[by] = np.cumsum(counts[by]) - counts[by]
+        at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(len(every))
+        return every.take(pa.array(at)), counts
+
+    def _look_up(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The cache's number of each unit, text after text; and the number of units of each text."""
         if len(self.index) > CACHE_UNITS:
             self._trim()
-        keyed = [self._keys(t) for t in texts]
-        counts = np.fromiter(map(len, keyed), np.int64, len(keyed))
-        keys = list(itertools.chain.from_iterable(keyed))
-        at = np.fromiter(map(self.index.get, keys, itertools.repeat(-1)), np.int32, len(keys))
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        units, counts = self._split(texts.cast(pa.string()).fill_null(""))
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.index.get, distinct, itertools.repeat(-1)), np.int32, len(distinct))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            new = [keys[i] for i in missing]
-            self._learn(list(dict.fromkeys(new)))
-            at[missing] = [self.index[k] for k in new]
-        n = len(self.index)
-        self.hits[:n] += np.bincount(at, minlength=n).astype(np.int32)
-        return at, counts
-
-    def lengths(self, texts: list[str]) -> np.ndarray:
+            new = [distinct[i] for i in missing]
+            self._learn(new)
+            at[missing] = [self.index[u] for u in new]
+        each = np.asarray(coded.indices)
+        self.hits[at] += np.bincount(each, minlength=len(at)).astype(np.int32)
+        return at[each], counts
+
+    def lengths(self, texts: pa.Array | list[str]) -> np.ndarray:
         """Number of ids of each text."""
         at, counts = self._look_up(texts)
         done = np.concatenate([[0], np.cumsum(self.length[at], dtype=np.int64)])
         stop = np.cumsum(counts)
         return done[stop] - done[stop - counts]
 
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one uint32 array, the id `end` after each text if given; and the number of ids of each text."""
         at, counts = self._look_up(texts)
         n = self.length[at]

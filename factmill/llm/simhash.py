@@ -36,7 +36,7 @@ _NO_ID = (1 << 63) - 1
 #: Bit ranges; any RADIUS differing bits leave two of them equal.
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 #: (query, node) pairs that a lookup handles at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def fingerprint(text: str, words: int = 3) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import pieces, texts
+from .common import pieces
 
 #: Lengths that one task sums up; the blocks' totals are summed up before.
 BLOCK = 4096
@@ -28,7 +28,7 @@ def _lengths(vocabulary: str, batches):
     encoder = bpe.encoder(vocabulary)
     for batch in batches:
         for piece in pieces(batch, "text"):
-            yield pa.record_batch([pa.array(encoder.lengths(texts(piece)), pa.int64())], names=["length"])
+            yield pa.record_batch([pa.array(encoder.lengths(piece.column(0)), pa.int64())], names=["length"])
 
 
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

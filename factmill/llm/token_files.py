@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import BROADCAST_ROWS, pieces, scratch, texts
+from .common import BROADCAST_ROWS, pieces, scratch
 from .elias_fano import EliasFano
 
 #: Ids after which a shard is closed.
@@ -85,7 +85,7 @@ def _encode(vocabulary: str, end: int, shard_tokens: int, batches):
 
     for batch in batches:
         for piece in pieces(batch, "text", min(2 << 20, 4 * shard_tokens)):
-            own, n = encoder.encode(texts(piece), end)
+            own, n = encoder.encode(piece.column(1), end)
             keys += piece.column(0).to_pylist()
             ids.append(own)
             lengths.append(n)
