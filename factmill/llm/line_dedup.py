@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .chunks import CHUNK_BYTES, Packed, answer, answer_bits, squeeze, unsqueeze
+from .chunks import CHUNK_BYTES, Packed, answer, answer_bits, squeeze, strings, unsqueeze
 from .common import cut
 
 MIN_WORDS = 3
 NEAR_WORDS = 10
-#: Distinct words that a worker keeps hashes of.
-WORDS_KEPT = 400_000
 _NO_ID = np.int64((1 << 63) - 1)
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _M = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -47,17 +45,24 @@ def _mixed(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word)
-        return code
 
-
-_codes = _Codes()
+def _word_codes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word [start, start + size): its 8-byte parts are mixed in one after another."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    code = size.astype(np.uint64)
+    some = np.arange(len(start))
+    at = 0
+    while len(some):
+        part = words[start[some] + at].astype("<u8", copy=False) & _MASKS[np.minimum(size[some] - at, 8)]
+        code[some] = _mixed(code[some] ^ part, size[some])
+        at += 8
+        some = some[size[some] > at]
+    return code
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -88,7 +93,7 @@ class _Hashes:
 class Lines:
     """A chunk's lines that take part, in order, and the distinct ones among them."""
 
-    split: list[list[bytes] | None]  # every document's lines
+    n_lines: np.ndarray  # of each document
     document: np.ndarray
     number: np.ndarray
     order_doc: np.ndarray
@@ -103,19 +108,30 @@ class Lines:
 
     @classmethod
     def of(cls, docs: pa.Table, buckets: int) -> Lines:
-        split, document, number, sizes, words = [], [], [], [], []
-        for d, text in enumerate(docs.column("text").to_pylist()):
-            lines = text.encode("utf-8", "surrogatepass").split(b"\n") if text else None
-            split.append(lines)
-            for i, line in enumerate(lines or ()):
-                w = line.split()
-                if len(w) >= MIN_WORDS:
-                    document.append(d)
-                    number.append(i)
-                    sizes.append(len(w))
-                    words += w
-        codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-        document, number, size = np.array(document, np.int64), np.array(number, np.int64), np.array(sizes, np.int64)
+        data, bounds = strings(docs.column("text"))
+        feeds = np.flatnonzero(data == 10)
+        before = np.searchsorted(feeds, bounds)
+        n_lines = np.where(np.diff(bounds) > 0, np.diff(before) + 1, 0)
+        inside = ~_SPACE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[bounds] = True  # words do not run from one document into the next
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1] | edge[1:-1]
+        ends[:-1] &= ~inside[1:] | edge[1:-1]
+        first = np.flatnonzero(begins)
+        length = np.flatnonzero(ends) + 1 - first
+        document = np.searchsorted(bounds, first, side="right") - 1
+        line = np.searchsorted(feeds, first)  # counted through the chunk; a document's end parts lines, too
+        new = np.ones(len(first), bool)
+        new[1:] = (line[1:] != line[:-1]) | (document[1:] != document[:-1])
+        lead = np.flatnonzero(new)
+        size = np.diff(np.append(lead, len(first)))
+        some = size >= MIN_WORDS
+        word = np.repeat(some, size)
+        codes = _word_codes(data, first[word], length[word])
+        lead, size = lead[some], size[some]
+        document = document[lead]
+        number = line[lead] - before[document]
         stop = np.cumsum(size)
         start = stop - size
         ids = docs.column("doc_id").cast(pa.int64()).fill_null(int(_NO_ID)).to_numpy()
@@ -130,7 +146,7 @@ class Lines:
         kind = np.empty(len(by), np.int64)
         kind[by] = np.cumsum(new) - 1
         first = by[new]
-        return cls(split, document, number, own, start, stop, hashes, kind, first, key[first], check[first], bucket[first])
+        return cls(n_lines, document, number, own, start, stop, hashes, kind, first, key[first], check[first], bucket[first])
 
     def parts(self, bucket: np.ndarray):
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -147,8 +163,12 @@ class Lines:
         ends = [(a, a + n // 2, 1), (b - (n + 1) // 2, b, 2), (a, a + (n - 1) // 2, 1), (b - n // 2, b, 2)]
         keys = [_mixed(self.hashes.raw(x, y), 4 * (y - x) + side) for x, y, side in ends]
         key, line = np.concatenate(keys), np.tile(some, len(ends))
-        pair = np.unique(np.stack([(key % np.uint64(buckets)), key, line.astype(np.uint64)], 1), axis=0) if len(key) else np.zeros((0, 3), np.uint64)
-        return pair[:, 1], pair[:, 2].astype(np.int64), pair[:, 0].astype(np.int64)
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        by = np.lexsort((line, key, bucket))
+        key, line, bucket = key[by], line[by], bucket[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        return key[new], line[new], bucket[new]
 
     def seen_before(self, answers: dict) -> np.ndarray:
         """Distinct lines that an earlier chunk's document has."""
@@ -296,10 +316,10 @@ def _finish(buckets: int, names: tuple[str, str], docs: pa.Table, answers: dict)
     text = docs.column("text").to_pylist()
     for d, lines in gone.items():
         out = set(lines)
-        text[d] = b"\n".join(x for i, x in enumerate(s.split[d]) if i not in out).decode("utf-8", "surrogatepass")
+        text[d] = "\n".join(x for i, x in enumerate(text[d].split("\n")) if i not in out)
     at = docs.schema.get_field_index("text")
     docs = docs.set_column(at, "text", pa.array(text, pa.string()))
-    docs = docs.append_column(names[0], pa.array([len(x or ()) for x in s.split], pa.int64()))
+    docs = docs.append_column(names[0], pa.array(s.n_lines, pa.int64()))
     return docs.append_column(names[1], pa.array([gone.get(d, []) for d in range(len(text))], pa.list_(pa.int64())))
 
 
