@@ -1,9 +1,9 @@
 """Rounds between chunks of documents and buckets of keys.
 
 Operators that compare parts of all documents with each other need two kinds of places: a chunk holds whole documents
-(CHUNK_BYTES of text), a bucket holds what all chunks know about a share of the keys. pack() reads the documents once, puts
-each chunk into one compressed row, deals the rows by chunk and cuts the lineage in the shared folder, so that later
-rounds read it without a shuffle. In a round every chunk sends one message to each bucket (ask), each bucket
+(CHUNK_BYTES of text), a bucket holds what all chunks know about a share of the keys. Packed reads the documents once, puts
+each chunk into one compressed row and cuts the lineage in the shared folder. Later rounds read the rows from there; where answers
+join them, they are dealt by chunk, once for all rounds that are part of one plan. In a round every chunk sends one message to each bucket (ask), each bucket
 answers each chunk that asked (answer), and the chunk goes on with the answers (resume). Messages are arrays packed by
 the operator, so that rows stay few and the work on them is done on whole arrays.
 
@@ -82,9 +82,7 @@ class Packed:
     def __init__(self, docs: DataFrame, column: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES):
         total = input_bytes(docs, column)
         self.buckets = max(8, -(-total // bucket_bytes))
-        chunks = max(1, -(-total // chunk_bytes))
-        rows = docs.mapInArrow(partial(_pack, column, chunk_bytes), "chunk long, payload binary")
-        self.rows = cut(rows.repartition(max(8, chunks), "chunk"))
+        self.rows = cut(docs.mapInArrow(partial(_pack, column, chunk_bytes), "chunk long, payload binary"))
 
     def ask(self, say: Callable) -> DataFrame:
         """say(documents) yields (bucket, message) pairs."""
