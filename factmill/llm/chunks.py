@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import cut, input_bytes, pieces
+from .common import cut, input_bytes, pieces, release, tidy
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
@@ -82,7 +82,7 @@ class Packed:
     def __init__(self, docs: DataFrame, column: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES):
         total = input_bytes(docs, column)
         self.buckets = max(8, -(-total // bucket_bytes))
-        self.rows = cut(docs.mapInArrow(partial(_pack, column, chunk_bytes), "chunk long, payload binary"))
+        self.rows = cut(docs.mapInArrow(tidy(partial(_pack, column, chunk_bytes)), "chunk long, payload binary"))
 
     def ask(self, say: Callable) -> DataFrame:
         """say(documents) yields (bucket, message) pairs."""
@@ -92,12 +92,13 @@ class Packed:
                 for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     yield from _messages(chunk, say(open_chunk(payload.as_buffer())))
 
-        return self.rows.mapInArrow(go, _ASKED)
+        return self.rows.mapInArrow(tidy(go), _ASKED)
 
     def ask_with(self, answers: DataFrame, say: Callable) -> DataFrame:
         """say(documents, {(round, bucket): answer}) yields (bucket, message) pairs."""
 
         def go(left, right):
+            release()
             out = list(_messages(left.column(0)[0].as_py(), say(open_chunk(left.column(1)[0].as_buffer()), _by_bucket(right)))) if left.num_rows else []
             return pa.Table.from_batches(out, _MESSAGE)
 
@@ -107,6 +108,7 @@ class Packed:
         """finish(documents, {(round, bucket): answer}) returns a pyarrow table of the schema."""
 
         def go(left, right):
+            release()
             return finish(open_chunk(left.column(1)[0].as_buffer()), _by_bucket(right))
 
         return self.rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(go, schema)
@@ -130,6 +132,7 @@ def answer(asked: DataFrame, reply: Callable, number: int) -> DataFrame:
     def go(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+        release()
         back = reply([x.as_buffer() for x in table.column("payload")])
         kept = [(c, x) for c, x in zip(chunks, back, strict=True) if x is not None]
         return pa.table([pa.array([c for c, _ in kept], pa.int64()), pa.array([bucket] * len(kept), pa.int32()), pa.array([number] * len(kept), pa.int32()), pa.array([x for _, x in kept], pa.binary())], names=["chunk", "bucket", "round", "payload"])

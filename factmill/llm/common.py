@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a frame may have and still be broadcast; beyond it a shuffled join is planned.
 BROADCAST_ROWS = 1 << 20
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +81,31 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, over all rows."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0)
+
+
+def release() -> None:
+    """Gives freed memory back: allocators keep it otherwise, and a worker process lives on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _tidied(f, batches):
+    try:
+        yield from f(batches)
+    finally:
+        release()
+
+
+def tidy(f):
+    """f over batches, with release() at the task's end.
+
+    Batches of this session get BATCH_ROWS rows unless it sets a number itself: by Spark's default, 10,000 long texts would
+    stand in memory at once, in the executor and in Python.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    return partial(_tidied, f)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, pieces, texts
+from .common import input_bytes, pieces, texts, tidy
 
 WINDOW = 13
 GAP = 1024
@@ -177,7 +177,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None, sha
             place = np.concatenate([s.postings(t) for _, _, t in used]) if used else s.positions
             yield pa.record_batch([pa.array([s.rows], pa.list_(pa.int64())), pa.array([s.doc_ids], pa.list_(pa.int64())), pa.array([s.n_words.tolist()], pa.list_(pa.int64())), pa.array([[w for w, _, _ in used]], pa.list_(pa.binary())), pa.array([[n for _, n, _ in used]], pa.list_(pa.int64())), pa.array([place.astype("<i8").tobytes()], pa.binary())], names=["rows", "doc_ids", "n_words", "terms", "counts", "positions"])
 
-    return _rows(docs).mapInArrow(out, _INDEX)
+    return _rows(docs).mapInArrow(tidy(out), _INDEX)
 
 
 def _opened(batches):
@@ -270,7 +270,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop
     sc = docs.sparkSession.sparkContext
     rows = _rows(docs, carry)
     schema = _MATCHES + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else "")
-    return _united([rows.mapInArrow(partial(go, sc.broadcast(p)), schema) for p in _blocks(items, window, block_bytes)])
+    return _united([rows.mapInArrow(tidy(partial(go, sc.broadcast(p))), schema) for p in _blocks(items, window, block_bytes)])
 
 
 def index_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -280,7 +280,7 @@ def index_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop
         return _matched(_opened(batches), phrases.value, slop)
 
     sc = index.sparkSession.sparkContext
-    return _united([index.mapInArrow(partial(go, sc.broadcast(p)), _MATCHES) for p in _blocks(items, window, block_bytes)])
+    return _united([index.mapInArrow(tidy(partial(go, sc.broadcast(p))), _MATCHES) for p in _blocks(items, window, block_bytes)])
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, tidy
 
 # Fixed values of HTML: elements that flow inside a line of text; whose content is no text; without content; and which end tags a start tag implies.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark meta link nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
@@ -403,7 +403,7 @@ def _extract(model: Model, batches):
 def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(partial(_extract, model or default_model()), "page_id long, url string, text string")
+    return rows.mapInArrow(tidy(partial(_extract, model or default_model())), "page_id long, url string, text string")
 
 
 def op10_html_extract(pages: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, tidy
 from .token_files import Shard, open_token_files, with_global_start, write_token_files
 
 WINDOW = 2048
@@ -70,13 +70,13 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = 1, vocabul
 
 def packed_pieces(spark: SparkSession, path: str, window: int = WINDOW) -> DataFrame:
     shards = with_global_start(open_token_files(spark, path)).select("before", "start", "payload")
-    return shards.mapInArrow(partial(_pieces, window), _PIECES)
+    return shards.mapInArrow(tidy(partial(_pieces, window)), _PIECES)
 
 
 def packed_sequences(spark: SparkSession, path: str, window: int = WINDOW) -> DataFrame:
     """sequence_id, length, ids (little-endian unsigned 32-bit): the sequences themselves, the last one short."""
     shards = with_global_start(open_token_files(spark, path)).select("before", "start", "payload")
-    cut = shards.mapInArrow(partial(_windows, window), "sequence_id long, offset long, length long, ids binary")
+    cut = shards.mapInArrow(tidy(partial(_windows, window)), "sequence_id long, offset long, length long, ids binary")
     whole = cut.where(F.col("length") == window).select("sequence_id", "length", "ids")
     edge = cut.where(F.col("length") < window).groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     joined = edge.select("sequence_id", "length", F.aggregate(F.col("p.ids"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, pieces, texts
+from .common import cut, pieces, texts, tidy
 
 RADIUS = 3
 _NO_ID = (1 << 63) - 1
@@ -108,7 +108,7 @@ def _fingerprint_batches(words: int, batches):
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_fingerprint_batches, words), "doc_id long, fp long")
+    return rows.mapInArrow(tidy(partial(_fingerprint_batches, words)), "doc_id long, fp long")
 
 
 class BKTree:
@@ -237,7 +237,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         shards.append(value)
     rows = prints.select(F.explode(F.array(*shards)).alias("shard"), "fp")
     dealt = rows.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(partial(_shard_links, radius), "a long, b long")
+    return dealt.mapInArrow(tidy(partial(_shard_links, radius)), "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def with_fingerprint(docs: DataFrame, column: str, words: int = 3) -> DataFrame:
             for piece in pieces(batch, "text", 1 << 20):
                 yield pa.record_batch([*piece.columns, pa.array(_prints(texts(piece), words).view(np.int64))], names=[*piece.schema.names, column])
 
-    return rows.mapInArrow(go, StructType([*rows.schema.fields, StructField(column, LongType())]))
+    return rows.mapInArrow(tidy(go), StructType([*rows.schema.fields, StructField(column, LongType())]))
 
 
 def one_of_each(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import pieces
+from .common import pieces, tidy
 
 #: Lengths that one task sums up; the blocks' totals are summed up before.
 BLOCK = 4096
@@ -34,7 +34,7 @@ def _lengths(vocabulary: str, batches):
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """length, n_docs: the count is made in each task before the shuffle, which moves a row for each length and task."""
     rows = docs.select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(partial(_lengths, vocabulary or bpe.default_vocabulary()), "length long").groupBy("length").agg(F.count("*").alias("n_docs"))
+    return rows.mapInArrow(tidy(partial(_lengths, vocabulary or bpe.default_vocabulary())), "length long").groupBy("length").agg(F.count("*").alias("n_docs"))
 
 
 def context_table(histogram: DataFrame) -> DataFrame:

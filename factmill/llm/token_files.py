@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import BROADCAST_ROWS, pieces, scratch
+from .common import BROADCAST_ROWS, pieces, scratch, tidy
 from .elias_fano import EliasFano
 
 #: Ids after which a shard is closed.
@@ -100,7 +100,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     """Writes the shard table at path and returns it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = ordered.mapInArrow(partial(_encode, vocabulary or bpe.default_vocabulary(), end, shard_tokens), _SHARDS)
+    shards = ordered.mapInArrow(tidy(partial(_encode, vocabulary or bpe.default_vocabulary(), end, shard_tokens)), _SHARDS)
     shards.write.mode("overwrite").parquet(path)
     return open_token_files(docs.sparkSession, path)
 
@@ -145,7 +145,7 @@ def _documents(batches):
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
     shards = with_global_start(open_token_files(spark, path)).select("before", "start", "payload")
-    return shards.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.mapInArrow(tidy(_documents), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def export_shards(spark: SparkSession, path: str, folder: str) -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import pieces, stored, texts
+from .common import pieces, stored, texts, tidy
 
 MIN_N, MAX_N = 3, 5
 BUCKETS = 1 << 18
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     rows = stored(rows.repartition(TASKS), "toxicity")
     k = np.zeros((2, BUCKETS))
-    for r in rows.repartition(TASKS).mapInArrow(_count, "counts binary").toLocalIterator():
+    for r in rows.repartition(TASKS).mapInArrow(tidy(_count), "counts binary").toLocalIterator():
         k += np.frombuffer(r.counts, np.int32).reshape(2, BUCKETS)
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n = np.array([sizes.get(0, 0), sizes.get(1, 0)], float)
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     if not len(chosen):
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(counts[1] / counts[0])))
     bits, y = [], []
-    for row in rows.mapInArrow(partial(_design, chosen), "bits binary, label int").toLocalIterator():
+    for row in rows.mapInArrow(tidy(partial(_design, chosen)), "bits binary, label int").toLocalIterator():
         bits.append(np.frombuffer(row.bits, np.uint8))
         y.append(row.label)
     y = np.array(y, float)
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 arrays = [piece.column(i) for i in range(at)] + [pa.array(sent.value.score(texts(piece)))]
                 yield pa.record_batch(arrays, names=[*piece.schema.names, column])
 
-    return docs.mapInArrow(go, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return docs.mapInArrow(tidy(go), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
