@@ -1 +1,6 @@
+"""Queries over the facts: passes, metrics, taint, post-processing and reports."""
 
+
+def load() -> None:
+    """Imports the modules that register passes."""
+    from . import design, performance, reliability, security  # noqa: F401
