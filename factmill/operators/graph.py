@@ -131,24 +131,24 @@ def dominators(blocks: DataFrame, edges: DataFrame, roots: DataFrame, keys: Sequ
     The dataflow form: dom(root) = {root}; dom(n) = {n} and what the sets of all its predecessors share, from above to a fixpoint.
     """
     live = reachable(roots, edges, keys, node, src, dst).select(*keys, node)
-    every = live.groupBy(*keys).agg(F.array_sort(F.collect_set(node)).alias("all"))
-    is_root = roots.select(*keys, node).distinct().withColumn("root", F.lit(True))
-    state = cut(live.join(every, list(keys)).join(is_root, [*keys, node], "left").select(*keys, node, F.coalesce("root", F.lit(False)).alias("root"), F.when(F.col("root"), F.array(node)).otherwise(F.col("all")).alias("dom")))
-    pred = cut(edges.select(*keys, F.col(src).alias("p"), F.col(dst).alias(node)).distinct().join(live, [*keys, node]).join(live.withColumnRenamed(node, "p"), [*keys, "p"]))
+    every = live.groupBy(*keys).agg(F.array_sort(F.collect_set(node)).alias("_all"))
+    is_root = roots.select(*keys, node).distinct().withColumn("_root", F.lit(True))
+    state = cut(live.join(every, list(keys)).join(is_root, [*keys, node], "left").select(*keys, node, F.coalesce("_root", F.lit(False)).alias("_root"), F.when(F.col("_root"), F.array(node)).otherwise(F.col("_all")).alias("_dom")))
+    pred = cut(edges.select(*keys, F.col(src).alias("_p"), F.col(dst).alias(node)).distinct().join(live, [*keys, node]).join(live.withColumnRenamed(node, "_p"), [*keys, "_p"]))
     size = None
     while True:
-        of_pred = state.select(*keys, F.col(node).alias("p"), F.col("dom").alias("d"))
+        of_pred = state.select(*keys, F.col(node).alias("_p"), F.col("_dom").alias("_d"))
         # what all predecessors share: members counted as often as there are predecessors
-        members = pred.join(of_pred, [*keys, "p"]).select(*keys, node, "p", F.explode("d").alias("m"))
-        n = pred.groupBy(*keys, node).agg(F.count("*").alias("n"))
-        shared = members.groupBy(*keys, node, "m").agg(F.count("*").alias("k")).join(n, [*keys, node]).where("k = n").groupBy(*keys, node).agg(F.collect_set("m").alias("shared"))
-        new = state.join(shared, [*keys, node], "left").select(*keys, node, "root", F.when(F.col("root"), F.array(node)).otherwise(F.array_sort(F.array_union(F.array(node), F.coalesce("shared", F.array().cast(state.schema["dom"].dataType))))).alias("dom"))
+        members = pred.join(of_pred, [*keys, "_p"]).select(*keys, node, "_p", F.explode("_d").alias("_m"))
+        n = pred.groupBy(*keys, node).agg(F.count("*").alias("_n"))
+        shared = members.groupBy(*keys, node, "_m").agg(F.count("*").alias("_k")).join(n, [*keys, node]).where("_k = _n").groupBy(*keys, node).agg(F.collect_set("_m").alias("_shared"))
+        new = state.join(shared, [*keys, node], "left").select(*keys, node, "_root", F.when(F.col("_root"), F.array(node)).otherwise(F.array_sort(F.array_union(F.array(node), F.coalesce("_shared", F.array().cast(state.schema["_dom"].dataType))))).alias("_dom"))
         state = cut(new)
-        now = state.agg(F.sum(F.size("dom"))).first()[0]
+        now = state.agg(F.sum(F.size("_dom"))).first()[0]
         if now == size:
             break
         size = now
-    pairs = state.select(*keys, node, F.explode("dom").alias("dominator"))
+    pairs = state.select(*keys, node, F.explode("_dom").alias("dominator"))
     dead = blocks.select(*keys, node).join(live, [*keys, node], "left_anti").withColumn("dominator", F.col(node))
     return pairs.unionByName(dead)
 
