@@ -151,3 +151,46 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op9_quality_rules(docs: DataFrame) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    """The same counts, votes and EM in DuckDB SQL: EM is a recursive query over the counts of vote patterns."""
+    bad_good = {
+        "symbols": ("n_symbols * 10 > n_words", "n_symbols * 100 <= n_words"),
+        "repeated_words": ("n_repeat_words * 100 > n_words * 30", "n_repeat_words * 100 <= n_words * 10"),
+        "repeated_lines": ("n_dup_lines * 10 > n_lines * 4 AND n_dup_lines > 2", "n_dup_lines = 0 AND n_lines > 1"),
+        "word_length": ("word_chars > n_words * 10 OR word_chars * 2 < n_words * 5", "word_chars * 2 <= n_words * 13 AND word_chars * 2 >= n_words * 7"),
+        "upper_case": ("n_upper * 10 > word_chars * 3", "n_upper * 10 <= word_chars"),
+        "line_ends": ("n_ended * 5 < n_lines AND n_lines > 4", "n_ended * 10 >= n_lines * 8"),
+        "variety": ("n_distinct * 10 < n_words * 3 AND n_words <= 2000", "n_distinct * 10 >= n_words * 6"),
+    }
+    at = range(len(RULES))
+    cast = ", ".join(f"CASE WHEN {bad_good[r.name][0]} THEN -1 WHEN {bad_good[r.name][1]} THEN 1 ELSE 0 END AS v{j}" for j, r in enumerate(RULES))
+    vs = ", ".join(f"v{j}" for j in at)
+    z = "ln(prior / (1 - prior))" + "".join(f" + CASE v{j} WHEN 1 THEN ln(g{j} / (1 - b{j})) WHEN -1 THEN ln((1 - g{j}) / b{j}) ELSE 0 END" for j in at)
+    g = ", ".join(f"greatest((coalesce(sum(n * q) FILTER (v{j} = 1), 0) + {PSEUDO}) / (coalesce(sum(n * q) FILTER (v{j} <> 0), 0) + {2 * PSEUDO}), {LEAST_ON_GOOD}) AS g{j}" for j in at)
+    b = ", ".join(f"(coalesce(sum(n * (1 - q)) FILTER (v{j} = -1), 0) + {PSEUDO}) / (coalesce(sum(n * (1 - q)) FILTER (v{j} <> 0), 0) + {2 * PSEUDO}) AS b{j}" for j in at)
+    start = ", ".join([f"CAST({ON_GOOD} AS DOUBLE) AS g{j}" for j in at] + [f"CAST({ON_BAD} AS DOUBLE) AS b{j}" for j in at])
+    words = "list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    return f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT r, doc_id, t, {words} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM docs),
+windows AS (SELECT r, i, array_to_string(w[i:i + 2], chr(1)) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM parts WHERE len(w) >= 3)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM again) GROUP BY r),
+stats AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper,
+  len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '[.!?]$'))) AS n_ended, len(list_distinct(w)) AS n_distinct, coalesce(n_repeat_words, 0) AS n_repeat_words FROM parts LEFT JOIN covered USING (r)),
+cast_ AS (SELECT *, {cast} FROM stats),
+patterns AS (SELECT {vs}, CAST(count(*) AS DOUBLE) AS n FROM cast_ GROUP BY ALL),
+em AS (SELECT 0 AS round, CAST({PRIOR} AS DOUBLE) AS prior, {start}
+  UNION ALL
+  SELECT round + 1, (sum(n * q) + {PSEUDO}) / (sum(n) + {2 * PSEUDO}) AS prior, {g}, {b}
+  FROM (SELECT em.round, n, {vs}, 1 / (1 + exp(-({z}))) AS q FROM em, patterns WHERE em.round < {ROUNDS}) GROUP BY round),
+model AS (SELECT * FROM em WHERE round = {ROUNDS}),
+judged AS (SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({z}))) AS quality FROM cast_ c, model)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND round(quality, 9) >= 0.5 AS kept FROM judged
+"""
+
+
+ORACLE_SQL = _oracle()

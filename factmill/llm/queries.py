@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_suffix_dedup": suffix_dedup.ORACLE_SQL, "op3_decontaminate": decontaminate.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}

@@ -435,3 +435,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHU
 def op2_suffix_dedup(docs: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     return remove_repeats(docs).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: On hexadecimal texts: DuckDB takes no parts of blobs.
+ORACLE_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) AS k FROM (SELECT r, doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM docs WHERE length(h) >= {2 * LENGTH})),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+gone AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM windows JOIN firsts USING (k) WHERE first < doc_id),
+runs AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM gone) GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS lo, a AS hi FROM runs UNION ALL SELECT d.r, coalesce(max(b), 0), max(length(h)) // 2 FROM docs d LEFT JOIN runs USING (r) GROUP BY d.r),
+kept AS (SELECT r, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS h FROM gaps JOIN docs USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM docs d LEFT JOIN sums USING (r) LEFT JOIN kept k USING (r)
+"""
