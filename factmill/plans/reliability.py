@@ -86,7 +86,7 @@ def null_deref(f: Facts) -> DataFrame:
     received = f.calls.select("file", F.col("line").alias("use_line"), F.col("receiver").alias("variable")).distinct().withColumn("received", F.lit(True))
     p = p.join(received, ["file", "use_line", "variable"], "left")
     quoted = F.regexp_replace("variable", "([.*+?^${}()|\\[\\]\\\\])", "\\\\$1")
-    has = lambda text, *parts: F.expr("true") & text.rlike(F.concat(*[F.lit(x) if x is not None else quoted for x in parts]))
+    has = lambda text, *parts: F.rlike(text, F.concat(*[F.lit(x) if x is not None else quoted for x in parts]))
     p = p.where((F.col("received") | has(F.col("text"), "\\b", None, "\\s*\\.")) & ~has(F.col("text"), "\\b", None, "\\s*\\?\\s*\\."))
     p = p.withColumn("guard", F.concat(
         F.lit("\\b"), quoted, F.lit("\\b\\s*[!=]==?\\s*(null|None|undefined)|(null|None|undefined)\\s*[!=]==?\\s*\\b"), quoted,
@@ -191,9 +191,10 @@ def infinite_loop(f: Facts) -> DataFrame:
     b, e = f.cfg_blocks, f.of_language(f.cfg_edges, "bash", but=True)
     back = e.where("type = 'back'").select("file", F.col("from").alias("tail"), F.col("to").alias("head")).distinct()
     fwd = e.where("type != 'back'").select("file", "from", "to").distinct()
-    keyed = fwd.join(back, "file").select("file", "tail", "head", "from", "to").where(F.col("from") != F.col("tail"))
-    body = graph.reachable(back.withColumn("id", F.col("head")), keyed, ["file", "tail", "head"], "id", "from", "to").select("file", "tail", "head", "id")
-    inside = body.unionByName(back.withColumn("id", F.col("tail"))).distinct()
+    keyed = fwd.join(back, "file").select("file", "tail", "head", "from", "to")
+    heads = back.withColumn("id", F.col("head"))
+    # the body: what leads to the tail without passing the header
+    inside = graph.reachable(back.withColumn("id", F.col("tail")), keyed, ["file", "tail", "head"], "id", "to", "from", stop=heads).select("file", "tail", "head", "id").unionByName(heads.select("file", "tail", "head", "id")).distinct()
     out = inside.join(fwd.withColumnRenamed("from", "id"), ["file", "id"]).select("file", "tail", "head", F.col("to").alias("id")).join(inside, ["file", "tail", "head", "id"], "left_anti").select("file", "tail", "head").distinct()
     lines = b.select("file", F.col("id").alias("tail"), F.col("end_line").alias("loop_end"))
     heads = b.select("file", F.col("id").alias("head"), F.col("start_line").alias("loop_start"))

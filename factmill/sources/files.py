@@ -43,7 +43,7 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
         f = f.where(~is_test(F.col("file")))
     if max_bytes is not None:
         f = f.where(F.col("length") <= max_bytes)
-    return f.select("file", "language", F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return f.select("file", "language", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
 
 
 def snippet(spark: SparkSession, code: str, file: str, language: str) -> DataFrame:
