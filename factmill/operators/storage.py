@@ -21,13 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/factmill-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut. A table is used, not checkpoint(): that rewrites constraints and fails below some unions."""
+    return stored(df, "cut")
