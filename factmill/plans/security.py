@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,39 @@ class LineRule:
     unless_file: str = ""
 
 
+#: Texts in lower case of which a line has one at least if the rule's pattern can match: looking for them is much cheaper.
+NEEDS = {
+    "weak-hash": "md5 sha1 sha-1",
+    "weak-crypto": "cipher des. desede arc4 mode_ecb rc4",
+    "weak-random": "random rand.",
+    "insecure-cookie": "cookie",
+    "tls-verify-disabled": "verify rejectunauthorized tls_reject unverified_context invalid_certs hostname_verifier hostnameverifier",
+    "jwt-verify-disabled": "jwt algorithm signature_validation parseunverified",
+    "csrf-protection-disabled": "csrf abstracthttpconfigurer",
+    "xml-entity-expansion": "factory etree xml.sax",
+    "mass-assignment": "req. request",
+    "info-disclosure-stacktrace": "stack .message traceback debug .send .json .write .end",
+    "unrestricted-file-upload": "filename .name originalname",
+    "insecure-deserialization-config": "anytypepermission defaulttyping autotype laissezfaire",
+    "weak-password-hash": "pass bcrypt pbkdf2",
+    "weak-password-encoding": "pass",
+    "plaintext-password-storage": "pass",
+    "cleartext-credential-transport": "http://",
+    "module-side-effect": "exec eval system subprocess",
+    "python-receiver-taint-format": ".format(",
+    "mybatis-annotation-sql": "${",
+    "predictable-temp-file": "/tmp/",
+    "insecure-file-permission": "chmod",
+    "unverified-package-install": "curl wget",
+    "cors-wildcard-origin": "access-control-allow-origin crossorigin",
+    "code-injection": "eval",
+    "unsafe-deserialization": "load objectinputstream",
+    "sql-string-concat": "execute query raw",
+    "open-redirect": "redirect",
+    "ssrf": "req. request getparameter args.get formvalue",
+    "xss-response-write": "getwriter innerhtml document.write fprintf bypasssecurity",
+}
+
 JS = ("javascript", "typescript")
 RULES = [
     LineRule("weak-hash", "CWE-328", "medium", "(?i)(getInstance\\(\\s*\"(md5|sha-?1)\"|createHash\\(\\s*['\"](md5|sha1)['\"]|hashlib\\.(md5|sha1)\\(|\\bmd5\\.(New|Sum)|sha1\\.(New|Sum)|Md5::new|Sha1::new)", "A hash that no longer withstands attacks", unless="usedforsecurity\\s*=\\s*False"),
@@ -84,6 +118,8 @@ def line_findings(f: Facts, rules=RULES) -> DataFrame:
 
     def hit(r: LineRule) -> Column:
         c = F.col("text").rlike(r.pattern)
+        if r.rule in NEEDS:
+            c = reduce(lambda a, b: a | b, [F.col("low").contains(x) for x in NEEDS[r.rule].split()]) & c
         if r.languages:
             c = F.col("language").isin(list(r.languages)) & c
         if r.unless:
@@ -94,7 +130,7 @@ def line_findings(f: Facts, rules=RULES) -> DataFrame:
         return F.when(c, F.struct(*[F.lit(x).alias(n) for n, x in (("rule", r.rule), ("cwe", r.cwe), ("severity", r.severity), ("level", level), ("message", r.message))]))
 
     every = F.filter(F.array(*map(hit, rules)), lambda x: x.isNotNull())
-    t = t.where(~F.trim("text").rlike("^(//|#(?!!)|\\*)")).withColumn("hit", F.explode(every))
+    t = t.where(~F.trim("text").rlike("^(//|#(?!!)|\\*)")).withColumn("low", F.lower("text")).withColumn("hit", F.explode(every))
     out = findings(t, "line-rule", "security", F.col("hit.cwe"), F.col("hit.severity"), F.col("hit.level"), F.col("hit.message"), snippet=F.trim("text"), evidence={"rule": "hit.rule"})
     rule = F.get_json_object("evidence", "$.rule")
     return out.withColumn("rule_id", rule).withColumn("pass", rule).withColumn("id", F.concat(rule, F.lit("-"), "file", F.lit("-"), F.col("line").cast("string"))).withColumn("evidence", F.lit(None).cast("string"))
