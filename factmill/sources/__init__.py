@@ -1 +1,42 @@
+"""Where facts come from: folders, source texts and manifests."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..facts import Facts
+from . import curly, files, python_source
+
+
+def read_project(scanned: DataFrame) -> Facts:
+    """All facts of a scan (see files.scan): each file is parsed once and its rows are kept in the shared folder.
+
+    What a parse gives is one row for each file and table, as JSON, so that eleven tables need one pass over the sources.
+    """
+    from pyspark.sql import functions as F
+
+    from ..facts import SCHEMAS
+    from ..operators.storage import stored
+
+    def go(batches):
+        import json
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for file, language, text in zip(pdf["file"], pdf["language"], pdf["text"], strict=True):
+                rows = python_source.read(text or "", file) if language == "python" else curly.read(text or "", file, language) if language in curly.LANGUAGES else {}
+                out += [(name, json.dumps(r)) for name, found in rows.items() for r in found]
+            yield pd.DataFrame(out, columns=["name", "row"])
+
+    spark = scanned.sparkSession
+    parsed = stored(scanned.select("file", "language", "text").mapInPandas(go, "name string, row string"), "facts")
+    tables = {}
+    for name in curly.TABLES:
+        schema = spark.createDataFrame([], SCHEMAS[name]).schema
+        # a row is a JSON list; its items take their columns' types (try_cast: a filter on them may run before that on the name)
+        items = F.from_json("row", "array<string>")
+        cells = [(F.from_json(F.get(items, F.lit(i)), f.dataType.simpleString()) if f.dataType.typeName() in ("array", "struct") else F.get(items, F.lit(i)).try_cast(f.dataType)).alias(f.name) for i, f in enumerate(schema)]
+        tables[name] = parsed.where(F.col("name") == name).select(*cells)
+    return Facts(spark, tables | {"files": files.meta(scanned), "source_lines": files.lines(scanned), "imports": files.imports(scanned)})
