@@ -7,7 +7,7 @@ A block is text without a block-level tag inside; white space, line breaks inclu
 
 The field has the two labels boilerplate and main. Emissions are sums over binary features of ancestors and text, transitions
 are between neighbouring blocks; decode() is Viterbi. train() maximises the penalised likelihood over labelled
-pages by accelerated gradient ascent, forward-backward running over all pages at once. The labelled pages are made by
+pages by limited-memory BFGS, forward-backward running over all pages at once. The labelled pages are made by
 labelled_pages(): layouts of all common kinds whose blocks are known to be main text or not, from a fixed seed. The model
 is a few hundred numbers, whatever the input, and travels with the task.
 
@@ -138,6 +138,21 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+#: Tags that mean one thing in an article and another around it, and the tags that are an article.
+_TWOFOLD, _ARTICLE = ("t:header", "t:footer", "t:aside", "t:form"), ("t:article", "t:main")
+
+
+def block_features(b: Block, place: int, count: int) -> list[str]:
+    """All features of a block, in a fixed order."""
+    return [*sorted(b.ancestors), *_both(b.ancestors), *text_features(b, place, count)]
+
+
+def _both(ancestors: frozenset[str]) -> list[str]:
+    where = "in" if any(x in ancestors for x in _ARTICLE) else "out"
+    found = [f"{x}/{where}" for x in _TWOFOLD if x in ancestors]
+    return found + ([f"own/{where}"] if len(found) == 0 else [])
+
+
 def _size(n: int) -> str:
     return "w:" + next((str(k) for k in (1, 3, 7, 15, 30, 60) if n <= k), "more")
 
@@ -168,7 +183,7 @@ class Model:
         if base is None:
             if len(self.known) > 20000:
                 self.known.clear()
-            base = self.known[b.ancestors] = sum(self.weights.get(x, 0.0) for x in sorted(b.ancestors)) + self.weights["bias"]
+            base = self.known[b.ancestors] = sum(self.weights.get(x, 0.0) for x in [*sorted(b.ancestors), *_both(b.ancestors)]) + self.weights["bias"]
         return base + sum(self.weights.get(x, 0.0) for x in text_features(b, place, count))
 
     def decode(self, page: list[Block]) -> list[int]:
@@ -197,14 +212,14 @@ def _log_sum(a, b):
     return np.logaddexp(a, b)
 
 
-def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, penalty: float = 0.02) -> Model:
+def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 300, penalty: float = 0.05) -> Model:
     """pages: blocks and their labels (1: main)."""
     pages = [p for p in pages if p[0]]
     names: dict[str, int] = {"bias": 0}
     rows = []
     for page, _ in pages:
         for i, b in enumerate(page):
-            rows.append([0] + [names.setdefault(f, len(names)) for f in [*sorted(b.ancestors), *text_features(b, i, len(page))]])
+            rows.append([0] + [names.setdefault(f, len(names)) for f in block_features(b, i, len(page))])
     x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
         x[i, r] = 1
@@ -244,24 +259,48 @@ def train(pages: list[tuple[list[Block], list[int]]], rounds: int = 200, penalty
             for b in (0, 1):
                 pair = f[:-1, :, a] + moves[a, b] + (e.T[1:] if b else 0) + g[1:, :, b] - z
                 want[a, b] = np.exp(pair.T[both]).sum()
-        return held - x.T @ p1[of, pos] - penalty * w, seen - want - penalty * moves
+        likelihood = held @ w + (seen * moves).sum() - z.sum() - penalty / 2 * ((w**2).sum() + (moves**2).sum())
+        return likelihood, held - x.T @ p1[of, pos] - penalty * w, seen - want - penalty * moves
+
+    k = len(names)
 
-    w, moves = np.zeros(len(names)), np.zeros((3, 2))
-    pw, pm, t = w, moves, 1.0
-    # the log likelihood's curvature is at most a quarter of the blocks' squared length, summed; a fraction of that is safe and quick
-    step = 4 / (0.25 * float((x.sum(1) ** 2).mean()) * len(rows) ** 0.5 + 1)
-    best = None
+    def loss(v):
+        value, gw, gm = gradient(v[:k], v[k:].reshape(3, 2))
+        return -value, -np.concatenate([gw, gm.ravel()])
+
+    best = _minimise(loss, np.zeros(k + 6), rounds)
+    return Model({n: float(best[i]) for n, i in names.items()}, best[k:].reshape(3, 2))
+
+
+def _minimise(loss, v: np.ndarray, rounds: int, memory: int = 12) -> np.ndarray:
+    """Limited-memory BFGS with step halving."""
+    value, g = loss(v)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
-        gw, gm = gradient(pw, pm)
-        norm = float(np.sqrt((gw**2).sum() + (gm**2).sum()))
-        if best is not None and norm > 4 * best:  # overshot: go on from here with shorter steps
-            step, t = step / 2, 1.0
-        best = norm if best is None else min(best, norm)
-        nw, nm = pw + step * gw, pm + step * gm
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        pw, pm = nw + (t - 1) / nt * (nw - w), nm + (t - 1) / nt * (nm - moves)
-        w, moves, t = nw, nm, nt
-    return Model({k: float(w[i]) for k, i in names.items()}, moves)
+        d, kept = g.copy(), []
+        for s, y, rho in reversed(steps):
+            kept.append(rho * (s @ d))
+            d -= kept[-1] * y
+        d *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, float(np.sqrt(g @ g)))
+        for (s, y, rho), a in zip(steps, reversed(kept), strict=True):
+            d += (a - rho * (y @ d)) * s
+        slope, size = g @ d, 1.0
+        while size > 1e-10:
+            new = v - size * d
+            lower, ng = loss(new)
+            if lower <= value - 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = new - v, ng - g
+        if s @ y > 1e-12:
+            steps = [*steps[-memory + 1 :], (s, y, 1 / (s @ y))]
+        done = value - lower < 1e-7 * abs(lower)
+        v, value, g = new, lower, ng
+        if done:
+            break
+    return v
 
 
 #: Marks main text in made pages; removed before training.
@@ -276,7 +315,7 @@ _OTHER = {
     "ad": "ad advert advertisement sponsor sponsored promo promotion adsense teaser".split(),
     "form": "form search login signup subscribe newsletter contact poll".split(),
     "comments": "comment reply discussion respond disqus review thread feedback".split(),
-    "share": "share social follow meta byline author rating".split(),
+    "share": "share social follow sharing".split(),
 }
 _SAID = {
     "nav": "Home|About|Contact|News|Menu|Next|Previous|Search".split("|"),
@@ -291,7 +330,7 @@ _SAID = {
 }
 
 
-def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[list[Block], list[int]]]:
     """Made pages with the label of each block."""
     r = random.Random(seed)
     syllables = "an er in on re th st en at ou le de la es ti ai so ra mo ku pe".split()
@@ -307,7 +346,9 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[list[Block], l
         kind = r.choice(["p"] * 8 + ["h2", "h3", "ul", "blockquote", "pre", "ol", "table", "div"])
         if first and r.random() < 0.8:
             kind = "h1"
-        inner = lambda: _MAIN + (paragraph() if kind not in ("h1", "h2", "h3") else sentence(1, 9))
+        inner = lambda: _MAIN + (r.choice(r.choice(list(_SAID.values()))) if r.random() < 0.06 else paragraph() if kind not in ("h1", "h2", "h3") else sentence(1, 9))
+        if r.random() < 0.06:
+            return f'<p>{_MAIN}<a href="/x">{paragraph()}</a></p>'
         if r.random() < 0.15:
             words = inner().split(" ")
             k = r.randrange(len(words))
@@ -329,7 +370,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[list[Block], l
         return tag, f'<{tag} {attr}="{name}">'
 
     def other(kind):
-        tags = {"nav": ["nav", "nav", "div", "ul"], "header": ["header", "header", "div"], "footer": ["footer", "footer", "div"], "aside": ["aside", "aside", "div", "section"], "form": ["form", "form", "div"], "comments": ["section", "div", "ol", "article"]}.get(kind, ["div", "div", "section", "p", "aside"])
+        tags = {"nav": ["nav", "nav", "div", "ul", "td"], "header": ["header", "header", "div"], "footer": ["footer", "footer", "div"], "aside": ["aside", "aside", "div", "section", "td"], "form": ["form", "form", "div", "section"], "comments": ["section", "div", "ol", "article"]}.get(kind, ["div", "div", "section", "p", "aside"])
         tag, start = named(_OTHER[kind], tags)
         if tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.6:
             start = f"<{tag}>"
@@ -344,23 +385,24 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[list[Block], l
             if kind == "comments" and r.random() < 0.6:
                 said = f'<div class="{r.choice(["comment", "reply", "comment-body"])}"><p>{said}</p></div>'
             parts.append(said)
-        inside = "li" if tag in ("ul", "ol") else r.choice(["li", "p", "div", "span", "h3", ""])
+        inside = "li" if tag in ("ul", "ol") else r.choice(["li", "p", "div", "span", "h3", "", *(["h1", "h1", "h2"] if kind == "header" else [])])
         if tag == "p":
             inside = ""
         body = "".join(f"<{inside}>{x}</{inside}>" if inside else x + " " for x in parts)
         if inside == "li" and tag not in ("ul", "ol"):
             body = f"<ul>{body}</ul>"
-        return f"{start}{body}</{tag}>"
+        whole = f"{start}{body}</{tag}>"
+        return f"<table><tr>{whole}</tr></table>" if tag == "td" else whole
 
     out = []
     for _ in range(count):
         layout = r.random()
         body = [main_block(i == 0) for i in range(r.choice([1, 2, 4, 8, 16]))]
-        for _ in range(r.choice([0, 0, 0, 1, 2])):
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
             body.insert(r.randint(0, len(body)), other(r.choice(["ad", "aside", "share", "form", "notice"])))
         if r.random() < 0.25:
             body.append(other("comments"))
-        if r.random() < 0.1:
+        if layout < 0.65 and r.random() < 0.2:
             body[0] = f"<header>{body[0]}</header>"
         if layout < 0.5:
             tag, start = "article", r.choice(["<article>", "<article>", '<article class="post">', '<article itemprop="articleBody">'])
@@ -374,8 +416,8 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[list[Block], l
         if tag == "td":
             core = f"<table><tr>{core}</tr></table>"
         before = [other(k) for k in r.sample(["header", "nav", "ad", "notice", "form", "share", "nav", "aside"], r.randint(0, 4))]
-        after = [other(k) for k in r.sample(["footer", "comments", "aside", "ad", "notice", "share", "nav", "form"], r.randint(0, 4))]
-        if r.random() < 0.7:
+        after = [other(k) for k in r.sample(["footer", "comments", "aside", "ad", "notice", "share", "nav", "form"], r.choice([0, 0, 1, 2, 3, 4]))]
+        if r.random() < 0.5:
             after.append(other("footer"))
         page = "".join([*before, core, *after])
         if r.random() < 0.3:
