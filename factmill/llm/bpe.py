@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that a worker keeps.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 500_000
 
 #: The vocabulary's pattern without its look-ahead, which matters where white space is followed by white space only.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
@@ -77,6 +77,7 @@ class Encoder:
         length = self.length[:n][keep]
         place = np.arange(int(length.sum())) + np.repeat(self.start[:n][keep] - (np.cumsum(length) - length), length)
         units = [u for u, k in zip(self.index, keep.tolist(), strict=True) if k]
+        self.index = {}  # the old one goes before the new one is made
         self._hold(dict(zip(units, range(len(units)), strict=True)), np.concatenate([self.flat[place], np.zeros(1 << 16, np.uint32)]), length)
 
     def _learn(self, units: list[str]):
