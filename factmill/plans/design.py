@@ -154,7 +154,7 @@ def god_class(f: Facts) -> DataFrame:
     return findings(hit, "god-class", "architecture", "CWE-1060", "medium", "warning", F.format_string("Class `%s` does too much (WMC %d, LCOM2 %.2f, CBO %d)", "name", "wmc", "lcom2", "cbo"), "start_line", fix="Split it", evidence={"wmc": "wmc", "lcom2": "lcom2", "cbo": "cbo"})
 
 
-@register("feature-envy", "architecture")
+@register("feature-envy", "architecture", default=False)
 def feature_envy(f: Facts) -> DataFrame:
     """Methods that call one other type far more often than their own."""
     c = f.in_method(f.calls.where("receiver_type is not null"), "line", ["call_id"])

@@ -39,7 +39,7 @@ def _not_dominated(f: Facts, wanted: DataFrame, guards: DataFrame) -> DataFrame:
     return w.join(ok, ["file", "call_id"], "left_anti")
 
 
-@register("missing-guard-dom", "security")
+@register("missing-guard-dom", "security", default=False)
 def missing_guard(f: Facts) -> DataFrame:
     """Sensitive operations that an authorisation check does not dominate in their method."""
     c = f.in_method(f.of_language(f.calls, "java"), "line", ["call_id"])

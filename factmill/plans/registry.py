@@ -16,30 +16,31 @@ class Pass:
     category: str
     run: Callable[..., DataFrame]
     needs: tuple[str, ...] = ()
+    default: bool = True  # runs unless named otherwise
 
 
 PASSES: dict[str, Pass] = {}
 
 
-def register(name: str, category: str, needs: tuple[str, ...] = ()):
-    """Decorator. A pass may need others, which must be registered before it."""
+def register(name: str, category: str, needs: tuple[str, ...] = (), default: bool = True):
+    """Decorator. A pass may need others, which must be registered before it; one that is not a default runs only when it is named."""
 
     def put(f):
         missing = [n for n in needs if n not in PASSES]
         if missing or name in PASSES:
             raise ValueError(f"{name}: {'needs ' + ', '.join(missing) if missing else 'registered already'}")
-        PASSES[name] = Pass(name, category, f, needs)
+        PASSES[name] = Pass(name, category, f, needs, default)
         return f
 
     return put
 
 
 def run(facts: Facts, names: Iterable[str] | None = None, disabled: Iterable[str] = (), options: dict[str, dict] | None = None) -> DataFrame:
-    """The findings of the named passes (all by default) but the disabled ones, as one frame."""
+    """The findings of the named passes (all defaults if none is named) but the disabled ones, as one frame."""
     from . import load
 
     load()
-    chosen = [n for n in (names or PASSES) if n not in set(disabled)]
+    chosen = [n for n in (names or [n for n, p in PASSES.items() if p.default]) if n not in set(disabled)]
     out = facts.spark.createDataFrame([], facts.findings.schema)
     for n in chosen:
         out = out.unionByName(PASSES[n].run(facts, **(options or {}).get(n, {})))
