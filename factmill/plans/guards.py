@@ -82,7 +82,7 @@ def cache_no_vary(f: Facts) -> DataFrame:
 
 def prompt_sinks(f: Facts) -> DataFrame:
     """file, call_id, line, expression, delimited, is_system: arguments of model calls, and whether what goes in is fenced off."""
-    c = f.calls.where(F.col("method_name").rlike(f"^({PROMPTS})$") & F.coalesce("receiver", F.lit("")).rlike("(?i)(openai|anthropic|client|llm|model|chat|completions?|messages)"))
+    c = f.calls.where(F.col("method_name").rlike(f"^({PROMPTS})$") & F.coalesce("receiver", F.lit("")).rlike("(?i)(client|llm|model|chat|completions?|messages)"))
     a = c.select("file", "call_id", "line").join(f.call_args.select("file", "call_id", "expression"), ["file", "call_id"])
     delimited = F.col("expression").rlike("(<\\w+>|```|\"\"\"|###|---|\\[\\w+\\])[^<]*(\\{\\w+\\}|\\$\\{|\"\\s*\\+)")
     return a.withColumn("delimited", delimited).withColumn("is_system", F.col("expression").rlike("(?i)role['\"]?\\s*[:=]\\s*['\"]system"))

@@ -83,3 +83,17 @@ def similar(findings: DataFrame, finding_id: str) -> DataFrame:
 
 def capped_text(column: str, most: int = 2048) -> F.Column:
     return F.when(F.length(column) > most, F.concat(F.substring(column, 1, most), F.lit("..."))).otherwise(F.col(column))
+
+
+def observed(findings: DataFrame, name: str = "findings"):
+    """findings that count themselves while an action runs, and the observation that has the counts afterwards."""
+    from pyspark.sql import Observation
+
+    o = Observation(name)
+    return findings.observe(o, F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity").isin("high", "critical")).alias("severe")), o
+
+
+def explained(findings: DataFrame, finding_id: str, lines: DataFrame, around: int = 3) -> DataFrame:
+    """A finding with the source lines around it."""
+    one = findings.where(F.col("id") == finding_id).select("id", "rule_id", "message", "fix", "file", F.col("line").alias("at"))
+    return lines.join(F.broadcast(one), "file").where(F.abs(F.col("line") - F.col("at")) <= around).select("id", "rule_id", "message", "fix", "file", "line", "text")

@@ -136,6 +136,32 @@ def paths(f: Facts, most_hops: int = 50, per_sink: int = 10, branching: int = 3)
     return picks.capped(hit, ["file", "sink_ord"], ["length", "path"], per_sink).select("file", "sink_ord", "path", "length")
 
 
+def verify(f: Facts, most_hops: int = 30) -> DataFrame:
+    """file, src_ord, sink_ord, found, sanitized, length, confidence for each source-sink pair that the reach matrix allows.
+
+    The shortest way from the source's definitions to a use on the sink's line decides: direct ones count more, long ones less.
+    """
+    s = f.taint_sources.select("file", "src_ord", F.col("type").alias("source_type"))
+    k = f.taint_sinks.select("file", "sink_ord", F.col("type").alias("sink_type"), F.col("line").alias("k_line"))
+    pairs = joins.reach_pairs(s, k, rules.reach(f.spark), ["file"])
+    seeds = initial_taint(f).select("file", "src_ord", "id")
+    e = f.dfg_chains.join(seeds.select("file", "src_ord").distinct(), "file")
+    reach = graph.reachable(seeds, e, ["file", "src_ord"], "id", "from_def", "to_def", at_most=most_hops)
+    u = f.dfg_uses.where("def_id is not null").select("file", F.col("def_id").alias("id"), F.col("line").alias("k_line")).distinct()
+    length = reach.join(u, ["file", "id"]).join(k.select("file", "sink_ord", "k_line"), ["file", "k_line"]).groupBy("file", "src_ord", "sink_ord").agg((F.min("depth") + 1).alias("length"))
+    clean = sanitized_sinks(f).withColumn("sanitized", F.lit(True))
+    v = pairs.join(length, ["file", "src_ord", "sink_ord"], "left").join(clean, ["file", "sink_ord"], "left")
+    n = F.col("length")
+    sure = F.lit(0.9) + F.when(n <= 1, 0.05).otherwise(0.0) - F.when(n > 10, 0.15).when(n > 5, 0.05).otherwise(0.0)
+    conf = F.when(n.isNull(), 0.2).when(F.col("sanitized"), 0.1).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.5), sure)))
+    return v.select("file", "src_ord", "sink_ord", n.isNotNull().alias("found"), F.coalesce("sanitized", F.lit(False)).alias("sanitized"), "length", conf.alias("confidence"))
+
+
+def flow_statistics(found: DataFrame) -> DataFrame:
+    """sink_type, n, confidence (mean) of flows."""
+    return found.groupBy("sink_type").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
+
+
 def generate_findings(f: Facts) -> DataFrame:
     """file, sink_line, type, cwe, severity, confidence, exploitable, sources: source-sink pairs that the reach matrix allows.
 

@@ -98,3 +98,19 @@ def exports(f: Facts) -> DataFrame:
     m = f.methods.where(public("modifiers") | F.coalesce(F.array_contains("modifiers", "protected"), F.lit(False))).select("file", F.concat_ws(".", "type_name", "name").alias("symbol"), F.lit("method").alias("kind"), F.when(public("modifiers"), "public").otherwise("protected").alias("visibility"))
     d = f.fields.where(public("modifiers")).select("file", F.col("name").alias("symbol"), F.lit("field").alias("kind"), F.lit("public").alias("visibility"))
     return t.unionByName(m).unionByName(d)
+
+
+def registrations(f: Facts) -> DataFrame:
+    """file, line, kind, framework, path, handler: routes, middleware and listeners that calls or decorators register."""
+    first = f.call_args.where("position = 0").select("file", "call_id", F.col("literal").alias("path"), F.col("variable").alias("only"))
+    last = f.call_args.groupBy("file", "call_id").agg(F.max_by("variable", "position").alias("handler"))
+    c = f.of_language(f.calls, "javascript", "typescript").where(F.col("receiver").rlike("(?i)(^|\\.)(app|router|server|api|emitter|bus|fastify|socket|io)$"))
+    c = c.join(first, ["file", "call_id"], "left").join(last, ["file", "call_id"], "left")
+    name = F.col("method_name")
+    kind = F.when(name.isin("get", "post", "put", "delete", "patch", "all", "head", "options") & F.col("path").startswith("/"), "route").when(name == "use", "middleware").when(name.isin("on", "once", "addListener"), "listener")
+    js = c.withColumn("kind", kind).where("kind is not null").select("file", "line", "kind", F.when(F.col("receiver").rlike("(?i)fastify"), "fastify").otherwise("express").alias("framework"), "path", F.coalesce("handler", "only").alias("handler"))
+    m = f.methods.withColumn("a", F.explode("annotations"))
+    route = F.regexp_extract("a", r"[\"']([^\"']*)[\"']", 1)
+    py = m.where(F.col("a").rlike(r"\.(route|get|post|put|delete|patch|websocket)\(")).select("file", F.col("start_line").alias("line"), F.lit("route").alias("kind"), F.when(F.col("a").rlike(r"\.route\("), "flask").otherwise("fastapi").alias("framework"), F.nullif(route, F.lit("")).alias("path"), F.col("name").alias("handler"))
+    java = m.where(F.col("a").rlike("(Get|Post|Put|Delete|Patch|Request)Mapping")).select("file", F.col("start_line").alias("line"), F.lit("route").alias("kind"), F.lit("spring").alias("framework"), F.nullif(route, F.lit("")).alias("path"), F.col("name").alias("handler"))
+    return js.unionByName(py).unionByName(java)

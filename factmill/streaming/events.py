@@ -64,3 +64,9 @@ def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 def for_each_batch(df: DataFrame, write, checkpoint: str):
     """write(batch, epoch) for each micro-batch; a batch that is repeated comes with the same epoch."""
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def new_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """file, modified, text of source files as they arrive; the per-file passes take it like a scan."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return raw.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))

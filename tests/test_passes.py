@@ -165,6 +165,15 @@ def test_taint_flow(spark):
     assert taint.flows(matched(spark, clean=(5,))).count() == 0
 
 
+def test_verification(spark):
+    (v,) = taint.verify(matched(spark)).collect()
+    assert (v.found, v.sanitized, v.length) == (True, False, 1) and v.confidence == pytest.approx(0.95)
+    (v,) = taint.verify(matched(spark, clean=(5,))).collect()
+    assert v.sanitized and v.confidence == pytest.approx(0.1)
+    (s,) = taint.flow_statistics(taint.flows(matched(spark))).collect()
+    assert (s.sink_type, s.n) == ("sql_injection", 1)
+
+
 def test_propagation(spark):
     defs = [{"id": i, "variable": f"v{i}", "line": i + 1, "kind": "local"} for i in range(4)]
     chains = [{"from_def": a, "to_def": b, "via": "v"} for a, b in ((0, 1), (1, 2), (2, 3))]
@@ -225,6 +234,19 @@ def test_reports(spark):
     assert reports.text(f).count() == 2 and reports.similar(f, "0").count() == 1
 
 
+def test_observed_and_explained(spark):
+    f, o = reports.observed(found(spark, {"rule_id": "a", "severity": "high"}, {"rule_id": "b"}))
+    f.count()
+    assert o.get["severe"] == 1 and o.get["findings"] == 2
+    lines = spark.createDataFrame([("A", i, f"l{i}") for i in range(1, 9)], "file string, line int, text string")
+    assert [r.line for r in reports.explained(f, "0", lines).orderBy("line").collect()] == [1, 2, 3, 4]
+
+
+def test_registrations(spark):
+    f = facts(spark, "javascript", calls=[{"call_id": 0, "method_name": "get", "receiver": "app", "line": 3}, {"call_id": 1, "method_name": "get", "receiver": "cache", "line": 4}, {"call_id": 2, "method_name": "use", "receiver": "app", "line": 5}], call_args=[{"call_id": 0, "position": 0, "literal": "/u"}, {"call_id": 0, "position": 1, "variable": "list"}, {"call_id": 2, "position": 0, "variable": "auth"}], methods=[METHOD[0] | {"annotations": ["app.route('/x')"], "name": "v"}])
+    assert {(r.kind, r.path, r.handler) for r in files.registrations(f).collect()} == {("route", "/u", "list"), ("middleware", None, "auth"), ("route", "/x", "v")}
+
+
 def test_halstead(spark):
     lines = spark.createDataFrame([("e", 1, ""), ("f", 1, "function add(a, b) { return a + b; }")], "file string, line int, text string")
     got = {r.file: r for r in metrics.halstead(lines).collect()}

@@ -97,3 +97,10 @@ def test_streams_equal_their_batch_form(spark):
         assert set(rows) <= set(batch) and len(rows) > 0.9 * len(batch)  # the last windows stay open until later events come
     once = events.run_to_memory(events.once(events.read(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"), "once")
     assert once.count() >= events.read(spark, d, streaming=False).select("user_id", "event_type").distinct().count()
+
+
+def test_new_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_text("x = 1\n")
+    got = events.run_to_memory(events.new_files(spark, str(tmp_path / "in"), "*.py"), "new_files").collect()
+    assert [(r.file.endswith("a.py"), r.text) for r in got] == [(True, "x = 1\n")]
