@@ -2,10 +2,10 @@
 
 Operators that compare parts of all documents with each other need two kinds of places: a chunk holds whole documents
 (CHUNK_BYTES of text), a bucket holds what all chunks know about a share of the keys. Packed reads the documents once, puts
-each chunk into one compressed row and cuts the lineage in the shared folder. Later rounds read the rows from there; where answers
-join them, they are dealt by chunk, once for all rounds that are part of one plan. In a round every chunk sends one message to each bucket (ask), each bucket
-answers each chunk that asked (answer), and the chunk goes on with the answers (resume). Messages are arrays packed by
-the operator, so that rows stay few and the work on them is done on whole arrays.
+each chunk into one compressed row and cuts the lineage in the shared folder. Later rounds read the rows from there; where
+answers join them, they are dealt by chunk, once for all rounds that are part of one plan. In a round every chunk sends one
+message to each bucket (ask), each bucket answers each chunk that asked (answer), and the chunk goes on with the answers
+(resume). Messages are arrays packed by the operator, so that rows stay few and the work on them is done on whole arrays.
 
 A chunk says each thing once, however often its documents repeat it. So a key that a third of all documents have
 costs its bucket one entry for each chunk.
