@@ -15,7 +15,7 @@ from .facts import SCHEMAS, Facts
 from .functions import text as fn
 from .operators import graph, joins, picks
 from .plans import findings as fd
-from .plans import markup, metrics, performance, post, reliability, rules, security
+from .plans import markup, metrics, performance, post, reliability, rules
 from .streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -561,4 +561,4 @@ def entry(s: SparkSession, d: str) -> DataFrame:
     return q_pass_n_plus_one(s, d)
 
 
-__all__ = ["ORACLES", "QUERIES", "entry", "security"]
+__all__ = ["ORACLES", "QUERIES", "entry"]
