@@ -37,7 +37,7 @@ class Encoder:
     Python sees the distinct ones only. Other texts are split by the vocabulary's pattern itself.
     """
 
-    def __init__(self, vocabulary: str, pattern: str | None = None):
+    def __init__(self, vocabulary: str, pattern: str | None = None, cache_units: int = CACHE_UNITS):
         import re
 
         import regex
@@ -49,6 +49,7 @@ class Encoder:
             pattern = public_tokenizers.PATTERN
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(vocabulary)
+        self.cache_units = cache_units
         self.library.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.pattern = regex.compile(pattern).findall
         # the first marks keys; the rest is white space to some engines only
@@ -72,7 +73,7 @@ class Encoder:
         """Keeps the units that were met again, the most frequent half of the cache at most."""
         n = len(self.index)
         hits = self.hits[:n]
-        least = max(2, int(np.partition(hits, -CACHE_UNITS // 2)[-CACHE_UNITS // 2]) + 1) if n > CACHE_UNITS // 2 else 2
+        least = max(2, int(np.partition(hits, -self.cache_units // 2)[-self.cache_units // 2]) + 1) if n > self.cache_units // 2 else 2
         keep = hits >= least
         length = self.length[:n][keep]
         place = np.arange(int(length.sum())) + np.repeat(self.start[:n][keep] - (np.cumsum(length) - length), length)
@@ -132,7 +133,7 @@ class Encoder:
 
     def _look_up(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The cache's number of each unit, text after text; and the number of units of each text."""
-        if len(self.index) > CACHE_UNITS:
+        if len(self.index) > self.cache_units:
             self._trim()
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
@@ -172,6 +173,6 @@ class Encoder:
 
 
 @cache
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, cache_units: int = CACHE_UNITS) -> Encoder:
     """One for each worker process."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, cache_units=cache_units)

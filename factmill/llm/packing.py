@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import CACHE_UNITS
 from .common import scratch, tidy
 from .token_files import Shard, open_token_files, with_global_start, write_token_files
 
@@ -62,9 +63,9 @@ def _windows(window: int, batches):
             yield pa.record_batch([pa.array([a // window for a, _ in some]), pa.array([a % window for a, _ in some]), pa.array([b - a for a, b in some]), pa.array([ids[a - base : b - base].tobytes() for a, b in some], pa.binary())], names=["sequence_id", "offset", "length", "ids"])
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = 1, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = 1, vocabulary: str | None = None, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Encodes docs into a shard table at path; one row for each piece."""
-    write_token_files(docs, path, vocabulary, end)
+    write_token_files(docs, path, vocabulary, end, cache_units=cache_units)
     return packed_pieces(docs.sparkSession, path, window)
 
 

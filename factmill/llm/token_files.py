@@ -67,11 +67,11 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
-def _encode(vocabulary: str, end: int, shard_tokens: int, batches):
+def _encode(vocabulary: str, end: int, shard_tokens: int, cache_units: int, batches):
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    encoder = bpe.encoder(vocabulary)
+    encoder = bpe.encoder(vocabulary, cache_units)
     seq = start = size = 0
     keys, lengths, ids = [], [], []
 
@@ -96,11 +96,11 @@ def _encode(vocabulary: str, end: int, shard_tokens: int, batches):
         yield closed()
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = 0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Writes the shard table at path and returns it."""
+def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = 0, shard_tokens: int = SHARD_TOKENS, cache_units: int = bpe.CACHE_UNITS) -> DataFrame:
+    """Writes the shard table at path and returns it. cache_units: pre-tokens that a worker keeps; fewer need less memory and more time."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = ordered.mapInArrow(tidy(partial(_encode, vocabulary or bpe.default_vocabulary(), end, shard_tokens)), _SHARDS)
+    shards = ordered.mapInArrow(tidy(partial(_encode, vocabulary or bpe.default_vocabulary(), end, shard_tokens, cache_units)), _SHARDS)
     shards.write.mode("overwrite").parquet(path)
     return open_token_files(docs.sparkSession, path)
 
