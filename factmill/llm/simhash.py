@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, pieces, texts, tidy
 
@@ -49,13 +48,13 @@ _LOWER = bytes(range(97, 123))
 _SPACES = bytes([9, 10, 11, 12, 13])
 
 
-def _prints(items: list[str], words: int) -> np.ndarray:
-    """Fingerprints, as uint64. Words are split on UTF-8 bytes: the separators are ASCII, so no character is cut."""
+def shingles(items: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of all texts, as uint64, and how many each text has. Words are split on UTF-8 bytes: the
+    separators are ASCII, so no character is cut."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     table = bytes.maketrans(_UPPER + _SPACES, _LOWER + b" " * 5)
-    out = np.zeros(len(items), np.uint64)
     hashes, counts = [], np.zeros(len(items), np.int64)
     for k, text in enumerate(items):
         w = [x for x in text.encode("utf-8", "surrogatepass").translate(table).split(b" ") if x]
@@ -72,7 +71,13 @@ def _prints(items: list[str], words: int) -> np.ndarray:
             own = [digest(view[a:b], 42) for a, b in zip(starts[: 1 - words].tolist() if words > 1 else starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
         hashes += own
         counts[k] = len(own)
-    h = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64), counts
+
+
+def _prints(items: list[str], words: int) -> np.ndarray:
+    """Fingerprints, as uint64."""
+    out = np.zeros(len(items), np.uint64)
+    h, counts = shingles(items, words)
     at = 0
     for lo, hi in _blocks(counts):
         n = counts[lo:hi]
@@ -278,27 +283,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     return prints.join(of, "fp")
 
 
-def with_fingerprint(docs: DataFrame, column: str, words: int = 3) -> DataFrame:
-    """All columns of docs and the fingerprint."""
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-
-    def go(batches):
-        for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
-                yield pa.record_batch([*piece.columns, pa.array(_prints(texts(piece), words).view(np.int64))], names=[*piece.schema.names, column])
-
-    return rows.mapInArrow(tidy(go), StructType([*rows.schema.fields, StructField(column, LongType())]))
-
-
-def one_of_each(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, of each component only one: that of the least doc_id, and of its rows that of the least fingerprint."""
-    key, print_ = next((f"{p}key", f"{p}print") for p in ("", "_", "__", "___") if not {f"{p}key", f"{p}print"} & {*docs.columns})
-    found = near_duplicates(docs, words, radius)
-    null_last = F.coalesce("doc_id", F.lit(_NO_ID))
-    kept = found.groupBy(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("n")).agg(F.min(F.struct(null_last.alias(key), F.col("fp").alias(print_))).alias("k")).select("k.*")
-    rows = with_fingerprint(docs, print_, words).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    return rows.join(kept, [key, print_]).dropDuplicates([key, print_]).select(*[f"`{c}`" for c in docs.columns])
-
-
 def op7_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
