@@ -1,7 +1,8 @@
 """Line dedup within an edit bound: a deletion-neighbourhood join that keeps the earliest line.
 
 The unit of edit is the word. A line with NEAR_WORDS words or more goes if an earlier line of that size lies within
-one inserted, deleted or replaced word of it; a line with MIN_WORDS words or more goes if an earlier line has the same words. "Earlier"
+one inserted, deleted or replaced word of it; a line with min_words words
+or more (MIN_WORDS unless the caller says otherwise) goes if an earlier line has the same words. "Earlier"
 is by (doc_id, line number) over the whole table, and judged on the input, not on what is left. Shorter lines stay.
 
 Round 1 sends, for each distinct line of a chunk, its hash with its first place, and hashes of its halves: one edit leaves
@@ -107,7 +108,7 @@ class Lines:
     bucket: np.ndarray
 
     @classmethod
-    def of(cls, docs: pa.Table, buckets: int) -> Lines:
+    def of(cls, docs: pa.Table, buckets: int, min_words: int) -> Lines:
         data, bounds = strings(docs.column("text"))
         feeds = np.flatnonzero(data == 10)
         before = np.searchsorted(feeds, bounds)
@@ -126,7 +127,7 @@ class Lines:
         new[1:] = (line[1:] != line[:-1]) | (document[1:] != document[:-1])
         lead = np.flatnonzero(new)
         size = np.diff(np.append(lead, len(first)))
-        some = size >= MIN_WORDS
+        some = size >= min_words
         word = np.repeat(some, size)
         codes = _word_codes(data, first[word], length[word])
         lead, size = lead[some], size[some]
@@ -203,8 +204,8 @@ class Lines:
         return bucket[by], key[by], check[by].astype(np.uint32), place[by], line[by]
 
 
-def _say_lines(buckets: int, docs: pa.Table):
-    s = Lines.of(docs, buckets)
+def _say_lines(buckets: int, min_words: int, docs: pa.Table):
+    s = Lines.of(docs, buckets, min_words)
     key, line, bucket = s.halves(buckets)
     own, half = dict(s.parts(s.bucket)), dict(s.parts(bucket))
     for b in sorted({*own, *half}):
@@ -269,8 +270,8 @@ def _reply_lines(messages):
     return out
 
 
-def _say_variants(buckets: int, docs: pa.Table, answers: dict):
-    s = Lines.of(docs, buckets)
+def _say_variants(buckets: int, min_words: int, docs: pa.Table, answers: dict):
+    s = Lines.of(docs, buckets, min_words)
     bucket, key, check, place, line = s.neighbourhoods(answers, buckets)
     at = s.first[line]
     for b, p in s.parts(bucket):
@@ -300,8 +301,8 @@ def _reply_variants(messages):
     return [squeeze([np.packbits(told[e - n : e])]) if told[e - n : e].any() else None for n, e in zip(counts, ends, strict=True)]
 
 
-def _finish(buckets: int, names: tuple[str, str], docs: pa.Table, answers: dict) -> pa.Table:
-    s = Lines.of(docs, buckets)
+def _finish(buckets: int, min_words: int, names: tuple[str, str], docs: pa.Table, answers: dict) -> pa.Table:
+    s = Lines.of(docs, buckets, min_words)
     bucket, _, _, _, line = s.neighbourhoods(answers, buckets)
     near = np.zeros(len(s.first), bool)
     for b, p in s.parts(bucket):
@@ -323,20 +324,20 @@ def _finish(buckets: int, names: tuple[str, str], docs: pa.Table, answers: dict)
     return docs.append_column(names[1], pa.array([gone.get(d, []) for d in range(len(text))], pa.list_(pa.int64())))
 
 
-def dedup_lines(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, names: tuple[str, str] = ("n_lines", "removed_lines")) -> DataFrame:
+def dedup_lines(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, names: tuple[str, str] = ("n_lines", "removed_lines"), min_words: int = MIN_WORDS) -> DataFrame:
     """The columns of docs with the text's earlier-seen lines taken out, the number of lines and the numbers of those that went.
 
-    names: of the two new columns, which docs must not have.
+    names: of the two new columns, which docs must not have. min_words: lines of fewer words stay.
     """
     if {*names} & {*docs.columns}:
         raise ValueError(f"docs has a column {names[0]} or {names[1]}: give other names")
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     packed = Packed(rows, chunk_bytes=chunk_bytes, bucket_bytes=chunk_bytes)
     k = packed.buckets
-    seen = cut(answer(packed.ask(partial(_say_lines, k)), _reply_lines, 1))
-    near = answer(packed.ask_with(seen, partial(_say_variants, k)), _reply_variants, 2)
+    seen = cut(answer(packed.ask(partial(_say_lines, k, min_words)), _reply_lines, 1))
+    near = answer(packed.ask_with(seen, partial(_say_variants, k, min_words)), _reply_variants, 2)
     schema = StructType([*rows.schema.fields, StructField(names[0], LongType()), StructField(names[1], ArrayType(LongType()))])
-    return packed.resume(seen.unionByName(near), partial(_finish, k, names), schema)
+    return packed.resume(seen.unionByName(near), partial(_finish, k, min_words, names), schema)
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
