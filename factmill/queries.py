@@ -169,6 +169,13 @@ def q_join_pairs(s, d):
     return joins.ordered_pairs(u, ["p"], "k", []).groupBy("k_a", "k_b").agg(F.count("*").alias("n"))
 
 
+@query("")
+def q_join_pairs_whole(s, d):
+    """As join_pairs, of all suppliers of a part whatever the quantity."""
+    u = read(s, d, "lineitem").select(c("l_partkey").alias("p"), c("l_suppkey").alias("k")).distinct()
+    return joins.ordered_pairs(u, ["p"], "k", []).groupBy("k_a", "k_b").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p.page_id, r.root FROM (SELECT page_id, regexp_replace(split_part(regexp_replace(url, '^https?://', ''), '?', 1), '#.*', '') AS path FROM pages) p JOIN LATERAL (SELECT root FROM (SELECT DISTINCT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS root FROM pages UNION SELECT DISTINCT split_part(regexp_replace(url, '^https?://', ''), '/', 1) || '/en' FROM pages WHERE url LIKE '%/en/%') x WHERE starts_with(p.path, x.root || '/') ORDER BY length(root) DESC LIMIT 1) r ON true")
 def q_join_longest_prefix(s, d):
     """The deepest of the known roots (hosts, and hosts with /en) that holds a page."""
@@ -265,6 +272,13 @@ def q_agg_pair_counts(s, d):
     return picks.lcom(picks.shared_pairs(m, m, ["k"], "b", "t")).select("k", "n", "q", c("lcom").cast("long").alias("lcom"))
 
 
+@query("")
+def q_agg_pair_counts_whole(s, d):
+    """As agg_pair_counts, of all that a supplier delivers whatever the quantity."""
+    m = read(s, d, "lineitem").join(read(s, d, "part"), c("l_partkey") == c("p_partkey")).select(c("l_suppkey").alias("k"), c("p_brand").alias("b"), c("p_type").alias("t")).distinct()
+    return picks.lcom(picks.shared_pairs(m, m, ["k"], "b", "t")).select("k", "n", "q", c("lcom").cast("long").alias("lcom"))
+
+
 @query("WITH x AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS r FROM x) SELECT o_custkey, o_orderpriority, n FROM y WHERE r = 1")
 def q_agg_argmax(s, d):
     g = read(s, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"))
