@@ -202,7 +202,7 @@ class _File:
             for i, (a, b) in enumerate(args):
                 text = self.raw[a:b].strip()
                 literal = re.fullmatch(r"""["'`]([^"'`]*)["'`]|(-?\d[\w.]*|true|false|null)""", text)
-                self.add("call_args", n, i, text[:500], text if re.fullmatch(r"[\w$]+", text) and not literal else None, (literal[1] if literal[1] is not None else literal[2]) if literal else None, None)
+                self.add("call_args", n, i, text, text if re.fullmatch(r"[\w$]+", text) and not literal else None, (literal[1] if literal[1] is not None else literal[2]) if literal else None, None)
         self._blocks(methods)
 
     def _define(self, name, line, column, kind, expression) -> int:
