@@ -1,19 +1,23 @@
 """Quality by weak supervision: rules vote or abstain, EM weighs them, and a posterior probability decides.
 
 Only DataFrame functions run. document_statistics() computes everything inside a row (no shuffle), votes() turns the
-statistics into votes of +1 (good), -1 (bad) or 0 (abstains). Documents are counted by their votes, at most
+statistics into votes of +1 (good), -1 (bad) or 0 (abstains). Documents that pass the base rules are counted by their votes, at most
 3 ** len(RULES) rows whatever the input; EM for a two-coin model (each rule has an accuracy on good documents and one on bad documents, since a rule
 knows one kind of fault and passes the others; abstentions carry no evidence) is a fold over that frame's single row of
 counts. The result, a prior and two accuracies for each rule, becomes literals of the plan that scores each document.
 
+Several rules look at one kind of fault from different sides, so that their agreement tells EM whom to believe: a rule whose bad votes the
+others do not share is taken to err on good documents, and its lone vote is outvoted. What is known beforehand enters as a weak Beta prior on
+each accuracy, a few votes against a corpus; no bound holds an estimate. Documents that fail the base rules are not fitted on: they are dropped
+anyway, and as the bad class they would make each rule for another fault look wrong.
+
 Null and empty texts have no words: all counts 0, base_failed, not kept. Ties at posterior 0.5 are kept. Copies count as
 often as they occur. Very long texts cost n log n in their number of words. Over an empty table nothing is estimated
-and the result is empty. Columns other than doc_id and text are not read.
+and the result is empty; where no document passes the base rules, the priors stand. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,33 +27,37 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Rounds of EM; where it starts: share of good documents, a rule's accuracy on good and on bad documents.
-ROUNDS, PRIOR, ON_GOOD, ON_BAD = 25, 0.7, 0.999, 0.25
-#: A rule says bad only where good documents hardly come: EM may not take it to err on more of them than this leaves.
-LEAST_ON_GOOD = 0.999
-#: Votes of each kind that every rule is taken to have cast beforehand.
-PSEUDO = 0.5
+ROUNDS, PRIOR, ON_GOOD, ON_BAD = 50, 0.8, 0.9, 0.6
+#: Beta priors as votes cast beforehand, (right, wrong): of each rule on good and on bad documents; and documents seen, (good, bad).
+GOOD_VOTES, BAD_VOTES, SEEN = (9, 1), (5, 5), (8, 2)
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """bad and good: conditions over the statistics; where neither holds, the rule abstains. All in whole numbers."""
+    """bad and good: SQL conditions over the statistics, in whole numbers; where neither holds, the rule abstains."""
 
     name: str
-    bad: Callable[[], Column]
-    good: Callable[[], Column]
+    bad: str
+    good: str
 
 
 c = F.col
 RULES = [
-    Rule("symbols", lambda: c("n_symbols") * 10 > c("n_words"), lambda: c("n_symbols") * 100 <= c("n_words")),
-    Rule("repeated_words", lambda: c("n_repeat_words") * 100 > c("n_words") * 30, lambda: c("n_repeat_words") * 100 <= c("n_words") * 10),
-    Rule("repeated_lines", lambda: (c("n_dup_lines") * 10 > c("n_lines") * 4) & (c("n_dup_lines") > 2), lambda: (c("n_dup_lines") == 0) & (c("n_lines") > 1)),
-    Rule("word_length", lambda: (c("word_chars") > c("n_words") * 10) | (c("word_chars") * 2 < c("n_words") * 5), lambda: (c("word_chars") * 2 <= c("n_words") * 13) & (c("word_chars") * 2 >= c("n_words") * 7)),
-    Rule("upper_case", lambda: c("n_upper") * 10 > c("word_chars") * 3, lambda: c("n_upper") * 10 <= c("word_chars")),
-    Rule("line_ends", lambda: (c("n_ended_lines") * 5 < c("n_lines")) & (c("n_lines") > 4), lambda: c("n_ended_lines") * 10 >= c("n_lines") * 8),
-    Rule("variety", lambda: (c("n_distinct_words") * 10 < c("n_words") * 3) & (c("n_words") <= 2000), lambda: c("n_distinct_words") * 10 >= c("n_words") * 6),
+    # symbols: per word, among the words' characters, runs of them per word; and what is left for letters
+    Rule("symbols", "n_symbols * 10 > n_words", "n_symbols * 100 <= n_words"),
+    Rule("symbol_share", "n_symbols * 100 > word_chars * 3", "n_symbols * 200 <= word_chars"),
+    Rule("symbol_runs", "n_symbol_runs * 20 > n_words", "n_symbol_runs * 100 <= n_words"),
+    Rule("letters", "n_letters * 100 < word_chars * 85", "n_letters * 100 >= word_chars * 93"),
+    # repetition: of windows, of lines, of words (distinct ones grow with the root of the length, so no length is exempt)
+    Rule("repeated_words", "n_repeat_words * 10 > n_words", "n_repeat_words * 50 <= n_words"),
+    Rule("repeated_lines", "n_dup_lines * 5 > n_lines", "n_dup_lines = 0 AND n_lines > 1"),
+    Rule("variety", "n_distinct_words * n_distinct_words < n_words * 15", "n_distinct_words * n_distinct_words >= n_words * 25"),
+    # form
+    Rule("word_length", "word_chars > n_words * 10 OR word_chars * 2 < n_words * 5", "word_chars * 2 <= n_words * 15 AND word_chars * 2 >= n_words * 7"),
+    Rule("upper_case", "n_upper * 100 > word_chars * 15", "n_upper * 100 <= word_chars * 12"),
+    Rule("line_ends", "n_ended_lines * 2 < n_lines AND n_lines > 4", "n_ended_lines * 10 >= n_lines * 8"),
 ]
 
 
@@ -72,6 +80,8 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]+")).cast("long").alias("n_symbol_runs"),
+        F.char_length(F.regexp_replace("text", "\\P{L}+", "")).cast("long").alias("n_letters"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.size("l").cast("long").alias("n_lines"),
         F.regexp_count("text", F.lit("\\p{Lu}")).cast("long").alias("n_upper"),
@@ -92,7 +102,7 @@ def base_failed() -> Column:
 
 def votes(statistics: DataFrame) -> DataFrame:
     """The statistics with a column v_<rule> for each rule: -1, 0 or +1."""
-    return statistics.withColumns({f"v_{r.name}": F.when(r.bad(), F.lit(-1)).when(r.good(), F.lit(1)).otherwise(F.lit(0)).cast("int") for r in RULES})
+    return statistics.withColumns({f"v_{r.name}": F.when(F.expr(r.bad), F.lit(-1)).when(F.expr(r.good), F.lit(1)).otherwise(F.lit(0)).cast("int") for r in RULES})
 
 
 def _weight(v: Column, on_good: Column, on_bad: Column) -> Column:
@@ -100,8 +110,8 @@ def _weight(v: Column, on_good: Column, on_bad: Column) -> Column:
     return F.when(v == 1, F.log(on_good / (1 - on_bad))).when(v == -1, F.log((1 - on_good) / on_bad)).otherwise(F.lit(0.0))
 
 
-def estimate(voted: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
-    """EM over the counts of vote patterns: {"prior": share of good documents, rule: (accuracy on good, on bad), ...}."""
+def estimate(voted: DataFrame, rounds: int = ROUNDS, start: tuple[float, float, float] = (PRIOR, ON_GOOD, ON_BAD)) -> dict:
+    """EM over the counts of vote patterns of all rows: {"prior": share of good documents, rule: (accuracy on good, on bad), ...}."""
     names = [f"v_{r.name}" for r in RULES]
     at = range(len(names))
     patterns = voted.groupBy(*names).agg(F.count("*").cast("double").alias("n"))
@@ -124,15 +134,15 @@ def estimate(voted: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
             return F.struct((s["n"] + x["n"]).alias("n"), (s["good"] + x["good"]).alias("good"), each("gg", F.lit(1), x["good"]), each("gb", F.lit(-1), x["good"]), each("bg", F.lit(1), bad), each("bb", F.lit(-1), bad))
 
         def updated(s: Column) -> Column:
-            g = [F.greatest((s["gg"][j] + PSEUDO) / (s["gg"][j] + s["gb"][j] + 2 * PSEUDO), F.lit(LEAST_ON_GOOD)) for j in at]
-            b = [(s["bb"][j] + PSEUDO) / (s["bb"][j] + s["bg"][j] + 2 * PSEUDO) for j in at]
-            return F.struct(((s["good"] + PSEUDO) / (s["n"] + 2 * PSEUDO)).alias("prior"), F.array(*g).alias("g"), F.array(*b).alias("b"))
+            g = [(s["gg"][j] + GOOD_VOTES[0]) / (s["gg"][j] + s["gb"][j] + sum(GOOD_VOTES)) for j in at]
+            b = [(s["bb"][j] + BAD_VOTES[0]) / (s["bb"][j] + s["bg"][j] + sum(BAD_VOTES)) for j in at]
+            return F.struct(((s["good"] + SEEN[0]) / (s["n"] + sum(SEEN))).alias("prior"), F.array(*g).alias("g"), F.array(*b).alias("b"))
 
-        start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("good"), *[zeros().alias(x) for x in ("gg", "gb", "bg", "bb")])
-        return F.aggregate(F.transform("p", with_posterior), start, add, updated)
+        empty = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("good"), *[zeros().alias(x) for x in ("gg", "gb", "bg", "bb")])
+        return F.aggregate(F.transform("p", with_posterior), empty, add, updated)
 
-    start = F.struct(F.lit(PRIOR).alias("prior"), F.array(*[F.lit(ON_GOOD) for _ in at]).alias("g"), F.array(*[F.lit(ON_BAD) for _ in at]).alias("b"))
-    state = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("s")).first()["s"]
+    first = F.struct(F.lit(start[0]).alias("prior"), F.array(*[F.lit(start[1]) for _ in at]).alias("g"), F.array(*[F.lit(start[2]) for _ in at]).alias("b"))
+    state = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step).alias("s")).first()["s"]
     return {"prior": state["prior"]} | {r.name: (state["g"][j], state["b"][j]) for j, r in enumerate(RULES)}
 
 
@@ -144,8 +154,8 @@ def posterior(model: dict) -> Column:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the statistics, votes, base_failed, quality (posterior) and kept."""
-    voted = stored(votes(document_statistics(docs)), "votes")
-    scored = voted.withColumn("base_failed", base_failed()).withColumn("quality", posterior(estimate(voted)))
+    voted = stored(votes(document_statistics(docs)).withColumn("base_failed", base_failed()), "votes")
+    scored = voted.withColumn("quality", posterior(estimate(voted.where(~c("base_failed")))))
     return scored.withColumn("kept", ~c("base_failed") & (F.round("quality", 9) >= 0.5))
 
 
@@ -155,21 +165,12 @@ def op9_quality_rules(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     """The same counts, votes and EM in DuckDB SQL: EM is a recursive query over the counts of vote patterns."""
-    bad_good = {
-        "symbols": ("n_symbols * 10 > n_words", "n_symbols * 100 <= n_words"),
-        "repeated_words": ("n_repeat_words * 100 > n_words * 30", "n_repeat_words * 100 <= n_words * 10"),
-        "repeated_lines": ("n_dup_lines * 10 > n_lines * 4 AND n_dup_lines > 2", "n_dup_lines = 0 AND n_lines > 1"),
-        "word_length": ("word_chars > n_words * 10 OR word_chars * 2 < n_words * 5", "word_chars * 2 <= n_words * 13 AND word_chars * 2 >= n_words * 7"),
-        "upper_case": ("n_upper * 10 > word_chars * 3", "n_upper * 10 <= word_chars"),
-        "line_ends": ("n_ended * 5 < n_lines AND n_lines > 4", "n_ended * 10 >= n_lines * 8"),
-        "variety": ("n_distinct * 10 < n_words * 3 AND n_words <= 2000", "n_distinct * 10 >= n_words * 6"),
-    }
     at = range(len(RULES))
-    cast = ", ".join(f"CASE WHEN {bad_good[r.name][0]} THEN -1 WHEN {bad_good[r.name][1]} THEN 1 ELSE 0 END AS v{j}" for j, r in enumerate(RULES))
+    cast = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{j}" for j, r in enumerate(RULES))
     vs = ", ".join(f"v{j}" for j in at)
     z = "ln(prior / (1 - prior))" + "".join(f" + CASE v{j} WHEN 1 THEN ln(g{j} / (1 - b{j})) WHEN -1 THEN ln((1 - g{j}) / b{j}) ELSE 0 END" for j in at)
-    g = ", ".join(f"greatest((coalesce(sum(n * q) FILTER (v{j} = 1), 0) + {PSEUDO}) / (coalesce(sum(n * q) FILTER (v{j} <> 0), 0) + {2 * PSEUDO}), {LEAST_ON_GOOD}) AS g{j}" for j in at)
-    b = ", ".join(f"(coalesce(sum(n * (1 - q)) FILTER (v{j} = -1), 0) + {PSEUDO}) / (coalesce(sum(n * (1 - q)) FILTER (v{j} <> 0), 0) + {2 * PSEUDO}) AS b{j}" for j in at)
+    g = ", ".join(f"(coalesce(sum(n * q) FILTER (v{j} = 1), 0) + {GOOD_VOTES[0]}) / (coalesce(sum(n * q) FILTER (v{j} <> 0), 0) + {sum(GOOD_VOTES)}) AS g{j}" for j in at)
+    b = ", ".join(f"(coalesce(sum(n * (1 - q)) FILTER (v{j} = -1), 0) + {BAD_VOTES[0]}) / (coalesce(sum(n * (1 - q)) FILTER (v{j} <> 0), 0) + {sum(BAD_VOTES)}) AS b{j}" for j in at)
     start = ", ".join([f"CAST({ON_GOOD} AS DOUBLE) AS g{j}" for j in at] + [f"CAST({ON_BAD} AS DOUBLE) AS b{j}" for j in at])
     words = "list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return f"""
@@ -179,16 +180,17 @@ windows AS (SELECT r, i, array_to_string(w[i:i + 2], chr(1)) AS k FROM (SELECT r
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM again) GROUP BY r),
 stats AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(regexp_extract_all(t, '[#*$%&|<>]+')) AS n_symbol_runs, length(regexp_replace(t, '\\P{{L}}+', '', 'g')) AS n_letters,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper,
-  len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '[.!?]$'))) AS n_ended, len(list_distinct(w)) AS n_distinct, coalesce(n_repeat_words, 0) AS n_repeat_words FROM parts LEFT JOIN covered USING (r)),
-cast_ AS (SELECT *, {cast} FROM stats),
-patterns AS (SELECT {vs}, CAST(count(*) AS DOUBLE) AS n FROM cast_ GROUP BY ALL),
+  len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '[.!?]$'))) AS n_ended_lines, len(list_distinct(w)) AS n_distinct_words, coalesce(n_repeat_words, 0) AS n_repeat_words FROM parts LEFT JOIN covered USING (r)),
+cast_ AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {cast} FROM stats),
+patterns AS (SELECT {vs}, CAST(count(*) AS DOUBLE) AS n FROM cast_ WHERE NOT base_failed GROUP BY ALL),
 em AS (SELECT 0 AS round, CAST({PRIOR} AS DOUBLE) AS prior, {start}
   UNION ALL
-  SELECT round + 1, (sum(n * q) + {PSEUDO}) / (sum(n) + {2 * PSEUDO}) AS prior, {g}, {b}
+  SELECT round + 1, (sum(n * q) + {SEEN[0]}) / (sum(n) + {sum(SEEN)}) AS prior, {g}, {b}
   FROM (SELECT em.round, n, {vs}, 1 / (1 + exp(-({z}))) AS q FROM em, patterns WHERE em.round < {ROUNDS}) GROUP BY round),
 model AS (SELECT * FROM em WHERE round = {ROUNDS}),
-judged AS (SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({z}))) AS quality FROM cast_ c, model)
+judged AS (SELECT c.*, 1 / (1 + exp(-({z}))) AS quality FROM cast_ c, model)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND round(quality, 9) >= 0.5 AS kept FROM judged
 """
 

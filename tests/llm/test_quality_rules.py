@@ -48,12 +48,16 @@ def test_counts(spark):
     assert {2, *range(100, 120)} <= kept and 5 not in kept and None not in kept
 
 
-def test_em_against_plain(spark):
-    voted = q.votes(q.document_statistics(frame(spark))).cache()
-    got = q.estimate(voted)
-    names = [r.name for r in q.RULES]
-    rows = [[r[f"v_{n}"] for n in names] for r in voted.collect()]  # as the plain loop below takes them
-    prior, acc = q.PRIOR, [(q.ON_GOOD, q.ON_BAD)] * len(names)
+def votes_frame(spark, rows):
+    """rows: (rule that votes: its vote, number of documents); rules not named vote as their key "rest" says, or good."""
+    out = []
+    for given, n in rows:
+        out += [[given.get(r.name, given.get("rest", 1)) for r in q.RULES]] * n
+    return spark.createDataFrame(out, ", ".join(f"v_{r.name} int" for r in q.RULES))
+
+
+def plain_em(rows, prior, on_good, on_bad):
+    acc = [(on_good, on_bad)] * len(q.RULES)
     for _ in range(q.ROUNDS):
         p = []
         for r in rows:
@@ -62,13 +66,63 @@ def test_em_against_plain(spark):
                 z += math.log(g / (1 - b)) if v > 0 else math.log((1 - g) / b) if v < 0 else 0
             p.append(1 / (1 + math.exp(-z)))
         new = []
-        for j in range(len(names)):
-            s = {(v, y): sum((x if y else 1 - x) for r, x in zip(rows, p, strict=True) if r[j] == v) + q.PSEUDO for v in (1, -1) for y in (0, 1)}
-            new.append((max(s[1, 1] / (s[1, 1] + s[-1, 1]), q.LEAST_ON_GOOD), s[-1, 0] / (s[-1, 0] + s[1, 0])))
-        acc, prior = new, (sum(p) + q.PSEUDO) / (len(p) + 2 * q.PSEUDO)
-    assert got["prior"] == pytest.approx(prior, rel=1e-6)
-    for n, a in zip(names, acc, strict=True):
-        assert got[n[2:] if n.startswith("v_") else n] == pytest.approx(a, rel=1e-6)
+        for j in range(len(q.RULES)):
+            s = {(v, y): sum((x if y else 1 - x) for r, x in zip(rows, p, strict=True) if r[j] == v) for v in (1, -1) for y in (0, 1)}
+            (a, b), (e, f) = q.GOOD_VOTES, q.BAD_VOTES
+            new.append(((s[1, 1] + a) / (s[1, 1] + s[-1, 1] + a + b), (s[-1, 0] + e) / (s[-1, 0] + s[1, 0] + e + f)))
+        acc, prior = new, (sum(p) + q.SEEN[0]) / (len(p) + sum(q.SEEN))
+    return prior, acc
+
+
+def test_em_against_plain(spark):
+    voted = q.votes(q.document_statistics(frame(spark))).cache()
+    rows = [[r[f"v_{n.name}"] for n in q.RULES] for r in voted.collect()]
+    for start in [(q.PRIOR, q.ON_GOOD, q.ON_BAD), (0.6, 0.8, 0.5)]:
+        got = q.estimate(voted, start=start)
+        prior, acc = plain_em(rows, *start)
+        assert got["prior"] == pytest.approx(prior, rel=1e-6)
+        for r, a in zip(q.RULES, acc, strict=True):
+            assert got[r.name] == pytest.approx(a, rel=1e-6)
+
+
+SYMBOLS = {"symbols": -1, "symbol_share": -1, "symbol_runs": -1}
+CORPUS = [({}, 4000), (SYMBOLS, 150), (SYMBOLS | {"letters": -1}, 150), ({"repeated_lines": -1}, 90), ({"symbols": -1, "symbol_share": -1, "letters": 0}, 30), ({"repeated_words": -1, "rest": 1}, 120)]
+
+
+def test_rules_are_weighed(spark):
+    """A lone vote of a rule that errs often is outvoted; rules that agree are not, though as many documents have the lone vote."""
+    model = q.estimate(votes_frame(spark, CORPUS))
+    assert model["repeated_lines"][1] < 0.3 < 0.9 < model["symbols"][1]
+    cases = [{}, {"repeated_lines": -1}, {"repeated_words": -1}, {"repeated_words": -1, "repeated_lines": -1}, SYMBOLS, {"symbols": -1, "symbol_share": -1}]
+    got = votes_frame(spark, [(x, 1) for x in cases]).withColumn("p", q.posterior(model))
+    by = {tuple(r)[:-1]: r.p for r in got.collect()}
+    p = [by[tuple(x.get(r.name, 1) for r in q.RULES)] for x in cases]
+    assert p[0] > 0.99 and p[1] > 0.9 and p[2] > 0.9 and p[4] < 0.01 and p[5] < 0.5
+    assert any(x < 0.5 for x in p) and any(x >= 0.5 for x in p[1:])  # no function of "a rule voted bad"
+
+
+def test_one_fixed_point_from_several_starts(spark):
+    voted = votes_frame(spark, CORPUS)
+    found = [q.estimate(voted, start=s) for s in [(0.8, 0.9, 0.6), (0.7, 0.999, 0.25), (0.5, 0.7, 0.7), (0.95, 0.95, 0.5)]]
+    for other in found[1:]:
+        assert other["prior"] == pytest.approx(found[0]["prior"], abs=1e-4)
+        for r in q.RULES:
+            assert other[r.name] == pytest.approx(found[0][r.name], abs=1e-3)
+
+
+def test_estimates_are_not_bounded(spark):
+    """A rule that votes bad on a third of the good documents gets no accuracy above what it shows."""
+    model = q.estimate(votes_frame(spark, [({}, 2000), ({"upper_case": -1}, 1000), (SYMBOLS | {"letters": -1}, 200)]))
+    assert model["upper_case"][0] == pytest.approx(2 / 3, abs=0.02)
+
+
+def test_base_failed_rows_are_not_fitted_on(spark):
+    texts = [(i, " ".join(f"nice{i}n{j}" for j in range(60 + i % 9)) + ".\nSecond line.") for i in range(60)]
+    texts += [(1000 + i, " ".join(f"w{i}n{j}%%% |" for j in range(70))) for i in range(12)]
+    junk = [(2000 + i, "x x x x") for i in range(300)]
+    kept = [{r.doc_id for r in q.op9_quality_rules(frame(spark, rows)).collect() if r.kept} for rows in (texts, texts + junk)]
+    assert kept[0] == kept[1] == set(range(60))
+    assert q.op9_quality_rules(frame(spark, junk[:3])).where("kept").count() == 0
 
 
 def test_empty(spark):
