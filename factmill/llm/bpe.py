@@ -3,6 +3,11 @@
 A byte-level BPE never merges across pre-tokens, so the ids of a text are the ids of its pre-tokens
 put one after another. Texts are split by the vocabulary's pattern; the library encodes the pre-tokens
 that the worker has not met yet. The cache is bounded; when it is full it starts anew.
+
+The splitting engines and the library know different versions of Unicode. Each character beyond the Latin blocks is put to all of
+them when a worker first meets it; a text with one on which they differ, or with a special token's string, is encoded by the library as a whole.
+So the ids are those of Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False), special tokens' strings included; with
+specials=False these strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ CACHE_UNITS = 600_000
 #: The vocabulary's pattern without its look-ahead, which matters where white space is followed by white space only.
 _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 #: Texts that it does not split exactly: with neighbouring white space, or characters that are white space beyond ASCII's or a mark.
+_FAR = r"[^\x00-\x{24f}]"  # the engines agree on what stands before
 _NOT_PLAIN = r"[ \t\n\f\r][ \t\n\f\r]|[\x00\x01\x0b\x1c-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -37,7 +43,7 @@ class Encoder:
     Python sees the distinct ones only. Other texts are split by the vocabulary's pattern itself.
     """
 
-    def __init__(self, vocabulary: str, pattern: str | None = None, cache_units: int = CACHE_UNITS):
+    def __init__(self, vocabulary: str, pattern: str | None = None, cache_units: int = CACHE_UNITS, specials: bool = True):
         import re
 
         import regex
@@ -50,10 +56,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(vocabulary)
         self.cache_units = cache_units
-        self.library.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.library.encode_special_tokens = not specials
+        self.specials = [x.content for x in self.library.get_added_tokens_decoder().values() if specials]
         self.pattern = regex.compile(pattern).findall
         # the first marks keys; the rest is white space to some engines only
-        self.odd = re.compile("[\x00\x01\x1c-\x1f\x85\u180e]").search
+        self.odd = re.compile("|".join(["[\x00\x01\x1c-\x1f\x85\u180e]", *map(re.escape, self.specials)])).search
+        self.kinds = [regex.compile(x).fullmatch for x in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")]
+        self.agreed: set[str] = set()
+        self.disputed: set[str] = set()
         vocab = self.library.get_vocab()
         self.leads = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
         for token, i in vocab.items():
@@ -108,13 +118,37 @@ class Encoder:
         self.used += len(flat)
         self.index.update(zip(units, range(n, n + m), strict=True))
 
-    def _units(self, text: str) -> list[str]:
-        """By the pattern; a text on whose white space engines disagree is one unit, behind a mark."""
-        return ["\0" + text] if self.odd(text) else self.pattern(text)
+    def _ask(self, characters: set[str]):
+        """Puts each character to the engines and the library: a letter, a number, white space, or none of them?"""
+        new = sorted(characters)
+        arrow = [pc.match_substring_regex(pa.array(new, pa.string()), f"^{x}$").to_pylist() for x in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")]
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        for i, x in enumerate(new):
+            told = [len(split(lead + x)) == 1 for lead in "a1!"]
+            same = told == [bool(k(x)) for k in self.kinds] == [k[i] for k in arrow] or (not any(told) and x.isspace())
+            (self.agreed if same else self.disputed).add(x)
+
+    def _doubtful(self, texts: pa.Array) -> np.ndarray:
+        """Texts with characters on which the engines differ."""
+        out = np.asarray(pc.match_substring_regex(texts, _FAR).to_numpy(zero_copy_only=False), bool)
+        at = np.flatnonzero(out)
+        own = [set(t) for t in texts.take(pa.array(at)).to_pylist()]
+        new = {x for x in set().union(*own) if x > "\u024f"} - self.agreed - self.disputed
+        if new:
+            self._ask(new)
+        out[at] = [not self.disputed.isdisjoint(x) for x in own]
+        return out
+
+    def _units(self, text: str, whole: bool) -> list[str]:
+        """By the pattern; a text on which engines disagree, or with a special token's string, is one unit, behind a mark."""
+        return ["\0" + text] if whole or self.odd(text) else self.pattern(text)
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The units, text after text, and the texts' numbers of units."""
-        plain = ~np.asarray(pc.match_substring_regex(texts, _NOT_PLAIN).to_numpy(zero_copy_only=False), bool)
+        doubtful = self._doubtful(texts)
+        plain = ~(doubtful | np.asarray(pc.match_substring_regex(texts, _NOT_PLAIN).to_numpy(zero_copy_only=False), bool))
+        for x in self.specials:
+            plain &= ~np.asarray(pc.match_substring(texts, x).to_numpy(zero_copy_only=False), bool)
         some = texts if plain.all() else texts.filter(pa.array(plain))
         lists = pc.split_pattern(pc.replace_substring_regex(some, _PARTS, "\x01\\0"), "\x01")
         counts = np.zeros(len(texts), np.int64)
@@ -122,7 +156,7 @@ class Encoder:
         units = pc.list_flatten(lists)
         if plain.all():
             return units, counts
-        other = [self._units(t) for t in texts.filter(pa.array(~plain)).to_pylist()]
+        other = [self._units(t, w) for t, w in zip(texts.filter(pa.array(~plain)).to_pylist(), doubtful[~plain].tolist(), strict=True)]
         counts[~plain] = [len(x) for x in other]
         every = pa.concat_arrays([units, pa.array(list(itertools.chain.from_iterable(other)), pa.string())])
         first = np.empty(len(texts), np.int64)  # of each text in `every`

@@ -1,4 +1,7 @@
+import random
+import sys
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -11,10 +14,13 @@ SCHEMA = "doc_id long, text string, lang string, length long, part int, ids stri
 ROWS = [(5, "The cat's  nap\n\n x1 ", "en", 1, 2, "a"), (2, None, None, None, None, None), (9, "", "en", 0, 0, ""), (7, "été  \x1c b " * 900, "fr", 3, 1, "b"), (5, "The cat's  nap\n\n x1 ", "en", 1, 2, "a"), (None, "lost", "en", 1, 1, "c"), (-3, "<|endoftext|> 数字 ½", "en", 1, 1, "c")]
 
 
+@cache
+def library():
+    return Tokenizer.from_file(bpe.default_vocabulary())
+
+
 def library_ids(text):
-    t = Tokenizer.from_file(bpe.default_vocabulary())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -48,6 +54,42 @@ def test_encoder_equals_library():
     assert (n - 1).tolist() == e.lengths(texts).tolist() == [len(library_ids(t)) for t in texts]
 
 
+def test_any_text_equals_library():
+    """20,000 texts of code points from all of Unicode, assigned or not, white space, contractions and special strings."""
+    r = random.Random(3)
+    every = [c for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff"]
+    rare = ["\U00013714", "\U000135b0", "\U00013b39", "\U0001df45", "\u180e", "\u2028", "\x85", "\x1c", "\x00", "\x01", "\u200b", "\ufeff", "é", "½", "数", "٣"]
+    common = ["'s", "'ve", "'ll", "<|endoftext|>", "<|endof", " ", "  ", "\n", "\n\n", "\t", " a", "word", "Été", "12", "!?", "_"]
+    texts = ["".join(r.choice(every) if x < 0.3 else r.choice(rare) if x < 0.45 else r.choice(common) for x in (r.random() for _ in range(r.randint(0, 12)))) for _ in range(20000)]
+    e = bpe.Encoder(bpe.default_vocabulary())
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        ids, n = e.encode(some)
+        want = [x.ids for x in library().encode_batch(some, add_special_tokens=False)]
+        assert n.tolist() == [len(x) for x in want]
+        assert ids.tolist() == sum(want, [])
+
+
+def test_every_character_equals_library():
+    e = bpe.Encoder(bpe.default_vocabulary())
+    every = [c for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff"]
+    texts = [f"a{c}'ve  {c}1" for c in every if c < "\U00034000" or c >= "\U000e0000" and c < "\U000e0200"]
+    for at in range(0, len(texts), 20000):
+        some = texts[at : at + 20000]
+        ids, n = e.encode(some)
+        want = [x.ids for x in library().encode_batch(some, add_special_tokens=False)]
+        assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_special_strings_as_ordinary_text():
+    e = bpe.Encoder(bpe.default_vocabulary(), specials=False)
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    t.encode_special_tokens = True
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "plain"):
+        ids, _ = e.encode([text])
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs, tmp_path):
     got = [tuple(r) for r in token_files.op4_token_files(spark, docs).collect()]
     at, want = 0, []
