@@ -1,8 +1,9 @@
 """Elias-Fano coding of a non-decreasing sequence, with a select structure over its upper bits.
 
 n values below u take about n * (2 + log2(u / n)) bits. The lower bits of all values stand in one packed array;
-the upper bits are unary: value i sets bit (value >> low) + i. select(i) finds the i-th set bit from a sample of
-every SAMPLE-th one and the byte counts in between, so no table of 64-bit offsets is kept.
+the upper bits are unary: value i sets bit (value >> low) + i. select() finds the i-th set bit from a sample of
+every SAMPLE-th one and the bits in between, so no table of 64-bit offsets is kept; select_range() does so for a run of values, reading the
+stretch between two samples alone.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import numpy as np
 
 SAMPLE = 256
 _HEAD = struct.Struct("<QQBxxxxxxx")
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 class EliasFano:
@@ -36,40 +36,28 @@ class EliasFano:
         """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE  # set bits to pass after the sampled one
-        byte = at >> 3
-        first = int(self.upper[byte]) >> (at & 7) << (at & 7)
-        counts = np.cumsum(np.concatenate([[_ONES[first]], _ONES[self.upper[byte + 1 : byte + 1 + 64]]]), dtype=np.int64)
-        step = 64
-        while counts[-1] <= left:
-            more = _ONES[self.upper[byte + 1 + step : byte + 1 + 2 * step]]
-            counts = np.concatenate([counts, counts[-1] + np.cumsum(more, dtype=np.int64)])
-            step *= 2
-            if not len(more):
-                break
-        k = int(np.searchsorted(counts, left, side="right"))
-        left -= int(counts[k - 1]) if k else 0
-        cell = first if k == 0 else int(self.upper[byte + k])
-        for _ in range(left):
-            cell &= cell - 1
-        one = 8 * (byte + k) + (cell & -cell).bit_length() - 1
-        value = one - i
-        if self.low:
-            bits = np.unpackbits(self.lower[i * self.low // 8 : (i * self.low + self.low + 7) // 8 + 1], bitorder="little")
-            off = i * self.low % 8
-            value = value << self.low | int((bits[off : off + self.low].astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum())
-        return value
+        return int(self.select_range(i, i + 1)[0])
 
-    def all(self) -> np.ndarray:
-        """Every value, as int64."""
-        if not self.n:
+    def select_range(self, lo: int, hi: int) -> np.ndarray:
+        """The values lo to hi - 1, as int64."""
+        if hi <= lo:
             return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.upper, bitorder="little")) - np.arange(self.n)
+        first, last = lo // SAMPLE, (hi - 1) // SAMPLE + 1
+        begin = int(self.samples[first])
+        stop = int(self.samples[last]) if last < len(self.samples) else 8 * len(self.upper)
+        byte = begin >> 3
+        ones = np.flatnonzero(np.unpackbits(self.upper[byte : (stop + 7) // 8], bitorder="little")) + 8 * byte
+        skip = int(np.searchsorted(ones, begin)) + lo - first * SAMPLE
+        high = ones[skip : skip + hi - lo] - np.arange(lo, hi)
         if not self.low:
             return high
-        bits = np.unpackbits(self.lower, count=self.n * self.low, bitorder="little").reshape(self.n, self.low).astype(np.int64)
-        return (high << self.low) + (bits << np.arange(self.low)).sum(axis=1)
+        at = lo * self.low
+        bits = np.unpackbits(self.lower[at // 8 : (hi * self.low + 7) // 8], bitorder="little")[at % 8 : at % 8 + (hi - lo) * self.low]
+        return (high << self.low) + (bits.reshape(-1, self.low).astype(np.int64) << np.arange(self.low)).sum(axis=1)
+
+    def all(self) -> np.ndarray:
+        """Every value, as int64."""
+        return self.select_range(0, self.n)
 
     def to_bytes(self) -> bytes:
         parts = [self.lower.tobytes(), self.upper.tobytes(), self.samples.astype("<u4").tobytes()]

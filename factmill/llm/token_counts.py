@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import pieces, tidy
+from .common import cut, pieces, tidy
 
 #: Lengths that one task sums up; the blocks' totals are summed up before.
-BLOCK = 4096
+BLOCK = 64
 
 
 def _lengths(vocabulary: str, batches):
@@ -77,4 +77,4 @@ def quantile(table: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op6_token_counts(docs: DataFrame) -> DataFrame:
-    return context_table(length_histogram(docs))
+    return context_table(cut(length_histogram(docs)))  # two branches read it; texts are encoded once

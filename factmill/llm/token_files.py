@@ -32,6 +32,8 @@ from .elias_fano import EliasFano
 
 #: Ids after which a shard is closed.
 SHARD_TOKENS = 2 << 20
+#: Documents whose boundaries are selected at once.
+BLOCK_DOCS = 4096
 _HEAD = struct.Struct("<4sBBHQQQq")
 _SHARDS = "part int, seq int, start long, n_docs long, n_tokens long, payload binary"
 
@@ -40,7 +42,10 @@ _SHARDS = "part int, seq int, start long, n_docs long, n_tokens long, payload bi
 class Shard:
     """A shard's file image, opened."""
 
-    doc_ids: list[int | None]
+    n_docs: int
+    unknown: int  # documents without doc_id, which stand first
+    least: int
+    keys: EliasFano
     ends: EliasFano
     ids: np.ndarray
 
@@ -60,12 +65,22 @@ class Shard:
         keys, at = EliasFano.from_bytes(data, _HEAD.size)
         ends, at = EliasFano.from_bytes(data, at)
         ids = np.frombuffer(data, f"<u{width}", tokens, at)
-        return cls([None] * unknown + (keys.all() + least).tolist(), ends, ids)
+        return cls(docs, unknown, least, keys, ends, ids)
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, found by two selects."""
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def documents(self, block: int = BLOCK_DOCS):
+        """(doc_ids, starts, ends) of the documents in order, a block at a time, each block by selects of its own."""
+        for lo in range(0, self.n_docs, block):
+            hi = min(lo + block, self.n_docs)
+            ends = self.ends.select_range(lo, hi)
+            starts = np.concatenate([[self.ends.select(lo - 1) if lo else 0], ends[:-1]])
+            none = min(max(self.unknown - lo, 0), hi - lo)
+            known = self.keys.select_range(lo + none - self.unknown, hi - self.unknown) + self.least
+            yield pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(known, pa.int64())]), starts, ends
+
 
 def _encode(vocabulary: str, end: int, shard_tokens: int, cache_units: int, batches):
     from pyspark import TaskContext
@@ -128,18 +143,18 @@ def _documents(batches):
     for batch in batches:
         for before, start, payload in zip(*(batch.column(batch.schema.get_field_index(x)) for x in ("before", "start", "payload")), strict=True):
             shard = Shard.open(payload.as_buffer())
-            ends = shard.ends.all()
-            starts = np.concatenate([[0], ends[:-1]])
             ids = shard.ids.astype("<u4")
-            # offsets of Arrow's binary arrays are 32-bit: up to 2**28 ids at once
-            at = 0
-            while at < len(ends):
-                to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 22), side="right")))
-                offsets = np.append(starts[at:to], ends[to - 1]) - starts[at]
-                data = ids[starts[at] : ends[to - 1]]
-                blob = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(data)])
-                yield pa.record_batch([pa.array(shard.doc_ids[at:to], pa.int64()), pa.array(starts[at:to] + start.as_py() + before.as_py()), pa.array(ends[at:to] - starts[at:to]), blob], names=["doc_id", "start", "n_tokens", "ids"])
-                at = to
+            first = start.as_py() + before.as_py()
+            for keys, starts, ends in shard.documents():
+                # offsets of Arrow's binary arrays are 32-bit: up to 2**28 ids at once
+                at = 0
+                while at < len(ends):
+                    to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 22), side="right")))
+                    offsets = np.append(starts[at:to], ends[to - 1]) - starts[at]
+                    data = ids[starts[at] : ends[to - 1]]
+                    blob = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(data)])
+                    yield pa.record_batch([keys.slice(at, to - at), pa.array(starts[at:to] + first), pa.array(ends[at:to] - starts[at:to]), blob], names=["doc_id", "start", "n_tokens", "ids"])
+                    at = to
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -37,6 +38,8 @@ def test_elias_fano_round_trip(values):
     ef, end = EliasFano.from_bytes(b"xx" + EliasFano.build(np.array(values, np.int64)).to_bytes(), 2)
     assert ef.all().tolist() == values
     assert [ef.select(i) for i in range(len(values))] == values
+    for lo, hi in [(0, 1), (3, 300), (255, 257), (256, 512), (500, 1400), (0, 0)]:
+        assert ef.select_range(min(lo, len(values)), min(hi, len(values))).tolist() == values[lo:hi]
     with pytest.raises(IndexError):
         ef.select(len(values))
 
@@ -105,7 +108,7 @@ def test_token_files(spark, docs, tmp_path):
     assert sorted((r.start, r.n_tokens, crc(np.frombuffer(r.ids, "<u4"))) for r in again) == [w[1:] for w in want]
     token_files.export_shards(spark, path, str(tmp_path / "out"))
     shards = [token_files.Shard.open(p.read_bytes()) for p in sorted((tmp_path / "out").iterdir())]
-    assert [crc(s.document(i)) for s in shards for i in range(len(s.doc_ids))] == [w[3] for w in want]
+    assert [crc(s.document(i)) for s in shards for i in range(s.n_docs)] == [w[3] for w in want]
 
 
 def test_empty_tables(spark, docs):
@@ -147,3 +150,21 @@ def test_packing(spark, docs, tmp_path, shard_tokens):
     sequences = sorted(packing.packed_sequences(spark, path, 64).collect())
     assert [r.sequence_id for r in sequences] == list(range(-(-len(stream) // 64)))
     assert b"".join(bytes(r.ids) for r in sequences) == np.array(stream, "<u4").tobytes()
+    assert [len(r.pieces) for r in sequences] == [sum(w[5] == i for w in want) for i in range(len(sequences))]
+
+
+def test_blocks_of_documents(spark, docs, tmp_path, monkeypatch):
+    """Windows that run across the blocks in which boundaries are selected, and across shards."""
+    path = str(tmp_path / "b")
+    token_files.write_token_files(docs.union(docs).union(docs), path, end=1, shard_tokens=70)
+    want = sorted(map(tuple, packing.packed_pieces(spark, path, 16).collect()), key=str)
+    shards = [r.asDict() for r in token_files.with_global_start(token_files.open_token_files(spark, path)).collect()]
+    monkeypatch.setattr(token_files.Shard.documents, "__defaults__", (2,))
+    rows = []
+    for r in shards:
+        batch = pa.record_batch([pa.array([r["before"]]), pa.array([r["start"]]), pa.array([bytes(r["payload"])], pa.binary())], names=["before", "start", "payload"])
+        for out in packing._windows(16, False, [batch]):
+            for x in out.to_pylist():
+                assert sum(p["length"] for p in x["pieces"]) == x["length"]
+                rows += [(p["doc_id"], p["start"], p["length"], p["ids_crc32"], p["doc_tokens"], x["sequence_id"], p["offset"]) for p in x["pieces"]]
+    assert sorted(rows, key=str) == want
