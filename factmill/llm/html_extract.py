@@ -20,6 +20,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
+from collections.abc import Collection
 from dataclasses import dataclass
 from functools import cache, partial
 
@@ -37,8 +39,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _BLOCK_STARTS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}} | {t: {"p"} for t in _BLOCK_STARTS}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
+_SCOPE = ("article", "section", "div", "td", "body")
 
-_TOKEN = re.compile(r"""<!--(?:>|->|.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
+_LONG_NUMBER = re.compile("&#[0-9]{4000,};?")  # beyond what int() takes, and beyond Unicode
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _CUES = re.compile(r"©|\b(copyright|rights|cookies?|privacy|subscribe|newsletter|comments?|reply|replies|shares?|login|log in|sign (?:in|up)|advert\w*|sponsored|related|menu|search|home|contact|next|previous|read more)\b", re.I)
@@ -61,14 +66,74 @@ def _names(attributes: str) -> set[str]:
     return found
 
 
-def blocks(page: str) -> list[Block]:
+class _Tokens:
+    """Finds tags and comments. Each quote is followed once: one from which no tag's end was reached is remembered."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.lost: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """The ">" that ends the attributes from at, not counting those in quotes; by a first ">" where quotes do not close."""
+        page, j, passed = self.page, at, []
+        while True:
+            m = _STOP.search(page, j)
+            if m is None:
+                break
+            k = m.start()
+            if page[k] == ">":
+                return k
+            if k in self.lost:
+                break
+            passed.append(k)
+            close = page.find(page[k], k + 1)
+            if close < 0:
+                break
+            j = close + 1
+        self.lost.update(passed)
+        return page.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, int, int] | None:
+        """The next one from at: (start, end, is it an end tag, name, start and end of the attributes); a comment has no name."""
+        page, p = self.page, at
+        while True:
+            p = page.find("<", p)
+            if p < 0:
+                return None
+            lead = page[p + 1 : p + 2]
+            if lead == "!" and page.startswith("--", p + 2):
+                if page.startswith((">", "->"), p + 4):
+                    return p, page.index(">", p + 4) + 1, False, "", 0, 0
+                ends = [(k, k + n) for text, n in (("-->", 3), ("--!>", 4)) if (k := page.find(text, p + 4)) >= 0]
+                return p, min(ends)[1] if ends else len(page), False, "", 0, 0
+            if lead in ("!", "?") and lead:
+                return p, (page.find(">", p) + 1) or len(page), False, "", 0, 0
+            closing = lead == "/"
+            m = _NAME.match(page, p + 1 + closing) if p < self.last else None
+            if m is not None:
+                end = self._end(m.end())
+                if end >= 0:
+                    return p, end + 1, closing, m[0].lower(), m.end(), end
+            p += 1
+
+
+def _silent_end(page: str, name: str, at: int) -> int:
+    """Where the content of an element without text is over: behind its end tag, or at the page's end."""
+    m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at) if name.isalnum() else None
+    return (page.find(">", m.end()) + 1 if m else 0) or len(page)
+
+
+def blocks(page: str, known: Collection[str] | None = None) -> list[Block]:
+    """known: ancestor features to keep; None keeps all, which for deep nesting under ever new names takes a set of all of them for each level."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
-    open_: dict[str, int] = {}
+    where: dict[str, list[int]] = {}  # places of each open element in the stack
     text: list[str] = []
     linked = 0
     link = False
     at, n = 0, len(page)
+    tokens = _Tokens(page)
 
     def flush():
         nonlocal linked
@@ -81,65 +146,63 @@ def blocks(page: str) -> list[Block]:
 
     def pop(k):
         for name, _ in stack[k:]:
-            open_[name] -= 1
+            where[name].pop()
         del stack[k:]
 
     def put(piece):
         nonlocal linked
         if piece:
-            piece = entities.unescape(piece) if "&" in piece else piece
+            piece = entities.unescape(_LONG_NUMBER.sub("\ufffd", piece)) if "&" in piece else piece
             text.append(piece)
             if link:
                 linked += len(piece.strip())
 
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        found = tokens.after(at)
+        if found is None:
             put(page[at:])
             break
-        put(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        start, end, closing, name, a, b = found
+        put(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name in SILENT:
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at) if name.isalnum() else None
-                at = end.end() if end else n
+            if not closing and not page.endswith("/", a, b):
+                at = _silent_end(page, name, at)
         elif name == "br":
             text.append(" ")
         elif name in INLINE:
             if name == "a":
-                link = not m[1]
-        elif m[1]:
+                link = not closing
+        elif closing:
             flush()
             link = False
-            if open_.get(name):
-                k = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name)
-                pop(k)
+            if where.get(name):
+                pop(where[name][-1])
         else:
             flush()
             link = False
             ends = IMPLIED.get(name)
-            if ends and any(open_.get(x) for x in ends):
-                scope = _SCOPES.get(name, {"article", "section", "div", "td", "body"})
-                k, lowest = len(stack) - 1, None
-                while k > 0 and stack[k][0] not in scope:
-                    if stack[k][0] in ends:
-                        lowest = k
-                    k -= 1
-                if lowest is not None:
-                    pop(lowest)
+            if ends and any(where.get(x) for x in ends):
+                scope = max((where[x][-1] for x in _SCOPES.get(name, _SCOPE) if where.get(x)), default=0)
+                lowest = [own[k] for x in ends if (own := where.get(x)) and (k := bisect_right(own, scope)) < len(own)]
+                if lowest:
+                    pop(min(lowest))
             if name not in VOID:
-                stack.append((name, stack[-1][1] | {"t:" + name} | _names(m[3]) if m[3] else stack[-1][1] | {"t:" + name}))
-                open_[name] = open_.get(name, 0) + 1
+                above = stack[-1][1]
+                own = {"t:" + name} | (_names(page[a:b]) if a < b else set())
+                if known is not None:
+                    own = {x for x in own if x in known or x in _TOLD}
+                where.setdefault(name, []).append(len(stack))
+                stack.append((name, above if own <= above else above | own))
     flush()
     return out
 
 
 #: Tags that mean one thing in an article and another around it, and the tags that are an article.
 _TWOFOLD, _ARTICLE = ("t:header", "t:footer", "t:aside", "t:form"), ("t:article", "t:main")
+_TOLD = frozenset(_TWOFOLD + _ARTICLE)
 
 
 def block_features(b: Block, place: int, count: int) -> list[str]:
@@ -204,7 +267,7 @@ class Model:
         return labels[::-1]
 
     def extract(self, html: str | None) -> str:
-        page = blocks(html or "")
+        page = blocks(html or "", self.weights)
         return "\n".join(b.text for b, y in zip(page, self.decode(page), strict=True) if y)
 
 

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 
 from factmill.llm import html_extract as h
@@ -49,6 +53,54 @@ def test_odd_pages(page):
     assert isinstance(h.default_model().extract(page), str)
 
 
+SIZE = 5 << 20
+LONG = {
+    "open tags": lambda n: "<a " * n,
+    "open quotes": lambda n: '<p x="' * n,
+    "quoted ends": lambda n: '<b ">" ' * n,
+    "mixed quotes": lambda n: "<b \"'>\" x='" * n + ">",
+    "nested names": lambda n: "".join(f'<div class="k{i}q">' for i in range(n)),
+    "nested known names": lambda n: '<div class="ad menu nav footer content">' * n,
+    "unreachable ends": lambda n: "<p><div>" + "<foo>" * (n // 2) + "<h2></h2>" * (n // 4),
+    "silent": lambda n: "<script></script " * n,
+    "comments": lambda n: "<!-- x " * n,
+    "less": lambda n: "<" * n,
+    "entities": lambda n: "&#" + "9" * n,
+    "words": lambda n: "<p>" + "copy advert " * n,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_pages_take_linear_time(kind):
+    page = LONG[kind](SIZE // max(1, len(LONG[kind](101)) // 101))
+    model = h.default_model()
+    t = time.process_time()
+    assert isinstance(model.extract(page), str)
+    assert time.process_time() - t < 12  # some 5 MB; 24 KB of the first took 8 s by a backtracking pattern
+
+
+def test_tokens_against_a_pattern():
+    """The scanner finds what the backtracking pattern finds."""
+    plain = re.compile(r"""<!--(?:>|->|.*?--!?>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*)>""", re.S)
+    r = random.Random(11)
+    bits = ["<", ">", '"', "'", "a", "/", "!", "--", "<!--", "-->", "--!>", " ", "<p ", "</p", "=", "<b>", "?", "->", "x"]
+    for _ in range(4000):
+        page = "".join(r.choice(bits) for _ in range(r.randint(0, 25)))
+        want = [(m.start(), m.end(), m[1] == "/", (m[2] or "").lower(), m[3]) for m in plain.finditer(page)]
+        got, at, tokens = [], 0, h._Tokens(page)
+        while (t := tokens.after(at)) is not None:
+            got.append((t[0], t[1], t[2], t[3], page[t[4] : t[5]] if t[3] else None))
+            at = t[1]
+        assert got == want, page
+
+
+def test_known_features_do_not_change_the_text():
+    model = h.default_model()
+    for page in PAGES.values():
+        full = h.blocks(page)
+        assert [b.text for b, y in zip(full, model.decode(full), strict=True) if y] == model.extract(page).split("\n")
+
+
 def test_text_of_blocks():
     assert [b.text for b in h.blocks("a < b<p>c<br>d<b>e</b>f</p>&lt;g&am<td>h")] == ["a < b", "c def", "<g&am", "h"]
     assert [b.text for b in h.blocks("<div>x<script>y</script>z<style>q</style></div><textarea>w</textarea>")] == ["xz", "w"]
