@@ -10,7 +10,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a frame may have and still be broadcast; beyond it a shuffled join is planned.
@@ -78,6 +78,22 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as long as df has a column that Spark would take for the same one."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns of these names, whatever characters they have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, over all rows."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("b")).first()["b"] or 0)

@@ -2,10 +2,10 @@
 
 fingerprints(): every shingle counts, repeats included; a bit is 1 if it is set in over half of the hashes of the word
 shingles. Equal fingerprints are joined first (one row for each, with its least doc_id), so copies cost nothing
-further. Two fingerprints within RADIUS = 3 bits agree on at least two of five blocks of bits, whichever three bits
-differ; a shard is the fingerprints that agree on one pair of blocks, and each pair of near fingerprints meets in a
-shard. A tree of all fingerprints sent to all tasks would cost their square, and a broadcast has no bound: here a
-shard's tree is sent to the shard's own task alone.
+further. A tree of all fingerprints, sent to all tasks, would cost their square. So the bits are parted in blocks, of which any RADIUS
+differing bits leave some as they are; a shard is the fingerprints that agree on (the first bits of) these blocks, and each pair of near
+fingerprints meets in a shard. The key is as long as keeps some SHARD fingerprints in a shard, whatever their number; a shard
+with over TREE of them is dealt out in pairs of parts. A shard's tree goes to the shard's own task alone.
 
 In a shard a BK-tree is built (children are keyed by the Hamming distance to their parent) and every fingerprint is
 looked up: from a node at distance d only edges d - 3 to d + 3 are followed. Whole levels of (query, node) pairs are
@@ -20,20 +20,21 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, texts, tidy
+from .common import cut, pieces, small_side, texts, tidy
 
 RADIUS = 3
 _NO_ID = (1 << 63) - 1
-#: Bit ranges; any RADIUS differing bits leave two of them equal.
-BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+#: Distinct fingerprints of a shard on average, and of a part of a shard at most.
+SHARD, TREE = 1024, 4096
 #: (query, node) pairs that a lookup handles at once.
 PAIRS = 1 << 18
 
@@ -117,19 +118,19 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 class BKTree:
-    """Over distinct fingerprints. Node 0 is the root; a node's children are keyed by their Hamming distance to it.
+    """Over n items with an integer distance. Node 0 is the root; a node's children are keyed by their distance to it.
 
-    The tree is built level by level: the first node of a group becomes the parent, and the rest are grouped by their
-    distance to it. A node's children stand together, ordered by key.
+    distance takes two arrays of items and returns their distances one by one. The tree is built level by level: the first node
+    of a group becomes the parent, and the rest are grouped by their distance to it. A node's children stand together, ordered by key.
+    pairs: (query, node) pairs that a lookup handles at once.
     """
 
-    def __init__(self, prints: np.ndarray):
-        self.n = n = len(prints)
-        self.order = np.zeros(n, np.int64)  # index in prints of each node
+    def __init__(self, n: int, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: int = PAIRS):
+        self.n, self.distance, self.pairs = n, distance, pairs
+        self.order = np.zeros(n, np.int64)  # the item of each node
         self.key = np.zeros(n, np.int64)
         self.first = np.zeros(n, np.int64)  # first child
         self.children = np.zeros(n, np.int64)
-        self.prints = np.asarray(prints, np.uint64)
         if not n:
             return
         members = np.arange(n)  # all that are in no node yet, by group
@@ -142,41 +143,51 @@ class BKTree:
             rest = np.ones(len(members), bool)
             rest[heads] = False
             members, parent, head = members[rest], parent[rest], members[heads]
-            d = np.bitwise_count(self.prints[members] ^ self.prints[head[parent]]).astype(np.int64)
-            by = np.argsort(parent * 65 + d, kind="stable")
-            members, code = members[by], (parent * 65 + d)[by]
+            d = self._between(members, head[parent])
+            width = int(d.max(initial=0)) + 1
+            by = np.argsort(parent * width + d, kind="stable")
+            members, code = members[by], (parent * width + d)[by]
             start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(start, len(code)))
-            group = code[start] // 65
+            group = code[start] // width
             new = nodes + np.arange(len(start))
-            self.key[new] = code[start] % 65
+            self.key[new] = code[start] % width
             self.children[level] = np.bincount(group, minlength=len(level))
             self.first[level] = nodes + np.cumsum(self.children[level]) - self.children[level]
             nodes, level = nodes + len(start), new
 
-    def within(self, queries: np.ndarray, radius: int):
-        """(query index, print index) arrays of all pairs within the radius, block by block."""
-        root = self.prints[self.order]
-        step = max(1, PAIRS // 64)
-        for lo in range(0, len(queries), step):
-            stack = [(np.arange(lo, min(lo + step, len(queries))), np.zeros(min(step, len(queries) - lo), np.int64))] if self.n else []
+    @classmethod
+    def of_prints(cls, prints: np.ndarray) -> BKTree:
+        """Over fingerprints, by Hamming distance."""
+        return cls(len(prints), lambda a, b: np.bitwise_count(prints[a] ^ prints[b]))
+
+    def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        parts = [self.distance(a[lo : lo + self.pairs], b[lo : lo + self.pairs]) for lo in range(0, len(a), self.pairs)]
+        return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+
+    def within(self, radius: int | np.ndarray):
+        """(query, item, distance) arrays of all pairs of items within the radius, or within that of the query, block by block."""
+        radius = np.broadcast_to(np.asarray(radius, np.int64), self.n)
+        step = max(1, self.pairs // 64)
+        for lo in range(0, self.n, step):
+            stack = [(np.arange(lo, min(lo + step, self.n)), np.zeros(min(step, self.n - lo), np.int64))]
             while stack:
                 q, node = stack.pop()
-                d = np.bitwise_count(queries[q] ^ root[node]).astype(np.int64)
-                near = d <= radius
+                d = self._between(q, self.order[node])
+                near = d <= radius[q]
                 if near.any():
-                    yield q[near], self.order[node[near]]
+                    yield q[near], self.order[node[near]], d[near]
                 n = self.children[node]
                 open_ = n > 0
                 q, node, d, n = q[open_], node[open_], d[open_], n[open_]
                 if not len(q):
                     continue
                 ends = np.cumsum(n)
-                for a, b in _blocks(n, PAIRS):
+                for a, b in _blocks(n, self.pairs):
                     m = n[a:b]
                     each = np.repeat(np.arange(a, b), m)
                     child = self.first[node[each]] + np.arange(len(each)) - np.repeat(ends[a:b] - m - (ends[a] - n[a]), m)
-                    follow = np.abs(self.key[child] - d[each]) <= radius
+                    follow = np.abs(self.key[child] - d[each]) <= radius[q[each]]
                     if follow.any():
                         stack.append((q[each[follow]], child[follow]))
 
@@ -203,7 +214,7 @@ def components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
 def _links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links from each of a shard's fingerprints to the first of its component in the shard."""
     label = np.arange(len(prints))
-    for a, b in BKTree(prints).within(prints, radius):
+    for a, b, _ in BKTree.of_prints(prints).within(radius):
         far = label[a] != label[b]
         if far.any():
             label = components(len(prints), a[far], b[far], label)
@@ -211,38 +222,81 @@ def _links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return prints[linked], prints[label[linked]]
 
 
-def _shard_links(radius: int, batches):
-    """Takes rows (shard, fp) sorted by shard."""
-    held = [np.zeros(0, np.int64)] * 2
+def grouped(batches):
+    """(start, stop, table) of each run of equal values in the first column of sorted rows, whole, though it spans batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield from _runs(held)
+            held = []
+        cut_ = int(np.searchsorted(key, key[-1]))  # the last run may go on in the next batch
+        if cut_:
+            yield from _runs([*held, batch.slice(0, cut_)])
+            held = []
+        held.append(batch.slice(cut_))
+    if held:
+        yield from _runs(held)
+
+
+def _runs(parts: list[pa.RecordBatch]):
+    table = pa.Table.from_batches(parts).combine_chunks()
+    key = table.column(0).to_numpy()
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield a, b, table
 
-    def out(shard, fp):
-        start = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        found = [_links(fp[a:b].view(np.uint64), radius) for a, b in zip(start, np.append(start[1:], len(shard)), strict=True) if b - a > 1]
-        if found:
+
+def _shard_links(radius: int, batches):
+    """Takes rows (deal, fp) sorted by deal."""
+    found, size = [], 0
+    for a, b, table in grouped(batches):
+        if b - a > 1:
+            found.append(_links(table.column(1).to_numpy()[a:b].view(np.uint64), radius))
+            size += len(found[-1][0])
+        if size > 1 << 16:
             yield pa.record_batch([pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in (0, 1)], names=["a", "b"])
+            found, size = [], 0
+    if found:
+        yield pa.record_batch([pa.array(np.concatenate([x[i] for x in found]).view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
-    for batch in batches:
-        rows = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
-        last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last shard may go on in the next batch
-        if last:
-            yield from out(*(x[:last] for x in rows))
-        held = [x[last:] for x in rows]
-    if len(held[0]):
-        yield from out(*held)
+
+def dealt(rows: DataFrame, shard: str, member: str, most: int, weight: Column | None = None) -> DataFrame:
+    """rows with a column `deal`: the shard, or for shards that weigh over `most` a key for each pair of parts, in which every two
+    of its members meet. Rows are parted by their member; a row is copied once for each other part."""
+    weight = F.lit(1) if weight is None else weight
+    heavy = cut(rows.groupBy(shard).agg(F.sum(weight).alias("m")).where(F.col("m") > most))
+    if not heavy.head(1):
+        return rows.withColumn("deal", F.col(shard))
+    parts = rows.join(small_side(heavy), shard, "left").withColumn("g", F.coalesce(F.ceil(2 * F.col("m") / most), F.lit(1)).cast("int")).withColumn("p", F.pmod(F.xxhash64(member), F.col("g")).cast("int"))
+    others = F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda x: x != F.col("p")))
+    each = parts.withColumn("o", F.explode(others))
+    deal = F.when(F.col("g") == 1, F.col(shard)).otherwise(F.xxhash64(F.col(shard), F.least("p", "o"), F.greatest("p", "o")))
+    return each.withColumn("deal", deal).drop("m", "g", "p", "o")
+
+
+def layout(n: int, radius: int = RADIUS, shard: int = SHARD) -> tuple[int, int, int]:
+    """(blocks, how many of them make a key, bits of each that count) for n fingerprints: any `radius` differing bits leave so many equal."""
+    need = max(0, (max(n, 1) - 1).bit_length() - (shard.bit_length() - 1))
+    agreed = next((k for k in range(1, 64 - radius) if 64 // (radius + k) * k >= need), 64 - radius)
+    return radius + agreed, agreed, -(-need // agreed)
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, most: int = TREE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join what lies within the radius."""
+    blocks, agreed, bits = layout(prints.count(), radius, shard)
+    width = 64 // blocks
     shards = []
-    for k, pair in enumerate(combinations(BLOCKS, 2)):
-        value, width = F.lit(k << 32).cast("long"), 0
-        for lo, hi in pair:
-            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")), width))
-            width += hi - lo
-        shards.append(value)
+    for k, some in enumerate(combinations(range(blocks), agreed) if bits else [()]):
+        value = F.lit(k)
+        for x in some:
+            value = F.xxhash64(value, F.shiftrightunsigned(F.col("fp"), x * width).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+        shards.append(value.cast("long"))
     rows = prints.select(F.explode(F.array(*shards)).alias("shard"), "fp")
-    dealt = rows.repartition("shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(tidy(partial(_shard_links, radius)), "a long, b long")
+    sorted_ = dealt(rows, "shard", "fp", most).select("deal", "fp").repartition("deal").sortWithinPartitions("deal")
+    return sorted_.mapInArrow(tidy(partial(_shard_links, radius)), "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def test_tree_finds_all_pairs(bits):
     r = np.random.default_rng(bits)
     prints = np.unique(r.integers(0, 1 << min(bits, 63), 700).astype(np.uint64))
     prints = np.unique(np.concatenate([prints, prints[:50] ^ np.uint64(5), prints[:50] ^ np.uint64(1 << 3)]))
-    found = [np.stack(x, 1) for x in simhash.BKTree(prints).within(prints, 3)]
+    found = [np.stack(x[:2], 1) for x in simhash.BKTree.of_prints(prints).within(3)]
     near = np.bitwise_count(prints[:, None] ^ prints[None]) <= 3
     assert sorted(map(tuple, np.concatenate(found).tolist())) == sorted(zip(*np.nonzero(near), strict=True))
 
@@ -72,3 +72,43 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 999)], "a long, b long")
     got = {r.node: r.root for r in simhash.connected(links).collect()}
     assert got == {i: 0 for i in range(1, n + 1)} | {1000: 999}
+
+
+@pytest.mark.parametrize("n,shard,most", [(0, 4, 8), (700, 1024, 4096), (700, 16, 4096), (700, 1, 8), (700, 64, 20)])
+def test_links_join_all_near_pairs(spark, n, shard, most):
+    """Short and long keys, and shards that are dealt out in parts."""
+    r = np.random.default_rng(n)
+    prints = r.integers(0, 1 << 63, n).astype(np.uint64)
+    some = prints[:120]
+    for _ in range(3):
+        some = some ^ (np.uint64(1) << r.integers(0, 64, len(some)).astype(np.uint64))
+        prints = np.unique(np.concatenate([prints, some]))
+    rows = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    links = simhash.near_links(rows, shard=shard, most=most).collect()
+    at = {int(x): i for i, x in enumerate(prints.view(np.int64))}
+    a, b = ([at[x[i]] for x in links] for i in (0, 1))
+    got = simhash.components(len(prints), np.array(a, int), np.array(b, int))
+    want = simhash.components(len(prints), *np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None]) <= 3)) if n else got
+    assert got.tolist() == want.tolist()
+
+
+def test_layout_leaves_blocks_equal():
+    for n in (0, 1, 1024, 1025, 10**5, 10**7, 10**9, 10**11, 10**13):
+        blocks, agreed, bits = simhash.layout(n)
+        assert blocks - agreed == simhash.RADIUS and bits <= 64 // blocks and n >> bits * agreed <= 2 * simhash.SHARD
+
+
+def test_tree_prunes():
+    """From 1,000 fingerprints on a lookup meets a part of the nodes only."""
+    prints = np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64)
+    seen = 0
+
+    def distance(a, b):
+        nonlocal seen
+        seen += len(a)
+        return np.bitwise_count(prints[a] ^ prints[b])
+
+    tree = simhash.BKTree(len(prints), distance)
+    seen = 0
+    assert sum(len(q) for q, _, _ in tree.within(3)) >= 4000
+    assert seen < 0.5 * 4000**2
