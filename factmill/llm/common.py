@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from functools import partial
@@ -89,6 +90,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """df with other names for columns whose names are no plain words: Spark's Arrow functions look columns up by unquoted names."""
+    odd = [c for c in df.columns if not re.fullmatch("[A-Za-z0-9_]+", c)]
+    new = dict(zip(odd, fresh(df, *[f"column{i}" for i in range(len(odd))]), strict=True))
+    return df.toDF(*[new.get(c, c) for c in df.columns]) if odd else df
+
+
 def quoted(names: list[str]) -> list[Column]:
     """Columns of these names, whatever characters they have."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import input_bytes, pieces, texts, tidy
+from .common import input_bytes, pieces, quoted, texts, tidy
 
 WINDOW = 13
 GAP = 1024
@@ -164,7 +165,7 @@ def _shards(vocabulary, shard_bytes: int, batches):
 
 
 def _rows(docs: DataFrame, carry: bool = False) -> DataFrame:
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried")] if carry else []
+    own = [F.struct(*quoted(docs.columns)).alias("carried")] if carry else []
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), *own)
 
 
@@ -187,7 +188,8 @@ def _opened(batches):
             yield Shard(r["rows"], r["doc_ids"], n, np.cumsum(n + GAP) - n - GAP, {w: i for i, w in enumerate(r["terms"])}, np.concatenate([[0], np.cumsum(np.array(r["counts"], np.int64))]), np.frombuffer(r["positions"], "<i8"))
 
 
-_MATCHES = "doc_id long, n_words long, items array<string>, spans array<struct<start:long,stop:long>>, row long"
+_SPAN = StructType([StructField("start", LongType()), StructField("stop", LongType())])
+_MATCHES = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(_SPAN)), StructField("row", LongType())])
 
 
 def _matched(shards, phrases: Phrases, slop: int | None):
@@ -269,7 +271,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop
 
     sc = docs.sparkSession.sparkContext
     rows = _rows(docs, carry)
-    schema = _MATCHES + (f", carried {rows.schema['carried'].dataType.simpleString()}" if carry else "")
+    schema = StructType([*_MATCHES.fields, *([rows.schema["carried"]] if carry else [])])
     return _united([rows.mapInArrow(tidy(partial(go, sc.broadcast(p))), schema) for p in _blocks(items, window, block_bytes)])
 
 

@@ -1,9 +1,10 @@
 """Line dedup within an edit bound: a deletion-neighbourhood join that keeps the earliest line.
 
-The unit of edit is the word. A line with NEAR_WORDS words or more goes if an earlier line of that size lies within
-one inserted, deleted or replaced word of it; a line with min_words words
-or more (MIN_WORDS unless the caller says otherwise) goes if an earlier line has the same words. "Earlier"
-is by (doc_id, line number) over the whole table, and judged on the input, not on what is left. Shorter lines stay.
+The unit of edit is the word, and the edit bound one edit in NEAR_WORDS words, one at most. So a line goes if an earlier line has the same words;
+and a line of NEAR_WORDS words or more also if an earlier line of that size lies within
+one inserted, deleted or replaced word of it. "Earlier"
+is by (doc_id, line number) over the whole table, and judged on the input, not on what is left. Lines without a word stay. Callers may
+give another least number of words for either.
 
 Round 1 sends, for each distinct line of a chunk, its hash with its first place, and hashes of its halves: one edit leaves
 one half as it is, so a line whose halves no other line has is through. Round 2 sends the neighbourhoods of the lines that are left and are
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .chunks import CHUNK_BYTES, Packed, answer, answer_bits, squeeze, strings, unsqueeze
-from .common import cut
+from .common import cut, plainly_named
 
-MIN_WORDS = 3
-NEAR_WORDS = 10
+#: Words of a line that takes part, and of one that an edit may separate from an earlier one.
+MIN_WORDS, NEAR_WORDS = 1, 10
 _NO_ID = np.int64((1 << 63) - 1)
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _M = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -106,9 +107,10 @@ class Lines:
     key: np.ndarray
     check: np.ndarray
     bucket: np.ndarray
+    near_words: int
 
     @classmethod
-    def of(cls, docs: pa.Table, buckets: int, min_words: int) -> Lines:
+    def of(cls, docs: pa.Table, buckets: int, least: tuple[int, int]) -> Lines:
         data, bounds = strings(docs.column("text"))
         feeds = np.flatnonzero(data == 10)
         before = np.searchsorted(feeds, bounds)
@@ -127,7 +129,7 @@ class Lines:
         new[1:] = (line[1:] != line[:-1]) | (document[1:] != document[:-1])
         lead = np.flatnonzero(new)
         size = np.diff(np.append(lead, len(first)))
-        some = size >= min_words
+        some = size >= least[0]
         word = np.repeat(some, size)
         codes = _word_codes(data, first[word], length[word])
         lead, size = lead[some], size[some]
@@ -147,7 +149,7 @@ class Lines:
         kind = np.empty(len(by), np.int64)
         kind[by] = np.cumsum(new) - 1
         first = by[new]
-        return cls(n_lines, document, number, own, start, stop, hashes, kind, first, key[first], check[first], bucket[first])
+        return cls(n_lines, document, number, own, start, stop, hashes, kind, first, key[first], check[first], bucket[first], least[1])
 
     def parts(self, bucket: np.ndarray):
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -157,7 +159,7 @@ class Lines:
     def halves(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, distinct line, bucket) of what one edit may leave of each distinct long line, in order of the buckets."""
         a, b = self.start[self.first], self.stop[self.first]
-        some = np.flatnonzero(b - a >= NEAR_WORDS)
+        some = np.flatnonzero(b - a >= self.near_words)
         a, b = a[some], b[some]
         n = b - a
         # a line of n words and one of n or n + 1 share the first n // 2 words or the last (n + 1) // 2
@@ -204,8 +206,8 @@ class Lines:
         return bucket[by], key[by], check[by].astype(np.uint32), place[by], line[by]
 
 
-def _say_lines(buckets: int, min_words: int, docs: pa.Table):
-    s = Lines.of(docs, buckets, min_words)
+def _say_lines(buckets: int, least: tuple[int, int], docs: pa.Table):
+    s = Lines.of(docs, buckets, least)
     key, line, bucket = s.halves(buckets)
     own, half = dict(s.parts(s.bucket)), dict(s.parts(bucket))
     for b in sorted({*own, *half}):
@@ -270,8 +272,8 @@ def _reply_lines(messages):
     return out
 
 
-def _say_variants(buckets: int, min_words: int, docs: pa.Table, answers: dict):
-    s = Lines.of(docs, buckets, min_words)
+def _say_variants(buckets: int, least: tuple[int, int], docs: pa.Table, answers: dict):
+    s = Lines.of(docs, buckets, least)
     bucket, key, check, place, line = s.neighbourhoods(answers, buckets)
     at = s.first[line]
     for b, p in s.parts(bucket):
@@ -301,8 +303,8 @@ def _reply_variants(messages):
     return [squeeze([np.packbits(told[e - n : e])]) if told[e - n : e].any() else None for n, e in zip(counts, ends, strict=True)]
 
 
-def _finish(buckets: int, min_words: int, names: tuple[str, str], docs: pa.Table, answers: dict) -> pa.Table:
-    s = Lines.of(docs, buckets, min_words)
+def _finish(buckets: int, least: tuple[int, int], names: tuple[str, str], docs: pa.Table, answers: dict) -> pa.Table:
+    s = Lines.of(docs, buckets, least)
     bucket, _, _, _, line = s.neighbourhoods(answers, buckets)
     near = np.zeros(len(s.first), bool)
     for b, p in s.parts(bucket):
@@ -324,20 +326,23 @@ def _finish(buckets: int, min_words: int, names: tuple[str, str], docs: pa.Table
     return docs.append_column(names[1], pa.array([gone.get(d, []) for d in range(len(text))], pa.list_(pa.int64())))
 
 
-def dedup_lines(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, names: tuple[str, str] = ("n_lines", "removed_lines"), min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, names: tuple[str, str] = ("n_lines", "removed_lines"), min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """The columns of docs with the text's earlier-seen lines taken out, the number of lines and the numbers of those that went.
 
-    names: of the two new columns, which docs must not have. min_words: lines of fewer words stay.
+    names: of the two new columns, which docs must not have. min_words: lines of fewer words stay. near_words: lines of fewer words go for
+    equality only; at least 2, so that an edit leaves a word.
     """
-    if {*names} & {*docs.columns}:
+    if {n.lower() for n in names} & {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {names[0]} or {names[1]}: give other names")
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    if near_words < 2:
+        raise ValueError("near_words must be 2 or more")
+    rows = plainly_named(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     packed = Packed(rows, chunk_bytes=chunk_bytes, bucket_bytes=chunk_bytes)
-    k = packed.buckets
-    seen = cut(answer(packed.ask(partial(_say_lines, k, min_words)), _reply_lines, 1))
-    near = answer(packed.ask_with(seen, partial(_say_variants, k, min_words)), _reply_variants, 2)
+    k, least = packed.buckets, (min_words, near_words)
+    seen = cut(answer(packed.ask(partial(_say_lines, k, least)), _reply_lines, 1))
+    near = answer(packed.ask_with(seen, partial(_say_variants, k, least)), _reply_variants, 2)
     schema = StructType([*rows.schema.fields, StructField(names[0], LongType()), StructField(names[1], ArrayType(LongType()))])
-    return packed.resume(seen.unionByName(near), partial(_finish, k, min_words, names), schema)
+    return packed.resume(seen.unionByName(near), partial(_finish, k, least, names), schema).toDF(*docs.columns, *names)
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:

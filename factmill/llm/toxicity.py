@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import pieces, stored, texts, tidy
+from .common import fresh, pieces, plainly_named, stored, texts, tidy
 
 MIN_N, MAX_N = 3, 5
 BUCKETS = 1 << 18
@@ -196,10 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and `score`, the probability of label 1."""
+    """All columns of docs and, last, `score`: the probability of label 1. Where docs has a column of that name, underscores stand before it."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    column = next(c for c in ("score", "toxicity_score", "factmill_toxicity_score") if c not in docs.columns)
-    at = len(docs.columns)
+    (column,) = fresh(docs, "score")
+    rows = plainly_named(docs)
+    at = len(rows.columns)
 
     def go(batches):
         for batch in batches:
@@ -207,7 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 arrays = [piece.column(i) for i in range(at)] + [pa.array(sent.value.score(texts(piece)))]
                 yield pa.record_batch(arrays, names=[*piece.schema.names, column])
 
-    return docs.mapInArrow(tidy(go), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return rows.mapInArrow(tidy(go), StructType([*rows.schema.fields, StructField(column, DoubleType())])).toDF(*docs.columns, column)
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -17,18 +17,18 @@ def distance(a, b):
     return row[-1]
 
 
-def plain(rows):
+def plain(rows, min_words=d.MIN_WORDS, near_words=d.NEAR_WORDS):
     inf = float("inf")
     lines = [(inf if k is None else k, i, x.encode().split()) for k, t in rows if t for i, x in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= d.MIN_WORDS]
+    lines = [x for x in lines if len(x[2]) >= min_words]
     out = []
     for k, t in rows:
         kept, n = [], 0
         for i, x in enumerate(t.split("\n") if t else ()):
             w = x.encode().split()
             here = (inf if k is None else k, i)
-            near = lambda v: w == v or (min(len(w), len(v)) >= d.NEAR_WORDS and abs(len(w) - len(v)) <= 1 and distance(w, v) <= 1)  # noqa: B023, E731
-            if len(w) >= d.MIN_WORDS and any((a, b) < here and near(v) for a, b, v in lines):
+            near = lambda v: w == v or (min(len(w), len(v)) >= near_words and abs(len(w) - len(v)) <= 1 and distance(w, v) <= 1)  # noqa: B023, E731
+            if len(w) >= min_words and any((a, b) < here and near(v) for a, b, v in lines):
                 n += 1
             else:
                 kept.append(x)
@@ -77,3 +77,11 @@ def test_query_and_sql(spark):
     assert d.op5_line_dedup(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         d.dedup_lines(docs.selectExpr("*", "1 as n_lines"))
+
+
+@pytest.mark.parametrize("least", [(3, 2), (1, 2), (2, 5)])
+def test_other_least_numbers_of_words(spark, least):
+    rows = corpus(4)
+    found = d.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 600, min_words=least[0], near_words=least[1]).collect()
+    got = sorted(((r.doc_id, r.n_lines, len(r.removed_lines), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in found), key=str)
+    assert got == plain(rows, *least)
