@@ -1,15 +1,14 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is sharded by document: a shard holds, for some thousands of documents, the postings (word positions) of each
-term. Positions count through the shard's documents, which lie GAP positions apart, so no phrase runs across two of
-them. build_index() returns the shards as rows that can be stored; when the test phrases are known beforehand, only
-their terms are posted, since no other is ever looked up.
+build_index() makes the index: it is sharded by document, and a shard holds, for some thousands of documents, the postings (word
+positions) of each term. Positions count through the shard's documents, which lie GAP positions apart, so no phrase runs across two of
+them. The queries store it as a table in the shared folder and look test items up in what is stored; other test sets can be looked up in it later.
 
-phrase_matches() finds exact phrases: it starts from the phrase's rarest term in the shard, shifts its list by the
-term's place in the phrase and intersects it with the other terms' shifted lists, rarest first. proximity_matches()
+index_matches() finds exact phrases: every phrase starts from its rarest term in the shard, whose list is shifted by the
+term's place in the phrase and intersected with the other terms' shifted lists, rarest first, for all phrases at once. With slop it
 finds places where all terms of a phrase lie within a span that is `slop` words longer than the phrase, in any order.
-Nothing is shuffled: the phrases travel to the shards. They are sent in blocks of at most BLOCK_BYTES; a test set beyond
-that takes several rounds, whose matches are united per document.
+Nothing is shuffled: the phrases travel to the shards. They are sent in blocks of at most BLOCK_BYTES of text, some 50 MB as arrays; a test set beyond
+that takes several rounds over the stored index, whose matches are united by the documents' stored numbers.
 
 Words are runs of a-z, 0-9 and characters from U+0080 on, after lower-casing A-Z alone. Null and empty texts have no words, no
 hit and are clean; items without words match nothing. Rows that repeat are judged alike, each on its own; items with an
@@ -20,7 +19,7 @@ an empty table gives an empty result. Very long texts are one document like any
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -29,16 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import input_bytes, pieces, quoted, texts, tidy
+from .common import fresh, input_bytes, pieces, quoted, small_side, stored, texts, tidy
 
 WINDOW = 13
 GAP = 1024
 #: Text bytes of one index shard, and of the test items that are sent at once.
 SHARD_BYTES = 12 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: (phrase, position) candidates that are intersected at once.
+CANDIDATES = 1 << 20
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32 for b in range(256))
-_INDEX = "rows array<long>, doc_ids array<long>, n_words array<long>, terms array<binary>, counts array<long>, positions binary"
+_INDEX = "rows array<long>, doc_ids array<long>, prints array<long>, n_words array<long>, terms array<binary>, counts array<long>, positions binary"
+_SPAN = StructType([StructField("start", LongType()), StructField("stop", LongType())])
+_MATCHES = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(_SPAN)), StructField("row", LongType()), StructField("print", LongType())])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,26 +50,35 @@ def words(text: str | None) -> list[bytes]:
 
 @dataclass
 class Phrases:
-    """Distinct word windows of a block of items."""
+    """Distinct word windows of a block of items, and which items have them."""
 
-    items: list[list[str]] = field(default_factory=list)  # ids of the items that have the window
-    terms: dict[bytes, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)  # term numbers
+    terms: dict[bytes, int]
+    rows: np.ndarray  # term numbers, a phrase in each row; -1 behind the end of a short one
+    width: np.ndarray
+    names: list[str]
+    owner: np.ndarray  # numbers of the items that have a phrase, phrase after phrase
+    bounds: np.ndarray
 
     @classmethod
     def of(cls, items, window: int = WINDOW) -> Phrases:
         """items: (id, text). An item shorter than the window is one phrase."""
-        self, seen = cls(), {}
+        terms: dict[bytes, int] = {}
+        names: dict[str, int] = {}
+        parts, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for key, text in items:
-            w = words(text)
-            for at in range(max(1, len(w) - window + 1) if w else 0):
-                phrase = tuple(w[at : at + window])
-                if phrase not in seen:
-                    seen[phrase] = set()
-                    self.rows.append(np.array([self.terms.setdefault(x, len(self.terms)) for x in phrase]))
-                seen[phrase].add("" if key is None else str(key))
-        self.items = [sorted(x) for x in seen.values()]
-        return self
+            own = np.array([terms.setdefault(w, len(terms)) for w in words(text)], np.int32)
+            if not len(own):
+                continue
+            if len(own) < window:
+                own = np.concatenate([own, np.full(window - len(own), -1, np.int32)])
+            parts.append(np.lib.stride_tricks.sliding_window_view(own, window))
+            owner.append(np.full(len(parts[-1]), names.setdefault("" if key is None else str(key), len(names))))
+        every, owner = np.concatenate(parts), np.concatenate(owner)
+        rows, phrase = np.unique(every, axis=0, return_inverse=True)
+        phrase = phrase.reshape(-1)
+        both = np.unique(np.stack([phrase, owner], 1), axis=0)
+        bounds = np.searchsorted(both[:, 0], np.arange(len(rows) + 1))
+        return cls(terms, rows, (rows >= 0).sum(axis=1), list(names), both[:, 1], bounds)
 
 
 @dataclass
@@ -75,51 +87,89 @@ class Shard:
 
     rows: list[int]
     doc_ids: list[int | None]
+    prints: list[int | None]
     n_words: np.ndarray
     starts: np.ndarray
     terms: dict[bytes, int]
     bounds: np.ndarray
     positions: np.ndarray
-    carried: pa.Array | None = None
 
     @classmethod
-    def build(cls, rows, doc_ids, split: list[list[bytes]], vocabulary: dict[bytes, int] | None) -> Shard:
+    def build(cls, rows, doc_ids, prints, split: list[list[bytes]]) -> Shard:
         n = np.array([len(x) for x in split], np.int64)
         starts = np.cumsum(n + GAP) - n - GAP
-        every = itertools.chain.from_iterable(split)
-        if vocabulary is None:
-            vocabulary = {}
-            ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in every), np.int64, int(n.sum()))
-        else:
-            ids = np.fromiter(map(vocabulary.get, every, itertools.repeat(-1)), np.int64, int(n.sum()))
+        coded = pa.array(list(itertools.chain.from_iterable(split)), pa.binary()).dictionary_encode()
+        ids = coded.indices.to_numpy().astype(np.int64)
+        terms = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
         place = np.arange(len(ids)) + np.repeat(starts - (np.cumsum(n) - n), n)
-        known = np.flatnonzero(ids >= 0)
-        by = known[np.argsort(ids[known], kind="stable")]
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(ids[known], minlength=len(vocabulary)))])
-        return cls(list(rows), list(doc_ids), n, starts, vocabulary, bounds, place[by])
+        by = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by counting
+        for shift in range(16, int(len(terms)).bit_length(), 16):
+            by = by[np.argsort((ids[by] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(terms)))])
+        return cls(list(rows), list(doc_ids), list(prints), n, starts, terms, bounds, place[by])
+
+    def stored(self) -> pa.RecordBatch:
+        wide = bool(len(self.positions)) and int(self.positions.max()) >= 1 << 32
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (self.rows, self.doc_ids, self.prints, self.n_words.tolist())]
+        return pa.record_batch([*lists, pa.array([list(self.terms)], pa.list_(pa.binary())), pa.array([np.diff(self.bounds).tolist()], pa.list_(pa.int64())), pa.array([self.positions.astype("<i8" if wide else "<u4").tobytes()], pa.binary())], names=["rows", "doc_ids", "prints", "n_words", "terms", "counts", "positions"])
+
+    @classmethod
+    def opened(cls, batch: pa.RecordBatch, i: int) -> Shard:
+        at = lambda name: batch.column(batch.schema.get_field_index(name))[i]
+        n = np.array(at("n_words").as_py(), np.int64)
+        bounds = np.concatenate([[0], np.cumsum(at("counts").values.to_numpy())]).astype(np.int64)
+        raw = at("positions").as_buffer()
+        positions = np.frombuffer(raw, "<u4" if len(raw) < 8 * int(bounds[-1]) else "<i8").astype(np.int64)
+        return cls(at("rows").as_py(), at("doc_ids").as_py(), at("prints").as_py(), n, np.cumsum(n + GAP) - n - GAP, {w: k for k, w in enumerate(at("terms").as_py())}, bounds, positions)
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.bounds[term] : self.bounds[term + 1]] if term >= 0 else self.positions[:0]
 
+    def numbers(self, phrases: Phrases) -> np.ndarray:
+        """The shard's number of each of the phrases' terms, -1 where it has none; and -2 at the end, for the places behind a short phrase."""
+        return np.array([*(self.terms.get(w, -1) for w in phrases.terms), -2], np.int64)
+
+    def phrases(self, phrases: Phrases):
+        """(phrase, first position) arrays of all exact matches, some phrases at a time."""
+        if not len(self.positions) or not len(phrases.rows):
+            return
+        rows = self.numbers(phrases)[phrases.rows]
+        some = np.flatnonzero((rows != -1).all(axis=1))
+        rows = rows[some]
+        size = np.where(rows >= 0, np.diff(self.bounds)[rows], np.iinfo(np.int64).max)
+        order = np.argsort(size, axis=1, kind="stable")
+        first = np.take_along_axis(rows, order[:, :1], 1)[:, 0]
+        n = self.bounds[first + 1] - self.bounds[first]
+        span = int(self.positions.max()) + rows.shape[1] + 1
+        key = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds)) * span + self.positions  # in order of terms, then places
+        done = np.cumsum(n)
+        lo, base = 0, 0
+        while lo < len(some):
+            hi = max(lo + 1, int(np.searchsorted(done, base + CANDIDATES, side="right")))
+            phrase = np.repeat(np.arange(lo, hi), n[lo:hi])
+            at = np.arange(len(phrase)) - np.repeat(done[lo:hi] - n[lo:hi] - base, n[lo:hi]) + self.bounds[first[phrase]]
+            start = self.positions[at] - order[phrase, 0]
+            for k in range(1, rows.shape[1]):
+                term = rows[phrase, order[phrase, k]]
+                short = term < 0
+                if not len(phrase) or short.all():
+                    break
+                wanted = term * span + start + order[phrase, k]
+                found = np.searchsorted(key, wanted)
+                kept = short | (key[np.minimum(found, len(key) - 1)] == wanted)
+                phrase, start = phrase[kept], start[kept]
+            if len(phrase):
+                yield some[phrase], start
+            base, lo = int(done[hi - 1]), hi
+
     def _holds(self, term: int, places: np.ndarray) -> np.ndarray:
         own = self.postings(term)
         at = np.searchsorted(own, places)
         return (at < len(own)) & (own[np.minimum(at, len(own) - 1)] == places) if len(own) else np.zeros(len(places), bool)
 
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """First positions of the exact phrase: offset-adjusted lists, intersected from the rarest on."""
-        size = np.where(terms >= 0, self.bounds[terms + 1] - self.bounds[terms], 0)
-        order = np.argsort(size, kind="stable")
-        found = self.postings(terms[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(found):
-                break
-            found = found[self._holds(terms[k], found + k)]
-        return found
-
     def near(self, terms: np.ndarray, slop: int) -> np.ndarray:
         """First positions p of spans [p, p + len(terms) + slop) that begin with a term and hold all of them, repeats as often."""
-        reach = min(len(terms) + slop, GAP)
+        reach = len(terms) + slop
         need = np.bincount(terms[terms >= 0], minlength=len(self.bounds) - 1)
         if (terms < 0).any():
             return self.positions[:0]
@@ -134,105 +184,68 @@ class Shard:
             begins |= self._holds(t, starts)
         return starts[begins]
 
+    def spans(self, phrases: Phrases, slop: int):
+        """As phrases(), of spans that may be slop words longer."""
+        numbers = self.numbers(phrases)
+        for k, row in enumerate(phrases.rows):
+            found = self.near(numbers[row[: phrases.width[k]]], slop)
+            if len(found):
+                yield np.full(len(found), k), found
+
     def document(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, position, side="right") - 1
 
 
-def _shards(vocabulary, shard_bytes: int, batches):
-    rows, keys, split, size = [], [], [], 0
-    carried = []
-
-    def closed():
-        shard = Shard.build(rows, keys, split, vocabulary)
-        shard.carried = pa.concat_arrays(carried) if carried else None
-        carried.clear()
-        return shard
-
+def _index_batches(shard_bytes: int, batches):
+    rows, keys, prints, split, size = [], [], [], [], 0
     for batch in batches:
         for piece in pieces(batch, "text"):
             own = texts(piece)
-            if piece.num_columns > 3:
-                carried.append(piece.column(3))
             keys += piece.column(0).to_pylist()
             rows += piece.column(2).to_pylist()
+            prints += piece.column(3).to_pylist()
             split += map(words, own)
             size += sum(map(len, own))
             if size >= shard_bytes:
-                yield closed()
-                rows, keys, split, size = [], [], [], 0
+                yield Shard.build(rows, keys, prints, split).stored()
+                rows, keys, prints, split, size = [], [], [], [], 0
     if keys:
-        yield closed()
-
-
-def _rows(docs: DataFrame, carry: bool = False) -> DataFrame:
-    own = [F.struct(*quoted(docs.columns)).alias("carried")] if carry else []
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"), *own)
-
-
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The shards as rows; vocabulary: the terms to post, or None for all."""
+        yield Shard.build(rows, keys, prints, split).stored()
 
-    def out(batches):
-        for s in _shards(vocabulary, shard_bytes, batches):
-            used = [(w, int(s.bounds[t + 1] - s.bounds[t]), t) for w, t in s.terms.items() if s.bounds[t + 1] > s.bounds[t]]
-            place = np.concatenate([s.postings(t) for _, _, t in used]) if used else s.positions
-            yield pa.record_batch([pa.array([s.rows], pa.list_(pa.int64())), pa.array([s.doc_ids], pa.list_(pa.int64())), pa.array([s.n_words.tolist()], pa.list_(pa.int64())), pa.array([[w for w, _, _ in used]], pa.list_(pa.binary())), pa.array([[n for _, n, _ in used]], pa.list_(pa.int64())), pa.array([place.astype("<i8").tobytes()], pa.binary())], names=["rows", "doc_ids", "n_words", "terms", "counts", "positions"])
 
-    return _rows(docs).mapInArrow(tidy(out), _INDEX)
+def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The shards as rows. Documents get the numbers by which matches of several blocks are united: store the frame before it is searched."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("print"))
+    return rows.mapInArrow(tidy(partial(_index_batches, shard_bytes)), _INDEX)
 
 
-def _opened(batches):
-    for batch in batches:
-        for r in batch.to_pylist():
-            n = np.array(r["n_words"], np.int64)
-            yield Shard(r["rows"], r["doc_ids"], n, np.cumsum(n + GAP) - n - GAP, {w: i for i, w in enumerate(r["terms"])}, np.concatenate([[0], np.cumsum(np.array(r["counts"], np.int64))]), np.frombuffer(r["positions"], "<i8"))
-
-
-_SPAN = StructType([StructField("start", LongType()), StructField("stop", LongType())])
-_MATCHES = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(_SPAN)), StructField("row", LongType())])
-
-
-def _matched(shards, phrases: Phrases, slop: int | None):
+def _matched(s: Shard, phrases: Phrases, slop: int | None):
     """A row for each document: the items with a match and the word spans that are hit, in order and disjoint."""
-    for s in shards:
-        to = np.full(len(phrases.terms) + 1, -1)
-        for w, t in phrases.terms.items():
-            to[t] = s.terms.get(w, -1)
-        size = np.append(np.diff(s.bounds), 0)
-        items: dict[int, set[str]] = {}
-        begin, end = [], []
-        if phrases.rows:
-            flat = to[np.concatenate(phrases.rows)]
-            width = np.array([len(r) for r in phrases.rows])
-            first = np.cumsum(width) - width
-            possible = np.minimum.reduceat(size[flat], first) > 0
-            for k in np.flatnonzero(possible):
-                terms = flat[first[k] : first[k] + width[k]]
-                found = s.phrase(terms) if slop is None else s.near(terms, slop)
-                if len(found):
-                    reach = len(terms) + (slop or 0)
-                    docs = s.document(found)
-                    begin.append(found)
-                    end.append(np.minimum(found + reach, s.starts[docs] + s.n_words[docs]))
-                    for d in set(docs.tolist()):
-                        items.setdefault(d, set()).update(phrases.items[k])
-        spans: dict[int, list] = {}
-        if begin:
-            a, b = np.concatenate(begin), np.concatenate(end)
-            by = np.argsort(a, kind="stable")
-            a, b = a[by], np.maximum.accumulate(b[by])
-            new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
-            a, b = a[new], b[np.append(new[1:], len(a)) - 1]
-            for d, x, y in zip(s.document(a).tolist(), a.tolist(), b.tolist(), strict=True):
-                spans.setdefault(d, []).append({"start": x - int(s.starts[d]), "stop": y - int(s.starts[d])})
-        n = len(s.doc_ids)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for lo in range(0, n, 4096):
-            at = range(lo, min(n, lo + 4096))
-            yield pa.record_batch(
-                [pa.array([s.doc_ids[i] for i in at], pa.int64()), pa.array(s.n_words[lo : lo + 4096]), pa.array([sorted(items.get(i, ())) for i in at], pa.list_(pa.string())), pa.array([spans.get(i, []) for i in at], kind), pa.array(s.rows[lo : lo + 4096], pa.int64()), *([] if s.carried is None else [s.carried.slice(lo, 4096)])],
-                names=["doc_id", "n_words", "items", "spans", "row", *([] if s.carried is None else ["carried"])],
-            )
+    found = list(s.phrases(phrases) if slop is None else s.spans(phrases, slop))
+    items: dict[int, list[str]] = {}
+    spans: dict[int, list] = {}
+    if found:
+        phrase, a = (np.concatenate(x) for x in zip(*found, strict=True))
+        of = s.document(a)
+        b = np.minimum(a + phrases.width[phrase] + (slop or 0), s.starts[of] + s.n_words[of])
+        pairs = np.unique(np.stack([of, phrase], 1), axis=0)
+        n = np.diff(phrases.bounds)[pairs[:, 1]]
+        owner = phrases.owner[np.repeat(phrases.bounds[pairs[:, 1]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        for d, i in np.unique(np.stack([np.repeat(pairs[:, 0], n), owner], 1), axis=0).tolist():
+            items.setdefault(d, []).append(phrases.names[i])
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], np.maximum.accumulate(b[by])
+        new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+        a, b = a[new], b[np.append(new[1:], len(a)) - 1]
+        for d, x, y in zip(s.document(a).tolist(), a.tolist(), b.tolist(), strict=True):
+            spans.setdefault(d, []).append({"start": x - int(s.starts[d]), "stop": y - int(s.starts[d])})
+    n = len(s.doc_ids)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    for lo in range(0, n, 4096):
+        at = range(lo, min(n, lo + 4096))
+        columns = [pa.array(s.doc_ids[lo : lo + 4096], pa.int64()), pa.array(s.n_words[lo : lo + 4096]), pa.array([sorted(items.get(i, ())) for i in at], pa.list_(pa.string())), pa.array([spans.get(i, []) for i in at], kind), pa.array(s.rows[lo : lo + 4096], pa.int64()), pa.array(s.prints[lo : lo + 4096], pa.int64())]
+        yield pa.record_batch(columns, names=_MATCHES.names)
 
 
 def _blocks(items: DataFrame, window: int, block_bytes: int):
@@ -245,7 +258,7 @@ def _blocks(items: DataFrame, window: int, block_bytes: int):
 
 
 def _united(found: list[DataFrame]) -> DataFrame:
-    """Matches of several blocks as one row for each document; spans are merged. Each block numbers the same rows alike."""
+    """Matches of several blocks as one row for each document; spans are merged."""
     if len(found) == 1:
         return found[0].drop("row")
     every = found[0]
@@ -257,34 +270,33 @@ def _united(found: list[DataFrame]) -> DataFrame:
         grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
         return F.when((F.size(a) > 0) & (x["start"] <= F.try_element_at(a, F.lit(-1))["stop"]), grown).otherwise(F.concat(a, F.array(x)))
 
-    own = [F.first("carried").alias("carried")] if "carried" in every.columns else []
-    g = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), *own)
-    return g.select(*(["carried"] if own else []), "doc_id", "n_words", "items", F.aggregate("s", F.array().cast("array<struct<start:bigint,stop:bigint>>"), merge).alias("spans"))
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
-    """doc_id, n_words, items, spans of every document, indexed and searched in one go; carry: and its row, in a struct `carried`."""
-
-    def go(phrases, batches):
-        known = phrases.value
-        return _matched(_shards(known.terms, SHARD_BYTES, batches), known, slop)
-
-    sc = docs.sparkSession.sparkContext
-    rows = _rows(docs, carry)
-    schema = StructType([*_MATCHES.fields, *([rows.schema["carried"]] if carry else [])])
-    return _united([rows.mapInArrow(tidy(partial(go, sc.broadcast(p))), schema) for p in _blocks(items, window, block_bytes)])
+    own = [F.first(c).alias(c) for c in ("doc_id", "n_words", "print")]
+    g = every.groupBy("row").agg(*own, F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
+    return g.select("doc_id", "n_words", "items", F.aggregate("s", F.array().cast("array<struct<start:bigint,stop:bigint>>"), merge).alias("spans"), "print")
 
 
 def index_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """As phrase_matches(), over a stored index. slop: None for exact phrases, else words that a span may be longer."""
+    """doc_id, n_words, items, spans of every document of a stored index, and a hash of its text, `print`.
+
+    slop: None for exact phrases, else words that a span may be longer; window and slop are GAP at most together.
+    """
+    if slop is not None and window + slop > GAP:
+        raise ValueError(f"window and slop must not exceed {GAP} together")
 
     def go(phrases, batches):
-        return _matched(_opened(batches), phrases.value, slop)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from _matched(Shard.opened(batch, i), phrases.value, slop)
 
     sc = index.sparkSession.sparkContext
     return _united([index.mapInArrow(tidy(partial(go, sc.broadcast(p))), _MATCHES) for p in _blocks(items, window, block_bytes)])
 
 
+def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """index_matches() over an index of docs that is stored for it."""
+    return index_matches(stored(build_index(docs), "index"), items, window, slop, block_bytes)
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
     return phrase_matches(docs, items, window, slop)
 
@@ -297,9 +309,12 @@ def contamination(matches: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated."""
-    found = contamination(phrase_matches(docs, items, carry=True))
-    return found.where(~F.col("contaminated")).select("carried.*")
+    """The rows of docs that are not contaminated. A verdict hangs on the text alone, so rows are found again by doc_id and text."""
+    key, print_ = fresh(docs, "key", "print")
+    bad = contamination(phrase_matches(docs, items)).where("contaminated").select(F.col("doc_id").alias(key), F.col("print").alias(print_)).distinct()
+    bad = small_side(stored(bad, "contaminated"))
+    rows = docs.withColumns({key: F.col("doc_id").cast("long"), print_: F.xxhash64(F.col("text").cast("string"))})
+    return rows.join(bad, rows[key].eqNullSafe(bad[key]) & (rows[print_] == bad[print_]), "left_anti").select(*quoted(docs.columns))
 
 
 def op3_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

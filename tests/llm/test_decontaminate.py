@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
 from factmill.llm import decontaminate as d
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -52,7 +55,9 @@ def test_against_brute_force(spark):
     once = digest(d.phrase_matches(docs, bench))
     assert digest(d.phrase_matches(docs, bench, block_bytes=300)) == once
     assert digest(d.index_matches(d.build_index(docs, shard_bytes=500), bench)) == once
-    assert digest(d.index_matches(d.build_index(docs, {b"ab": 0, b"a": 1}), bench, block_bytes=400)) != once
+    index = d.stored(d.build_index(docs, shard_bytes=2000), "t")
+    assert digest(d.index_matches(index, bench, block_bytes=400)) == once
+    assert sorted(r.doc_id for r in d.clean_documents(docs, bench).collect() if r.doc_id is not None) == sorted(r[0] for r in want if not r[5] and r[0] is not None)
 
 
 def test_empty(spark):
@@ -70,3 +75,37 @@ def test_proximity(spark):
     near = lambda slop: {r.doc_id for r in d.proximity_matches(docs, q, slop).collect() if r["items"]}
     assert near(0) == {2} and near(1) == {2, 5} and near(2) == {1, 2, 5} and near(3) == {1, 2, 3, 5}
     assert {r.doc_id for r in d.phrase_matches(docs, q).collect() if r["items"]} == set()
+
+
+def test_few_candidates_at_once(monkeypatch):
+    rows, items = data()
+    phrases = d.Phrases.of(items)
+    shard = d.Shard.build(range(len(rows)), [k for k, _ in rows], [0] * len(rows), [d.words(t) for _, t in rows])
+    opened = d.Shard.opened(shard.stored(), 0)
+
+    def pairs():
+        return sorted((int(p), int(a)) for x in opened.phrases(phrases) for p, a in zip(*x, strict=True))
+
+    every = pairs()
+    flat = np.full(int(shard.positions.max()) + 20, -1)
+    for w, t in shard.terms.items():
+        flat[shard.postings(t)] = phrases.terms.get(w, -2)
+    want = [(k, a) for k, row in enumerate(phrases.rows) for a in range(len(flat) - 13) if (flat[a : a + phrases.width[k]] == row[: phrases.width[k]]).all()]
+    assert every == want
+    monkeypatch.setattr(d, "CANDIDATES", 7)
+    assert pairs() == every
+
+
+def test_slop_beyond_the_gap(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        d.proximity_matches(docs, docs.withColumnRenamed("doc_id", "item_id"), d.GAP)
+
+
+def test_long_text(spark):
+    """A text of megabytes with an item's words at its end."""
+    text = "word other " * 300000 + "the very last words of all"
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    item = spark.createDataFrame([(7, "The VERY last words, of all")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in d.op3_decontaminate(docs, item).collect()}
+    assert got == {1: (600006, 6, False), 2: (1, 0, False)}
