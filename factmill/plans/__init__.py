@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Imports the modules that register passes."""
-    from . import design, guards, performance, reliability, security, style  # noqa: F401
+    from . import design, detectors, guards, performance, reliability, security, style  # noqa: F401

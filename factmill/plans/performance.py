@@ -14,8 +14,8 @@ from .registry import register
 # Fixed values.
 DB_METHODS = "executeQuery executeUpdate prepareStatement prepareCall findById findAll saveAll deleteById existsById findByIdAndUpdate findByIdAndDelete findOneAndUpdate findOneAndDelete countDocuments aggregate distinct findByPk findAndCountAll bulkCreate bulkUpdate findFirst findUnique findMany createMany updateMany deleteMany fetch".split()
 DB_METHODS_ON_CLIENTS = "query execute find findOne save create update delete insert upsert remove get post put patch request load lookup".split()
-CLIENT_PREFIX = "(?i)^(db|conn|connection|pool|client|repo|repository|orm|em|entityManager|sequelize|mongoose|prisma|axios|http|https|api|svc|service|dao|store|cache)"
-CLIENT_SUFFIX = "(Repository|Repo|Dao|DataSource|DbContext|Client|Service|Store|Cache|Gateway|Adapter|Provider|Manager|Handler|Proxy|Facade|Connection|Pool|Session)$"
+CLIENT_PREFIX = "(?i)^(db|conn|connection|pool|client|repo|repository|orm|em|entityManager|sequelize|mongoose|prisma|axios|http|https|api|svc|service|dao|store|cache|gql|graphql|mongo|redis|sql|pg|mysql|sqlite|dynamo|cosmos|elastic|es|solr|neo4j|cassandra|couchbase|firestore|supabase|drizzle|knex|typeorm|mikro)"
+CLIENT_SUFFIX = "(Repository|Repo|Dao|DataSource|DbContext|Client|Service|Store|Cache|Gateway|Adapter|Provider|Manager|Handler|Proxy|Facade|Connection|Pool|Session|Template|Mapper|Access|Query|Command|Storage|Bucket|Table|Collection)$"
 IN_MEMORY_SUFFIX = "(Index|Map|Lookup|Dict|ById|ByName|ByKey|ByType|ByPath|ByFile|ByLine)$"
 IN_MEMORY_NAMES = "map set dict lookup index cache seen visited idom memo registry".split()
 NUMERIC_NAMES = "(?i)^(i|j|k|n|m|x|y|z|count|sum|total|size|index|len|length|num|idx|score|counter|offset|pos|col|row|result|ret|value|acc|bits|byte|bytes|flag|flags|step|delta|diff|dist|min|max|avg|mean|page|line|err|error)$"

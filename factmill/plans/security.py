@@ -71,6 +71,9 @@ NEEDS = {
     "open-redirect": "redirect",
     "ssrf": "req. request getparameter args.get formvalue",
     "xss-response-write": "getwriter innerhtml document.write fprintf bypasssecurity",
+    "rust-insecure-cookie": "cookie::",
+    "bash-weak-hash": "md5 sha1",
+    "go-weak-tls-version": "version",
 }
 
 JS = ("javascript", "typescript")
@@ -104,6 +107,11 @@ RULES = [
     LineRule("open-redirect", "CWE-601", "medium", "(sendRedirect|redirect|http\\.Redirect)\\s*\\([^)]*(req\\.|request\\.|getParameter|args\\.get|FormValue)", "The target of a redirect comes from the request"),
     LineRule("ssrf", "CWE-918", "high", "(requests\\.(get|post)|urlopen|axios\\.(get|post)|fetch|http\\.Get|new\\s+URL)\\s*\\([^)]*(req\\.|request\\.|getParameter|args\\.get|FormValue)", "The address of a request comes from a request", unless="(?i)allow"),
     LineRule("xss-response-write", "CWE-79", "high", "(getWriter\\(\\)\\.(print|println|write)\\([^)]*getParameter|innerHTML\\s*=\\s*[^;]*(location|req\\.|\\.value)|document\\.write\\([^)]*location|fmt\\.Fprintf\\(\\s*w\\s*,[^)]*FormValue|bypassSecurityTrustHtml)", "Text from outside becomes markup"),
+    LineRule("rust-hardcoded-credential", "CWE-798", "high", "(?i)\\b(const|static|let)\\s+(mut\\s+)?\\w*(password|passwd|secret|api_?key|token)\\w*\\s*(:[^=]+)?=\\s*(String::from\\()?\"[^\"]{4,}\"", "A credential stands in the code", ("rust",)),
+    LineRule("rust-insecure-cookie", "CWE-614", "medium", "\\bCookie::(new|build)\\s*\\(", "A cookie without secure", ("rust",), unless="\\.secure\\(\\s*true"),
+    LineRule("rust-weak-crypto-ecb", "CWE-327", "high", "\\bEcb\\s*(::)?\\s*<|\\becb::(Encryptor|Decryptor)|\\bEcb(Enc|Dec)\\b", "ECB shows equal blocks as equal", ("rust",)),
+    LineRule("bash-weak-hash", "CWE-328", "medium", "\\b(md5sum|sha1sum)\\b|\\bopenssl\\s+(dgst\\s+-)?(md5|sha1)\\b", "A hash that no longer withstands attacks", ("bash",)),
+    LineRule("go-weak-tls-version", "CWE-327", "high", "\\b(MinVersion|MaxVersion)\\s*:\\s*tls\\.(VersionSSL30|VersionTLS10|VersionTLS11)\\b", "A version of TLS that can be broken", ("go",)),
 ]
 
 

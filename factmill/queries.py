@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import planted
 from .facts import SCHEMAS, Facts
 from .functions import text as fn
 from .operators import graph, joins, picks
+from .plans import detectors, load, markup, metrics, performance, post, registry, reliability, rules, security
 from .plans import findings as fd
-from .plans import markup, metrics, performance, post, reliability, rules
 from .streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -571,6 +572,34 @@ def q_stream_open_without_close(s, d):
     return streams.run_to_memory(streams.open_without_close(e), name, "update").groupBy("user_id").agg(F.max("open").alias("open"), F.max("closed").alias("closed"))
 
 
+# ---- every pass and detector on planted programs -----------------------------------------------------------------------
+
+
+def _planted(name: str, cases: list[planted.Case], run: Callable[[Facts], DataFrame], rule: str):
+    """A query of what `run` finds in programs of the cases, one for each customer, with the SQL that tells what it must find."""
+
+    def of_customers(s: SparkSession, d: str) -> DataFrame:
+        f = planted.facts(s, planted.units(read(s, d, "customer"), "c_custkey", "c", cases), cases)
+        return run(f).select("file", "line", c(rule).alias("rule"))
+
+    QUERIES[name] = of_customers
+    ORACLES[name] = planted.sql("customer", "c_custkey", "c", cases)
+
+
+def _plant():
+    load()
+    _planted("detect_flows", planted.flow_cases(), detectors.flow_findings, "pass")
+    _planted("detect_guards", planted.guard_cases(), detectors.guard_sanitizers, "type")
+    _planted("detect_sources", planted.source_cases(), detectors.assignment_sources, "type")
+    _planted("line_rules", planted.line_rule_cases(), security.line_findings, "rule_id")
+    for name, cases in planted.PASS_CASES.items():
+        key = f"pass_{name.replace('-', '_')}"
+        _planted(f"{key}_planted" if key in QUERIES else key, cases, registry.PASSES[name].run, "rule_id")
+
+
+_plant()
+
+
 def entry(s: SparkSession, d: str) -> DataFrame:
     return q_pass_n_plus_one(s, d)
 
