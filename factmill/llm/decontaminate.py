@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-build_index() makes the index: it is sharded by document, and a shard holds, for some thousands of documents, the postings (word
+build_index() makes the index: it is sharded by document, and a shard holds, for some megabytes of documents, the postings (word
 positions) of each term. Positions count through the shard's documents, which lie GAP positions apart, so no phrase runs across two of
 them. The queries store it as a table in the shared folder and look test items up in what is stored; other test sets can be looked up in it later.
 
@@ -18,22 +18,23 @@ an empty table gives an empty result. Very long texts are one document like any
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import fresh, input_bytes, pieces, quoted, small_side, stored, texts, tidy
+from .chunks import strings
+from .common import fresh, input_bytes, pieces, quoted, small_side, stored, tidy
 
 WINDOW = 13
 GAP = 1024
 #: Text bytes of one index shard, and of the test items that are sent at once.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 4 << 20
 #: (phrase, position) candidates that are intersected at once.
 CANDIDATES = 1 << 20
@@ -48,6 +49,24 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+_BYTES = np.frombuffer(_TABLE, np.uint8)
+
+
+def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one text after another, and each text's number of words; without an object for each word."""
+    data, bounds = strings(column)
+    low = _BYTES[data]
+    inside = low != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = bounds[:-1][np.diff(bounds) > 0]
+    begins[at] = inside[at]  # words do not run from one text into the next
+    first = np.flatnonzero(begins)
+    offsets = np.append(np.cumsum(inside, dtype=np.int64)[first] - 1, np.count_nonzero(inside))
+    found = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(low[inside])]).cast(pa.binary())
+    return found, np.diff(np.searchsorted(first, bounds))
+
+
 @dataclass
 class Phrases:
     """Distinct word windows of a block of items, and which items have them."""
@@ -90,17 +109,17 @@ class Shard:
     prints: list[int | None]
     n_words: np.ndarray
     starts: np.ndarray
-    terms: dict[bytes, int]
+    terms: pa.Array
     bounds: np.ndarray
     positions: np.ndarray
 
     @classmethod
-    def build(cls, rows, doc_ids, prints, split: list[list[bytes]]) -> Shard:
-        n = np.array([len(x) for x in split], np.int64)
+    def build(cls, rows, doc_ids, prints, column: pa.Array) -> Shard:
+        found, n = split(column)
         starts = np.cumsum(n + GAP) - n - GAP
-        coded = pa.array(list(itertools.chain.from_iterable(split)), pa.binary()).dictionary_encode()
-        ids = coded.indices.to_numpy().astype(np.int64)
-        terms = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+        coded = found.dictionary_encode()
+        ids = coded.indices.to_numpy()
+        terms = coded.dictionary
         place = np.arange(len(ids)) + np.repeat(starts - (np.cumsum(n) - n), n)
         by = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")  # 16 bits at a time are sorted by counting
         for shift in range(16, int(len(terms)).bit_length(), 16):
@@ -111,7 +130,7 @@ class Shard:
     def stored(self) -> pa.RecordBatch:
         wide = bool(len(self.positions)) and int(self.positions.max()) >= 1 << 32
         lists = [pa.array([x], pa.list_(pa.int64())) for x in (self.rows, self.doc_ids, self.prints, self.n_words.tolist())]
-        return pa.record_batch([*lists, pa.array([list(self.terms)], pa.list_(pa.binary())), pa.array([np.diff(self.bounds).tolist()], pa.list_(pa.int64())), pa.array([self.positions.astype("<i8" if wide else "<u4").tobytes()], pa.binary())], names=["rows", "doc_ids", "prints", "n_words", "terms", "counts", "positions"])
+        return pa.record_batch([*lists, pa.ListArray.from_arrays(pa.array([0, len(self.terms)], pa.int32()), self.terms), pa.array([np.diff(self.bounds).tolist()], pa.list_(pa.int64())), pa.array([self.positions.astype("<i8" if wide else "<u4").tobytes()], pa.binary())], names=["rows", "doc_ids", "prints", "n_words", "terms", "counts", "positions"])
 
     @classmethod
     def opened(cls, batch: pa.RecordBatch, i: int) -> Shard:
@@ -120,14 +139,15 @@ class Shard:
         bounds = np.concatenate([[0], np.cumsum(at("counts").values.to_numpy())]).astype(np.int64)
         raw = at("positions").as_buffer()
         positions = np.frombuffer(raw, "<u4" if len(raw) < 8 * int(bounds[-1]) else "<i8").astype(np.int64)
-        return cls(at("rows").as_py(), at("doc_ids").as_py(), at("prints").as_py(), n, np.cumsum(n + GAP) - n - GAP, {w: k for k, w in enumerate(at("terms").as_py())}, bounds, positions)
+        return cls(at("rows").as_py(), at("doc_ids").as_py(), at("prints").as_py(), n, np.cumsum(n + GAP) - n - GAP, at("terms").values, bounds, positions)
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.bounds[term] : self.bounds[term + 1]] if term >= 0 else self.positions[:0]
 
     def numbers(self, phrases: Phrases) -> np.ndarray:
         """The shard's number of each of the phrases' terms, -1 where it has none; and -2 at the end, for the places behind a short phrase."""
-        return np.array([*(self.terms.get(w, -1) for w in phrases.terms), -2], np.int64)
+        own = pc.index_in(pa.array(list(phrases.terms), pa.binary()), value_set=self.terms)
+        return np.append(own.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), -2)
 
     def phrases(self, phrases: Phrases):
         """(phrase, first position) arrays of all exact matches, some phrases at a time."""
@@ -197,20 +217,23 @@ class Shard:
 
 
 def _index_batches(shard_bytes: int, batches):
-    rows, keys, prints, split, size = [], [], [], [], 0
+    held, size = [], 0
+
+    def closed():
+        table = pa.Table.from_batches(held)
+        own = [table.column(i).to_pylist() for i in (2, 0, 3)]
+        held.clear()
+        return Shard.build(*own, table.column(1).combine_chunks()).stored()
+
     for batch in batches:
-        for piece in pieces(batch, "text"):
-            own = texts(piece)
-            keys += piece.column(0).to_pylist()
-            rows += piece.column(2).to_pylist()
-            prints += piece.column(3).to_pylist()
-            split += map(words, own)
-            size += sum(map(len, own))
+        for piece in pieces(batch, "text", min(1 << 20, shard_bytes)):
+            held.append(piece)
+            size += int(pc.sum(pc.fill_null(pc.binary_length(piece.column(1)), 0)).as_py() or 0)
             if size >= shard_bytes:
-                yield Shard.build(rows, keys, prints, split).stored()
-                rows, keys, prints, split, size = [], [], [], [], 0
-    if keys:
-        yield Shard.build(rows, keys, prints, split).stored()
+                yield closed()
+                size = 0
+    if held:
+        yield closed()
 
 
 def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factmill.llm import decontaminate as d
@@ -80,7 +81,7 @@ def test_proximity(spark):
 def test_few_candidates_at_once(monkeypatch):
     rows, items = data()
     phrases = d.Phrases.of(items)
-    shard = d.Shard.build(range(len(rows)), [k for k, _ in rows], [0] * len(rows), [d.words(t) for _, t in rows])
+    shard = d.Shard.build(range(len(rows)), [k for k, _ in rows], [0] * len(rows), pa.array([t for _, t in rows], pa.string()))
     opened = d.Shard.opened(shard.stored(), 0)
 
     def pairs():
@@ -88,7 +89,7 @@ def test_few_candidates_at_once(monkeypatch):
 
     every = pairs()
     flat = np.full(int(shard.positions.max()) + 20, -1)
-    for w, t in shard.terms.items():
+    for t, w in enumerate(shard.terms.to_pylist()):
         flat[shard.postings(t)] = phrases.terms.get(w, -2)
     want = [(k, a) for k, row in enumerate(phrases.rows) for a in range(len(flat) - 13) if (flat[a : a + phrases.width[k]] == row[: phrases.width[k]]).all()]
     assert every == want
@@ -109,3 +110,12 @@ def test_long_text(spark):
     item = spark.createDataFrame([(7, "The VERY last words, of all")], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.contaminated) for r in d.op3_decontaminate(docs, item).collect()}
     assert got == {1: (600006, 6, False), 2: (1, 0, False)}
+
+
+def test_words_of_a_column():
+    texts = ["A b", None, "", "c", "d-e ", " fé数", "x"]
+    found, n = d.split(pa.array(texts, pa.string()))
+    assert found.to_pylist() == [w for t in texts for w in d.words(t)] and n.tolist() == [len(d.words(t)) for t in texts]
+    sliced, n = d.split(pa.array(["zz", *texts], pa.string()).slice(1))
+    assert sliced.to_pylist() == found.to_pylist()
+    assert d.split(pa.array([], pa.string()))[0].to_pylist() == []
