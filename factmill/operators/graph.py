@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import first_match
+from .joins import first_match, range_join
 from .storage import cut
 
 ROUNDS = 10_000
@@ -111,12 +111,58 @@ def simple_paths(seeds: DataFrame, edges: DataFrame, keys: Sequence[str], node:
     return found
 
 
+def _trimmed(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges (src, dst) between nodes that have edges in and out, over and over: what is left holds all cycles."""
+    e = cut(edges)
+    n = e.count()
+    while n:
+        ins = e.select(*keys, F.col("dst").alias("src")).distinct()
+        outs = e.select(*keys, F.col("src").alias("dst")).distinct()
+        e = cut(e.join(ins, [*keys, "src"], "left_semi").join(outs, [*keys, "dst"], "left_semi").select(*keys, "src", "dst"))
+        left = e.count()
+        if left == n:
+            break
+        n = left
+    return e
+
+
+def _least_reaching(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, node, color: the least node from which each node can be reached, itself included."""
+    ends = edges.select(*keys, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    color = cut(ends.withColumn("color", F.col("node")))
+    changed = color
+    while not changed.isEmpty():
+        told = changed.select(*keys, F.col("node").alias("src"), "color").join(edges, [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min("color").alias("told"))
+        changed = cut(color.join(told, [*keys, "node"]).where("told < color").select(*keys, "node", F.col("told").alias("color")))
+        color = cut(color.join(changed.withColumnRenamed("color", "new"), [*keys, "node"], "left").select(*keys, "node", F.coalesce("new", "color").alias("color")))
+    return color
+
+
 def components(edges: DataFrame, keys: Sequence[str], src: str, dst: str) -> DataFrame:
-    """keys, node, component: strongly connected components of two nodes or more; a component is named by its least node."""
-    c = closure(edges, keys, src, dst)
-    back = c.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("src"))
-    mutual = c.select(*keys, "src", "dst").join(back, [*keys, "src", "dst"]).where("src != dst")
-    return mutual.groupBy(*keys, F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component"))
+    """keys, node, component: strongly connected components of two nodes or more; a component is named by its least node.
+
+    By trimming and colouring: the least node that reaches a node colours it; what reaches that least node again within its colour is its
+    component. Frames stay as large as the edges, which pairs of all that reach each other would not.
+    """
+    left = edges.select(*keys, F.col(src).alias("src"), F.col(dst).alias("dst")).where("src != dst").distinct()
+    found = None
+    while True:
+        left = _trimmed(left, keys)
+        if left.isEmpty():
+            break
+        color = _least_reaching(left, keys)
+        ends = [color.select(*keys, F.col("node").alias(x), F.col("color").alias(f"{x}_color")) for x in ("src", "dst")]
+        same = left.join(ends[0], [*keys, "src"]).join(ends[1], [*keys, "dst"]).where("src_color = dst_color").select(*keys, F.col("src_color").alias("color"), "src", "dst")
+        back = reachable(color.where("node = color").select(*keys, "color", "node"), same, [*keys, "color"], "node", "dst", "src")
+        own = cut(back.select(*keys, "node", F.col("color").alias("component")))
+        found = own if found is None else found.unionByName(own)
+        gone = [own.select(*keys, F.col("node").alias(x)) for x in ("src", "dst")]
+        left = left.join(gone[0], [*keys, "src"], "left_anti").join(gone[1], [*keys, "dst"], "left_anti").select(*keys, "src", "dst")
+    if found is None:
+        none = edges.select(*keys, F.col(src).alias("node"), F.col(src).alias("component")).limit(0)
+        return none
+    several = found.groupBy(*keys, "component").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return found.join(several, [*keys, "component"]).select(*keys, "node", "component")
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str, src: str, dst: str) -> DataFrame:
@@ -125,32 +171,103 @@ def orphans(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str,
     return nodes.join(entered, [*keys, node], "left_anti")
 
 
-def dominators(blocks: DataFrame, edges: DataFrame, roots: DataFrame, keys: Sequence[str], node: str, src: str, dst: str) -> DataFrame:
-    """keys, node, dominator: who dominates whom, everyone itself; nodes that the root does not reach have themselves alone.
+def _tree_of(nodes: list, succ: dict, root) -> dict:
+    """node: (idom, enter, leave) of what the root reaches: immediate dominators to a fixpoint in reverse postorder, then the tree's intervals."""
+    order, seen, stack = [], {root}, [(root, iter(succ.get(root, ())))]
+    while stack:
+        for to in stack[-1][1]:
+            if to not in seen:
+                seen.add(to)
+                stack.append((to, iter(succ.get(to, ()))))
+                break
+        else:
+            order.append(stack.pop()[0])
+    order.reverse()
+    at = {n: i for i, n in enumerate(order)}
+    pred: dict = {}
+    for n in order:
+        for to in succ.get(n, ()):
+            pred.setdefault(to, []).append(at[n])
+    idom = [None] * len(order)
+    idom[0] = 0
+    changed = True
+    while changed:
+        changed = False
+        for i in range(1, len(order)):
+            new = None
+            for p in pred[order[i]]:
+                if idom[p] is None:
+                    continue
+                if new is None:
+                    new = p
+                    continue
+                a, b = p, new
+                while a != b:
+                    while a > b:
+                        a = idom[a]
+                    while b > a:
+                        b = idom[b]
+                new = a
+            if idom[i] != new:
+                idom[i], changed = new, True
+    children: list[list[int]] = [[] for _ in order]
+    for i in range(1, len(order)):
+        children[idom[i]].append(i)
+    out, clock, work = {}, 0, [(0, False)]
+    enter = [0] * len(order)
+    while work:
+        i, done = work.pop()
+        if done:
+            out[order[i]] = (order[idom[i]] if i else None, enter[i], clock - 1)
+            continue
+        enter[i] = clock
+        clock += 1
+        work.append((i, True))
+        work += [(k, False) for k in reversed(children[i])]
+    return out
+
 
-    The dataflow form: dom(root) = {root}; dom(n) = {n} and what the sets of all its predecessors share, from above to a fixpoint.
+def dominator_tree(blocks: DataFrame, edges: DataFrame, roots: DataFrame, keys: Sequence[str], node: str, src: str, dst: str) -> DataFrame:
+    """keys, node, idom, enter, leave: a dominates b if a.enter <= b.enter <= a.leave. Nodes that the root does not reach stand alone.
+
+    A graph (one value of the keys: a file, a method) is small and is handled in one call, in time linear but for rounds that its loops need; what it
+    returns is one row for each node, where pairs of dominators would be their square.
     """
-    live = reachable(roots, edges, keys, node, src, dst).select(*keys, node)
-    every = live.groupBy(*keys).agg(F.array_sort(F.collect_set(node)).alias("_all"))
-    is_root = roots.select(*keys, node).distinct().withColumn("_root", F.lit(True))
-    state = cut(live.join(every, list(keys)).join(is_root, [*keys, node], "left").select(*keys, node, F.coalesce("_root", F.lit(False)).alias("_root"), F.when(F.col("_root"), F.array(node)).otherwise(F.col("_all")).alias("_dom")))
-    pred = cut(edges.select(*keys, F.col(src).alias("_p"), F.col(dst).alias(node)).distinct().join(live, [*keys, node]).join(live.withColumnRenamed(node, "_p"), [*keys, "_p"]))
-    size = None
-    while True:
-        of_pred = state.select(*keys, F.col(node).alias("_p"), F.col("_dom").alias("_d"))
-        # what all predecessors share: members counted as often as there are predecessors
-        members = pred.join(of_pred, [*keys, "_p"]).select(*keys, node, "_p", F.explode("_d").alias("_m"))
-        n = pred.groupBy(*keys, node).agg(F.count("*").alias("_n"))
-        shared = members.groupBy(*keys, node, "_m").agg(F.count("*").alias("_k")).join(n, [*keys, node]).where("_k = _n").groupBy(*keys, node).agg(F.collect_set("_m").alias("_shared"))
-        new = state.join(shared, [*keys, node], "left").select(*keys, node, "_root", F.when(F.col("_root"), F.array(node)).otherwise(F.array_sort(F.array_union(F.array(node), F.coalesce("_shared", F.array().cast(state.schema["_dom"].dataType))))).alias("_dom"))
-        state = cut(new)
-        now = state.agg(F.sum(F.size("_dom"))).first()[0]
-        if now == size:
-            break
-        size = now
-    pairs = state.select(*keys, node, F.explode("_dom").alias("dominator"))
-    dead = blocks.select(*keys, node).join(live, [*keys, node], "left_anti").withColumn("dominator", F.col(node))
-    return pairs.unionByName(dead)
+    kind = blocks.schema[node].dataType
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    rows = blocks.select(*keys, F.col(node).alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(0).alias("k"))
+    rows = rows.unionByName(edges.select(*keys, F.col(src).cast(kind).alias("a"), F.col(dst).cast(kind).alias("b"), F.lit(1).alias("k")))
+    rows = rows.unionByName(roots.select(*keys, F.col(node).cast(kind).alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(2).alias("k")))
+    schema = StructType([*[StructField(k, blocks.schema[k].dataType) for k in keys], StructField(node, kind), StructField("idom", kind), StructField("enter", IntegerType()), StructField("leave", IntegerType())])
+
+    def go(key, table):
+        import pyarrow as pa
+
+        a, b, k = (table.column(x).to_pylist() for x in ("a", "b", "k"))
+        nodes = sorted({x for x, y in zip(a, k, strict=True) if y != 1})
+        known, succ = set(nodes), {}
+        for x, to in sorted({(x, z) for x, z, y in zip(a, b, k, strict=True) if y == 1}):
+            if x in known and to in known:
+                succ.setdefault(x, []).append(to)
+        start = [x for x, y in zip(a, k, strict=True) if y == 2]
+        tree = _tree_of(nodes, succ, min(start)) if start else {}
+        clock = len(tree)
+        rows = []
+        for i, x in enumerate(x for x in nodes if x not in tree):
+            rows.append((x, None, clock + i, clock + i))
+        rows += [(x, *v) for x, v in tree.items()]
+        own = [pa.array([v.as_py()] * len(rows), v.type) for v in key]
+        return pa.table([*own, *[pa.array([r[i] for r in rows], t) for i, t in enumerate((table.column("a").type, table.column("a").type, pa.int32(), pa.int32()))]], names=schema.names)
+
+    return rows.groupBy(*keys).applyInArrow(go, schema)
+
+
+def dominators(blocks: DataFrame, edges: DataFrame, roots: DataFrame, keys: Sequence[str], node: str, src: str, dst: str) -> DataFrame:
+    """keys, node, dominator: who dominates whom, everyone itself; nodes that the root does not reach have themselves alone. For callers that want pairs."""
+    tree = cut(dominator_tree(blocks, edges, roots, keys, node, src, dst))
+    above = tree.select(*keys, F.col(node).alias("dominator"), F.col("enter").alias("_lo"), F.col("leave").alias("_hi"))
+    return range_join(tree.select(*keys, node, "enter"), above, keys, "enter", "_lo", "_hi").select(*keys, node, "dominator")
 
 
 def immediate_dominators(pairs: DataFrame, keys: Sequence[str], node: str) -> DataFrame:

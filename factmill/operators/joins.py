@@ -48,9 +48,30 @@ def first_match(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str
     return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
-def enclosing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], point: str, start: str, end: str, order: Sequence[str], id_columns: Sequence[str], how: str = "inner") -> DataFrame:
-    """range_join, where the first range in the given order wins for each point (points are told apart by keys and id_columns)."""
-    return first_match(range_join(points, ranges, keys, point, start, end, how=how), [*keys, *id_columns], list(order))
+#: Lines of a bin in which points and ranges of one key meet.
+BIN = 1024
+
+
+def enclosing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], point: str, start: str, end: str, order: Sequence[str], id_columns: Sequence[str], how: str = "inner", bin_size: int = BIN) -> DataFrame:
+    """range_join, where the first range in the given order wins for each point (points are told apart by keys and id_columns).
+
+    Ranges are listed under the bins that they touch, so a point of a long file meets the ranges around it and not all of the file. Points
+    without a range stay with how="left". Ranges without an end hold nothing.
+    """
+    found = first_match(range_join(points, ranges, keys, point, start, end, bin_size), [*keys, *id_columns], list(order))
+    if how == "inner":
+        return found
+    if how != "left":
+        raise ValueError(how)
+    ids = [*keys, *id_columns]
+    points = points.dropDuplicates(ids)
+    of = found.select(*ids, *[c for c in ranges.columns if c not in keys])
+    missing = [c for c in ids if points.schema[c].nullable]
+    if not missing:
+        return points.join(of, ids, "left")
+    of = of.select(*[F.col(c).alias(f"_m_{c}") for c in ids], *[c for c in of.columns if c not in ids])
+    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in ids]
+    return points.join(of, same, "left").drop(*[f"_m_{c}" for c in ids])
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, right_on: str, values: Sequence[str], direction: str = "backward", strict: bool = False) -> DataFrame:

@@ -19,13 +19,13 @@ PROMPTS = "create|complete|chat|generate|invoke|predict|completion|completions|g
 
 
 def _entry_dominators(f: Facts) -> DataFrame:
-    """file, id, dominator within each method: blocks between the method's lines, from the first of them."""
+    """file, method, id, enter, leave: the dominator tree of each method's blocks between its lines, from the first of them."""
     m = f.methods.select("file", F.concat_ws("#", "type_name", "name", F.col("start_line").cast("string")).alias("method"), F.col("start_line").alias("m_start"), F.col("end_line").alias("m_end"))
     b = joins.range_join(f.cfg_blocks.select("file", "id", "start_line", "end_line"), m, ["file"], "start_line", "m_start", "m_end").where("end_line <= m_end").select("file", "method", "id", "start_line", "end_line")
     own = b.select("file", "method", "id")
     e = f.cfg_edges.join(own.withColumnRenamed("id", "from"), ["file", "from"]).join(own.withColumnRenamed("id", "to"), ["file", "method", "to"])
     root = joins.first_match(b, ["file", "method"], ["start_line", "id"]).select("file", "method", "id")
-    return graph.dominators(own, e, root, ["file", "method"], "id", "from", "to")
+    return graph.dominator_tree(own, e, root, ["file", "method"], "id", "from", "to").select("file", "method", "id", "enter", "leave")
 
 
 def _not_dominated(f: Facts, wanted: DataFrame, guards: DataFrame) -> DataFrame:
@@ -34,8 +34,10 @@ def _not_dominated(f: Facts, wanted: DataFrame, guards: DataFrame) -> DataFrame:
     place = lambda df, ids: joins.enclosing(df, blocks, ["file"], "line", "start_line", "end_line", ["block"], ids).drop("start_line", "end_line")
     w = place(wanted, ["call_id"])
     g = place(guards.select("file", "line", "call_id"), ["call_id"]).select("file", F.col("block").alias("g_block"), F.col("line").alias("g_line"))
-    d = _entry_dominators(f).select("file", F.col("id").alias("block"), F.col("dominator").alias("g_block")).distinct()
-    ok = w.join(d, ["file", "block"]).join(g, ["file", "g_block"]).where((F.col("g_block") != F.col("block")) | (F.col("g_line") < F.col("line"))).select("file", "call_id").distinct()
+    d = _entry_dominators(f)
+    at = w.join(d.select("file", "method", F.col("id").alias("block"), F.col("enter").alias("w_enter")), ["file", "block"])
+    by = g.join(d.select("file", "method", F.col("id").alias("g_block"), "enter", "leave"), ["file", "g_block"])
+    ok = at.join(by, ["file", "method"]).where("w_enter between enter and leave").where((F.col("g_block") != F.col("block")) | (F.col("g_line") < F.col("line"))).select("file", "call_id").distinct()
     return w.join(ok, ["file", "call_id"], "left_anti")
 
 

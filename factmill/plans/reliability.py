@@ -137,12 +137,12 @@ def use_after_close(f: Facts) -> DataFrame:
 
 
 def post_dominators(f: Facts) -> DataFrame:
-    """file, id, dominator over reversed edges, from a file's exit block (else its first block without successors)."""
+    """file, id, enter, leave: the dominator tree over reversed edges, from a file's exit block (else its first block without successors)."""
     b, e = f.cfg_blocks, f.cfg_edges
     ends = b.join(e.select("file", F.col("from").alias("id")).distinct(), ["file", "id"], "left_anti").where("type != 'exit'").select("file", "id", F.lit(1).alias("k"))
     exits = b.where("type = 'exit'").select("file", "id", F.lit(0).alias("k"))
     root = joins.first_match(exits.unionByName(ends), ["file"], ["k", "id"]).select("file", "id")
-    return graph.dominators(b, e, root, ["file"], "id", "to", "from")
+    return graph.dominator_tree(b, e, root, ["file"], "id", "to", "from").select("file", "id", "enter", "leave")
 
 
 @register("cleanup-verify", "reliability")
@@ -153,8 +153,9 @@ def cleanup_verify(f: Facts) -> DataFrame:
     blocks = f.cfg_blocks.select("file", F.col("id").alias("block"), "start_line", "end_line")
     at = lambda df, line, name: joins.enclosing(df, blocks, ["file"], line, "start_line", "end_line", ["block"], ["call_id"]).withColumnRenamed("block", name).drop("start_line", "end_line")
     c = at(at(c, "open_line", "open_block"), "at", "close_block")
-    pd = post_dominators(f).select("file", F.col("id").alias("open_block"), F.col("dominator").alias("close_block"))
-    c = c.join(pd, ["file", "open_block", "close_block"], "left_anti")
+    tree = post_dominators(f)
+    c = c.join(tree.select("file", F.col("id").alias("open_block"), F.col("enter").alias("o_enter")), ["file", "open_block"]).join(tree.select("file", F.col("id").alias("close_block"), "enter", "leave"), ["file", "close_block"])
+    c = c.where("not (o_enter between enter and leave)")
     return findings(c, "cleanup-verify", "reliability", "CWE-772", "medium", "warning", F.format_string("`%s` from line %d may stay open: the close at line %d is not on all paths", "variable", "open_line", "at"), "open_line", fix="Use try-with-resources or a finally block", evidence={"resource": "resource", "variable": "variable", "close_line": "at"})
 
 

@@ -564,12 +564,13 @@ def q_stream_sessions(s, d):
     return streams.sessions(streams.read(s, d, streaming=False)).select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
-@query("")
+@query("""WITH x AS (SELECT user_id, event_type, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS level, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events),
+y AS (SELECT user_id, max(level) FILTER (back = 1) - least(0, min(level)) AS open, count(*) FILTER (event_type = 'signup') AS opened FROM x GROUP BY 1)
+SELECT user_id, CAST(open AS BIGINT) AS open, CAST(opened - open AS BIGINT) AS closed FROM y""")
 def q_stream_open_without_close(s, d):
-    """A stateful streaming pass, run over what is there."""
-    e = streams.read(s, d)
-    name = f"open_{abs(hash(d)) % 10**8}"
-    return streams.run_to_memory(streams.open_without_close(e), name, "update").groupBy("user_id").agg(F.max("open").alias("open"), F.max("closed").alias("closed"))
+    """A stateful streaming pass, run over what is there. The SQL takes the level of a queue that does not fall below nothing: the sum less its least value."""
+    found = streams.run_to_table(streams.open_without_close(streams.read(s, d)), "update")
+    return found.groupBy("user_id").agg(F.max_by("open", "epoch").alias("open"), F.sum("closed").alias("closed"))
 
 
 # ---- every pass and detector on planted programs -----------------------------------------------------------------------
@@ -592,6 +593,14 @@ def _plant():
     _planted("detect_guards", planted.guard_cases(), detectors.guard_sanitizers, "type")
     _planted("detect_sources", planted.source_cases(), detectors.assignment_sources, "type")
     _planted("line_rules", planted.line_rule_cases(), security.line_findings, "rule_id")
+    pages = planted.PAGE_CASES
+
+    def markup_rules(s: SparkSession, d: str) -> DataFrame:
+        html = s.createDataFrame([(k, x.lines[0]) for k, x in enumerate(pages)], "k int, html string")
+        given = planted.units(read(s, d, "customer"), "c_custkey", "c", pages).join(F.broadcast(html), "k").select(F.concat("unit", F.lit(".html")).alias("file"), "html")
+        return markup.attribute_findings(given).select("file", "line", c("rule_id").alias("rule"))
+
+    QUERIES["markup_rules"], ORACLES["markup_rules"] = markup_rules, planted.sql("customer", "c_custkey", "c", pages)
     for name, cases in planted.PASS_CASES.items():
         key = f"pass_{name.replace('-', '_')}"
         _planted(f"{key}_planted" if key in QUERIES else key, cases, registry.PASSES[name].run, "rule_id")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..operators.storage import shared_dir
 
 LATE = "1 hour"
 
@@ -39,12 +43,12 @@ def once(events: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
 def _opened(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     opened = state.get[0] if state.exists else 0
     closed = 0
-    for pdf in batches:
-        for kind in pdf.sort_values("ts")["event_type"]:
-            if kind == "signup":
-                opened += 1
-            elif kind == "purchase" and opened:
-                opened, closed = opened - 1, closed + 1
+    own = pd.concat(batches)  # a key's rows of a micro-batch come in pieces that are not sorted
+    for kind in own.sort_values(["ts", "event_id"])["event_type"]:
+        if kind == "signup":
+            opened += 1
+        elif kind == "purchase" and opened:
+            opened, closed = opened - 1, closed + 1
     state.update((opened,))
     yield pd.DataFrame({"user_id": [key[0]], "open": [opened], "closed": [closed]})
 
@@ -54,11 +58,22 @@ def open_without_close(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_opened, "user_id long, open long, closed long", "open long", "update", "NoTimeout")
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a streaming frame over what is there and returns the sink's table."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a streaming frame over what is there and returns its rows with `epoch`, the micro-batch.
+
+    Batches are written to the folder that driver and executors share, each under its epoch, so that a batch that is repeated
+    replaces itself; the checkpoint stands there, too.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/factmill-stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    if not q.recentProgress:
+        return df.sparkSession.createDataFrame([], df.schema).withColumn("epoch", F.lit(0))
+    return df.sparkSession.read.schema(StructType([*df.schema.fields, StructField("epoch", IntegerType())])).parquet(f"{folder}/rows")
 
 
 def for_each_batch(df: DataFrame, write, checkpoint: str):

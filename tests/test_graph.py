@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from factmill.operators import graph, joins, picks
 
@@ -85,3 +88,55 @@ def test_pairs_and_picks(spark):
     assert (r.n, r.p, r.q, r.lcom) == (3, 2, 1, 1) and r.lcom2 == pytest.approx(1 / 3)
     rows = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.9), ("a", 3, 0.9)], "k string, o int, c double")
     assert [r.o for r in picks.keep_best(rows, ["k"], "c", ["o"]).collect()] == [2]
+
+
+def brute_dominators(n, pairs):
+    def reached(without):
+        seen, todo = set(), [] if without == 0 else [0]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b for a, b in pairs if a == x and b != without]
+        return seen
+
+    live = reached(None)
+    return {(x, d) for x in live for d in live if x == d or x not in reached(d)} | {(x, x) for x in range(n) if x not in live}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_graphs(spark, seed):
+    """Dominators by their definition, and components by mutual reach, on graphs of some dozens of nodes in two files."""
+    r = random.Random(seed)
+    n = 30
+    pairs = sorted({(r.randrange(n), r.randrange(n)) for _ in range(45 if seed % 2 else 70)})
+    e = spark.createDataFrame([(f, a, b) for f in ("f", "g") for a, b in pairs], "file string, a int, b int")
+    blocks = spark.createDataFrame([(f, i) for f in ("f", "g") for i in range(n)], "file string, id int")
+    roots = spark.createDataFrame([("f", 0), ("g", 0)], "file string, id int")
+    got = {(x.file, x.id, x.dominator) for x in graph.dominators(blocks, e, roots, ["file"], "id", "a", "b").collect()}
+    assert got == {(f, x, d) for f in ("f", "g") for x, d in brute_dominators(n, pairs)}
+    reach = {x: {x} for x in range(n)}
+    for _ in range(n):
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    want = {(f, x, min(y for y in reach[x] if x in reach[y])) for f in ("f", "g") for x in range(n) if any(y != x and x in reach[y] for y in reach[x])}
+    assert {(x.file, x.node, x.component) for x in graph.components(e, ["file"], "a", "b").collect()} == want
+
+
+def test_deep_graph(spark):
+    """A chain of thousands of blocks: the tree has a row for each, and no recursion."""
+    n = 5000
+    e = spark.range(n - 1).selectExpr("'f' AS file", "cast(id AS int) AS a", "cast(id + 1 AS int) AS b")
+    blocks = spark.range(n).selectExpr("'f' AS file", "cast(id AS int) AS id")
+    t = graph.dominator_tree(blocks, e, blocks.where("id = 0"), ["file"], "id", "a", "b")
+    assert t.count() == n and t.where("id > 0 and idom != id - 1").count() == 0
+    assert t.where(f"leave != {n - 1}").count() == 0
+
+
+def test_enclosing_across_bins(spark):
+    points = spark.createDataFrame([("f", i, i * 700) for i in range(8)] + [("g", 0, 5)], "file string, k int, line int")
+    ranges = spark.createDataFrame([("f", 1, 10**6, "all"), ("f", 1400, 1400, "one"), ("f", 2000, 3600, "some"), ("f", 9, 8, "none")], "file string, lo int, hi int, name string").withColumn("size", F.col("hi") - F.col("lo"))
+    got = {(r.file, r.k): r.name for r in joins.enclosing(points, ranges, ["file"], "line", "lo", "hi", ["size"], ["k"]).collect()}
+    assert got == {("f", 1): "all", ("f", 2): "one", ("f", 3): "some", ("f", 4): "some", ("f", 5): "some", ("f", 6): "all", ("f", 7): "all"}
+    left = {(r.file, r.k): r.name for r in joins.enclosing(points, ranges, ["file"], "line", "lo", "hi", ["size"], ["k"], "left").collect()}
+    assert left == got | {("f", 0): None, ("g", 0): None}

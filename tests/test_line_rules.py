@@ -37,10 +37,15 @@ LINES = {
     "open-redirect": ("res.redirect(req.query.to)", "res.redirect('/home')"),
     "ssrf": ("requests.get(request.args['u'])", "requests.get(URL)"),
     "xss-response-write": ("el.innerHTML = location.hash", "el.textContent = location.hash"),
+    "rust-hardcoded-credential": ('const API_KEY: &str = "abcd1234";', 'let api_key = env::var("API_KEY");'),
+    "rust-insecure-cookie": ('Cookie::new("a", b)', 'Cookie::build("a", b).secure(true)'),
+    "rust-weak-crypto-ecb": ("Ecb::<Aes128, Pkcs7>::new(k)", "Cbc::<Aes128, Pkcs7>::new(k)"),
+    "bash-weak-hash": ("md5sum f", "sha256sum f"),
+    "go-weak-tls-version": ("MinVersion: tls.VersionTLS10", "MinVersion: tls.VersionTLS12"),
 }
 
 
-@pytest.mark.parametrize("language", ["java", "python", "javascript", "bash"])
+@pytest.mark.parametrize("language", ["java", "python", "javascript", "bash", "rust", "go"])
 def test_each_rule(spark, language):
     rules = {r.rule: r for r in RULES}
     own = {n: p for n, p in LINES.items() if not rules[n].languages or language in rules[n].languages}

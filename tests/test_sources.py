@@ -92,15 +92,15 @@ def test_streams_equal_their_batch_form(spark):
     d = "/root/testdata/sf0.001"
     for i, make in enumerate((lambda e: events.rates(e).select("start", "event_type", "n"), lambda e: events.sessions(e).select("user_id", "start", "n"))):
         batch = sorted(tuple(r) for r in make(events.read(spark, d, streaming=False)).collect())
-        got = events.run_to_memory(make(events.read(spark, d)), f"stream_{i}")
+        got = events.run_to_table(make(events.read(spark, d))).drop("epoch")
         rows = sorted(tuple(r) for r in got.collect())
         assert set(rows) <= set(batch) and len(rows) > 0.9 * len(batch)  # the last windows stay open until later events come
-    once = events.run_to_memory(events.once(events.read(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"), "once")
+    once = events.run_to_table(events.once(events.read(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"))
     assert once.count() >= events.read(spark, d, streaming=False).select("user_id", "event_type").distinct().count()
 
 
 def test_new_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.py").write_text("x = 1\n")
-    got = events.run_to_memory(events.new_files(spark, str(tmp_path / "in"), "*.py"), "new_files").collect()
+    got = events.run_to_table(events.new_files(spark, str(tmp_path / "in"), "*.py")).collect()
     assert [(r.file.endswith("a.py"), r.text) for r in got] == [(True, "x = 1\n")]
