@@ -130,8 +130,10 @@ def command_line_reflection(f: Facts) -> Facts:
 
 
 def filtered_sinks(f: Facts, dead: DataFrame | None = None) -> Facts:
-    """Drops sinks on dead lines, in throw statements, with constant arguments alone, of parameterised queries and of sanitised lines."""
-    s = f.with_text(f.taint_sinks)
+    """Drops sinks that a stage of the sink filter clears, on dead lines, with constant arguments alone, of parameterised queries and of sanitised lines."""
+    from .sink_filter import kept_sinks
+
+    s = f.with_text(kept_sinks(f).taint_sinks)
     s = s.where(~F.col("text").rlike("^\\s*throw\\s"))
     if dead is not None:
         s = s.join(dead.select("file", "line").distinct(), ["file", "line"], "left_anti")

@@ -15,7 +15,7 @@ from . import planted
 from .facts import SCHEMAS, Facts
 from .functions import text as fn
 from .operators import graph, joins, picks
-from .plans import detectors, load, markup, metrics, performance, post, registry, reliability, rules, security
+from .plans import detectors, load, markup, metrics, performance, post, registry, reliability, rules, security, sink_filter
 from .plans import findings as fd
 from .streaming import events as streams
 
@@ -592,6 +592,7 @@ def _plant():
     _planted("detect_flows", planted.flow_cases(), detectors.flow_findings, "pass")
     _planted("detect_guards", planted.guard_cases(), detectors.guard_sanitizers, "type")
     _planted("detect_sources", planted.source_cases(), detectors.assignment_sources, "type")
+    _planted("sink_filter", planted.sink_cases(), lambda f: sink_filter.kept_sinks(f).taint_sinks, "type")
     _planted("line_rules", planted.line_rule_cases(), security.line_findings, "rule_id")
     pages = planted.PAGE_CASES
 
