@@ -164,15 +164,8 @@ def q_join_semi(s, d):
     return read(s, d, "customer").join(read(s, d, "orders").where("o_totalprice > 300000"), c("c_custkey") == c("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("WITH u AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p FROM lineitem WHERE l_quantity >= 49) SELECT a.k AS k_a, b.k AS k_b, count(*) AS n FROM u a JOIN u b ON a.p = b.p AND a.k < b.k GROUP BY ALL")
+@query("WITH u AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS p FROM lineitem) SELECT a.k AS k_a, b.k AS k_b, count(*) AS n FROM u a JOIN u b ON a.p = b.p AND a.k < b.k GROUP BY ALL")
 def q_join_pairs(s, d):
-    u = read(s, d, "lineitem").where("l_quantity >= 49").select(c("l_partkey").alias("p"), c("l_suppkey").alias("k")).distinct()
-    return joins.ordered_pairs(u, ["p"], "k", []).groupBy("k_a", "k_b").agg(F.count("*").alias("n"))
-
-
-@query("")
-def q_join_pairs_whole(s, d):
-    """As join_pairs, of all suppliers of a part whatever the quantity."""
     u = read(s, d, "lineitem").select(c("l_partkey").alias("p"), c("l_suppkey").alias("k")).distinct()
     return joins.ordered_pairs(u, ["p"], "k", []).groupBy("k_a", "k_b").agg(F.count("*").alias("n"))
 
@@ -266,16 +259,9 @@ def q_agg_conditional(s, d):
     return read(s, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(c("l_returnflag") == "R").alias("returned"), F.count_distinct("l_partkey").alias("parts"), F.max("l_quantity").alias("most"), F.round(F.avg("l_quantity"), 4).alias("mean"))
 
 
-@query("WITH m AS (SELECT DISTINCT l_suppkey AS k, p_brand AS b, p_type AS t FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 45), n AS (SELECT k, count(DISTINCT b) AS n FROM m GROUP BY 1), q AS (SELECT k, count(*) AS q FROM (SELECT DISTINCT x.k, x.b AS a, y.b AS b FROM m x JOIN m y ON x.k = y.k AND x.t = y.t AND x.b < y.b) GROUP BY 1) SELECT n.k, n.n, coalesce(q, 0) AS q, CAST(greatest(n.n * (n.n - 1) // 2 - 2 * coalesce(q, 0), 0) AS BIGINT) AS lcom FROM n LEFT JOIN q ON n.k = q.k")
+@query("WITH m AS (SELECT DISTINCT l_suppkey AS k, p_brand AS b, p_type AS t FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT k, count(DISTINCT b) AS n FROM m GROUP BY 1), q AS (SELECT k, count(*) AS q FROM (SELECT DISTINCT x.k, x.b AS a, y.b AS b FROM m x JOIN m y ON x.k = y.k AND x.t = y.t AND x.b < y.b) GROUP BY 1) SELECT n.k, n.n, coalesce(q, 0) AS q, CAST(greatest(n.n * (n.n - 1) // 2 - 2 * coalesce(q, 0), 0) AS BIGINT) AS lcom FROM n LEFT JOIN q ON n.k = q.k")
 def q_agg_pair_counts(s, d):
     """Pairs of a supplier's brands that share a part type or not: lack of cohesion."""
-    m = read(s, d, "lineitem").where("l_quantity >= 45").join(read(s, d, "part"), c("l_partkey") == c("p_partkey")).select(c("l_suppkey").alias("k"), c("p_brand").alias("b"), c("p_type").alias("t")).distinct()
-    return picks.lcom(picks.shared_pairs(m, m, ["k"], "b", "t")).select("k", "n", "q", c("lcom").cast("long").alias("lcom"))
-
-
-@query("")
-def q_agg_pair_counts_whole(s, d):
-    """As agg_pair_counts, of all that a supplier delivers whatever the quantity."""
     m = read(s, d, "lineitem").join(read(s, d, "part"), c("l_partkey") == c("p_partkey")).select(c("l_suppkey").alias("k"), c("p_brand").alias("b"), c("p_type").alias("t")).distinct()
     return picks.lcom(picks.shared_pairs(m, m, ["k"], "b", "t")).select("k", "n", "q", c("lcom").cast("long").alias("lcom"))
 
