@@ -171,6 +171,41 @@ def orphans(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str,
     return nodes.join(entered, [*keys, node], "left_anti")
 
 
+def reached(seeds: DataFrame, edges: DataFrame, keys: Sequence[str], node: str, src: str, dst: str, stop: DataFrame | None = None) -> DataFrame:
+    """keys, node: what the seeds reach, themselves included, as reachable() has it. For graphs that are small each (one value of the keys: a
+    file, a loop), which are handled in one call without rounds. stop: nodes (keys, node) that are reached but not left."""
+    from pyspark.sql.types import StructField, StructType
+
+    kind = seeds.schema[node].dataType
+    rows = seeds.select(*keys, F.col(node).alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(0).alias("k"))
+    rows = rows.unionByName(edges.select(*keys, F.col(src).cast(kind).alias("a"), F.col(dst).cast(kind).alias("b"), F.lit(1).alias("k")))
+    if stop is not None:
+        rows = rows.unionByName(stop.select(*keys, F.col(node).cast(kind).alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(2).alias("k")))
+    schema = StructType([*[StructField(k, seeds.schema[k].dataType) for k in keys], StructField(node, kind)])
+
+    def go(key, table):
+        import pyarrow as pa
+
+        succ, todo, ends = {}, [], set()
+        for a, b, k in zip(*(table.column(x).to_pylist() for x in ("a", "b", "k")), strict=True):
+            if k == 1:
+                succ.setdefault(a, []).append(b)
+            elif k == 0:
+                todo.append(a)
+            else:
+                ends.add(a)
+        seen = set(todo)
+        while todo:
+            x = todo.pop()
+            for to in succ.get(x, ()) if x not in ends else ():
+                if to not in seen:
+                    seen.add(to)
+                    todo.append(to)
+        return pa.table([*[pa.array([v.as_py()] * len(seen), v.type) for v in key], pa.array(sorted(seen), table.column("a").type)], names=schema.names)
+
+    return rows.groupBy(*keys).applyInArrow(go, schema)
+
+
 def _tree_of(nodes: list, succ: dict, root) -> dict:
     """node: (idom, enter, leave) of what the root reaches: immediate dominators to a fixpoint in reverse postorder, then the tree's intervals."""
     order, seen, stack = [], {root}, [(root, iter(succ.get(root, ())))]

@@ -148,15 +148,26 @@ FLOWS = [
 ]
 
 
-def _file_flags(f: Facts, patterns: set[str]) -> tuple[DataFrame, dict[str, str]]:
-    """A row for each file that says which patterns a line of it matches; and the patterns' columns."""
+def _file_flags(f: Facts, patterns: dict[str, set[str]]) -> tuple[DataFrame, dict[str, str]]:
+    """A row for each file that says which patterns a line of it matches; and the patterns' columns. patterns: each with the languages that ask for it."""
     at = {p: f"flag_{i}" for i, p in enumerate(sorted(patterns))}
-    return f.source_lines.groupBy("file").agg(F.lit(True).alias("seen"), *[F.bool_or(F.col("text").rlike(p)).alias(n) for p, n in at.items()]), at
+    lines = f.source_lines.select("file", "text").join(f.files.select("file", "language"), "file")
+    said = [F.bool_or(F.col("language").isin(sorted(patterns[p])) & F.col("text").rlike(p)).alias(n) for p, n in at.items()]
+    return lines.groupBy("file").agg(F.lit(True).alias("seen"), *said), at
+
+
+def _asked(rows) -> dict[str, set[str]]:
+    """(pattern, languages) pairs by pattern."""
+    out: dict[str, set[str]] = {}
+    for pattern, languages in rows:
+        if pattern:
+            out.setdefault(pattern, set()).update(languages)
+    return out
 
 
 def flow_findings(f: Facts, flows=FLOWS) -> DataFrame:
     """All flows in one pass over the lines; the sinks of a line are an array that is exploded, and only these meet the tainted variables."""
-    flags, at = _file_flags(f, {p for r in flows for p in (*r.needs, r.never) if p})
+    flags, at = _file_flags(f, _asked((p, r.languages) for r in flows for p in (*r.needs, r.never)))
     t = f.source_lines.where(~F.col("text").rlike(_COMMENT)).join(f.files.select("file", "language"), "file").join(flags, "file")
 
     def hit(r: Flow) -> Column:
@@ -258,7 +269,7 @@ _LIST_FIRST = {"js_ssrf_allowlist", "js_command_allowlist"}
 
 def guard_lines(f: Facts, guards=GUARDS) -> DataFrame:
     """file, line, name, scope, sanitizes, variable, behind (the last line of the guard's body) of all guards that hold."""
-    flags, at = _file_flags(f, {p for g in guards for p in (g.needs, g.never) if p})
+    flags, at = _file_flags(f, _asked((p, JS if g.language == "javascript" else (g.language,)) for g in guards for p in (g.needs, g.never)))
     t = f.source_lines.where(~F.col("text").rlike(_COMMENT)).join(f.files.select("file", F.when(F.col("language") == "typescript", "javascript").otherwise(F.col("language")).alias("language")), "file").join(flags, "file")
 
     def hit(g: Guard) -> Column:

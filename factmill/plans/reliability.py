@@ -46,7 +46,7 @@ def dead_code(f: Facts) -> DataFrame:
     roots = outs.join(ins, ["file", "id"], "left_anti")
     other = b.join(roots.select("file"), "file", "left_anti")
     entry = joins.first_match(other, ["file"], [(F.col("type") != "entry").cast("int"), "id"]).select("file", "id")
-    live = graph.reachable(roots.unionByName(entry), e, ["file"], "id", "from", "to")
+    live = graph.reached(roots.unionByName(entry), e, ["file"], "id", "from", "to")
     dead = b.join(live, ["file", "id"], "left_anti").where("type not in ('entry', 'exit') and start_line > 0")
     with_prev = f.with_text(f.with_text(dead.withColumn("line", F.col("start_line"))).withColumnRenamed("text", "own").withColumn("before", F.col("start_line") - 1), "before")
     dead = with_prev.where(~F.rtrim("text").rlike("(\\{|=>)$"))
@@ -195,7 +195,7 @@ def infinite_loop(f: Facts) -> DataFrame:
     keyed = fwd.join(back, "file").select("file", "tail", "head", "from", "to")
     heads = back.withColumn("id", F.col("head"))
     # the body: what leads to the tail without passing the header
-    inside = graph.reachable(back.withColumn("id", F.col("tail")), keyed, ["file", "tail", "head"], "id", "to", "from", stop=heads).select("file", "tail", "head", "id").unionByName(heads.select("file", "tail", "head", "id")).distinct()
+    inside = graph.reached(back.withColumn("id", F.col("tail")), keyed, ["file", "tail", "head"], "id", "to", "from", stop=heads).select("file", "tail", "head", "id").unionByName(heads.select("file", "tail", "head", "id")).distinct()
     out = inside.join(fwd.withColumnRenamed("from", "id"), ["file", "id"]).select("file", "tail", "head", F.col("to").alias("id")).join(inside, ["file", "tail", "head", "id"], "left_anti").select("file", "tail", "head").distinct()
     lines = b.select("file", F.col("id").alias("tail"), F.col("end_line").alias("loop_end"))
     heads = b.select("file", F.col("id").alias("head"), F.col("start_line").alias("loop_start"))

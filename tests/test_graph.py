@@ -140,3 +140,12 @@ def test_enclosing_across_bins(spark):
     assert got == {("f", 1): "all", ("f", 2): "one", ("f", 3): "some", ("f", 4): "some", ("f", 5): "some", ("f", 6): "all", ("f", 7): "all"}
     left = {(r.file, r.k): r.name for r in joins.enclosing(points, ranges, ["file"], "line", "lo", "hi", ["size"], ["k"], "left").collect()}
     assert left == got | {("f", 0): None, ("g", 0): None}
+
+
+def test_reached_is_reachable(spark):
+    e = spark.createDataFrame([("f", 0, 1), ("f", 1, 2), ("f", 2, 0), ("f", 3, 4), ("g", 0, 5), ("g", 5, 6)], "file string, a int, b int")
+    seeds = spark.createDataFrame([("f", 0), ("g", 0), ("h", 9)], "file string, id int")
+    stop = spark.createDataFrame([("g", 5), ("f", 3)], "file string, id int")
+    for at in (None, stop):
+        got = sorted(map(tuple, graph.reached(seeds, e, ["file"], "id", "a", "b", at).collect()))
+        assert got == sorted(tuple(r)[:2] for r in graph.reachable(seeds, e, ["file"], "id", "a", "b", stop=at).collect())
