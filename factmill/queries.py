@@ -21,6 +21,8 @@ from .streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries on planted programs; their cases are tests of their own.
+PLANTED: set[str] = set()
 c = F.col
 
 
@@ -569,6 +571,7 @@ def _planted(name: str, cases: list[planted.Case], run: Callable[[Facts], DataFr
         f = planted.facts(s, planted.units(read(s, d, "customer"), "c_custkey", "c", cases), cases)
         return run(f).select("file", "line", c(rule).alias("rule"))
 
+    PLANTED.add(name)
     QUERIES[name] = of_customers
     ORACLES[name] = planted.sql("customer", "c_custkey", "c", cases)
 
