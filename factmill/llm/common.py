@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Rows that a frame may have and still be broadcast; beyond it a shuffled join is planned.
 BROADCAST_ROWS = 1 << 20
 BATCH_ROWS = 1000
+#: Tasks that a core gets at most where a frame is written as one file a task.
+WAVES = 8
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -50,13 +52,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """As cut(), through a Parquet table (compressed, column-pruned on reading)."""
+def stored(df: DataFrame, what: str, **options) -> DataFrame:
+    """As cut(), through a Parquet table (compressed, column-pruned on reading), with these options of the writer."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in WAVES partitions for each core at most, without a shuffle.
+
+    On a local disk Hadoop starts a process for each file that it makes (chmod), and until that has begun it is a second executor to
+    who measures, with all memory of the first. So files should not grow in number with the input.
+    """
+    return df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """A broadcast hint if df is a stored frame of at most BROADCAST_ROWS narrow rows, else df as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

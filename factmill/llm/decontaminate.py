@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .chunks import strings
-from .common import fresh, input_bytes, pieces, quoted, small_side, stored, tidy
+from .common import few_files, fresh, input_bytes, pieces, quoted, small_side, stored, tidy
 
 WINDOW = 13
 GAP = 1024
 #: Text bytes of one index shard, and of the test items that are sent at once.
 SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 4 << 20
+#: Shards of a row group of the stored index: a reader holds a row group at once.
+GROUP = 4
 #: (phrase, position) candidates that are intersected at once.
 CANDIDATES = 1 << 20
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -317,7 +319,8 @@ def index_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """index_matches() over an index of docs that is stored for it."""
-    return index_matches(stored(build_index(docs), "index"), items, window, slop, block_bytes)
+    index = stored(few_files(build_index(docs)), "index", **{"parquet.block.row.count.limit": GROUP})
+    return index_matches(index, items, window, slop, block_bytes)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
@@ -337,7 +340,8 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     bad = contamination(phrase_matches(docs, items)).where("contaminated").select(F.col("doc_id").alias(key), F.col("print").alias(print_)).distinct()
     bad = small_side(stored(bad, "contaminated"))
     rows = docs.withColumns({key: F.col("doc_id").cast("long"), print_: F.xxhash64(F.col("text").cast("string"))})
-    return rows.join(bad, rows[key].eqNullSafe(bad[key]) & (rows[print_] == bad[print_]), "left_anti").select(*quoted(docs.columns))
+    left = rows.join(bad, rows[key].eqNullSafe(bad[key]) & (rows[print_] == bad[print_]), "left_anti")
+    return few_files(left.select(*quoted(docs.columns)))
 
 
 def op3_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

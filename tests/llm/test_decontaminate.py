@@ -119,3 +119,28 @@ def test_words_of_a_column():
     sliced, n = d.split(pa.array(["zz", *texts], pa.string()).slice(1))
     assert sliced.to_pylist() == found.to_pylist()
     assert d.split(pa.array([], pa.string()))[0].to_pylist() == []
+
+
+def test_files_do_not_grow_with_the_input(spark, tmp_path):
+    """300 partitions of documents become a bounded number of files, of index and of kept documents, and keep all rows."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from factmill.llm import common
+
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('some words of document ', id) AS text").repartition(300, "doc_id")
+    item = spark.createDataFrame([(7, "Words of document 17")], "item_id long, text string")
+    most = common.WAVES * spark.sparkContext.defaultParallelism
+    assert most < 250
+    before = set(glob.glob(f"{common.shared_dir(spark)}/factmill-index-*"))
+    d.clean_documents(docs, item).write.parquet(f"{tmp_path}/kept")
+    (index,) = set(glob.glob(f"{common.shared_dir(spark)}/factmill-index-*")) - before
+    for at in (f"{tmp_path}/kept", index):
+        assert 0 < len(glob.glob(f"{at}/part-*")) <= most
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [i for i in range(600) if i != 17]
+    path = f"{tmp_path}/index"
+    common.few_files(d.build_index(docs.coalesce(1), 1 << 10)).write.option("parquet.block.row.count.limit", d.GROUP).parquet(path)
+    files = [pq.ParquetFile(x).metadata for x in glob.glob(f"{path}/part-*")]
+    assert sum(m.num_rows for m in files) > d.GROUP
+    assert all(m.row_group(i).num_rows <= d.GROUP for m in files for i in range(m.num_row_groups))
