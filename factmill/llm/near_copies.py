@@ -1,43 +1,63 @@
-"""Near copies for the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-A pair at 0.8 differs in some ten of 64 SimHash bits, give or take three, so a radius that finds such pairs passes fifteen:
-no split into blocks makes shards for it, and a BK-tree follows nearly every edge. So the tree holds the sets themselves: the Hamming distance
-of two sets' characteristic vectors is the number of shingles that one of them has, and a set of n shingles lies within n / 4 of all
-that are as similar as 0.8. A shard is the sets that agree
-on one of BANDS bands of ROWS minima under random hashes: a pair at 0.8 is missed with a chance of
-(1 - 0.8 ** ROWS) ** BANDS, 2 in 10,000, and more similar ones more rarely. What goes is decided by the
-sets, in whole numbers.
-
-Equal sets are one node. First each member of a band meets one head, another in each band, which costs BANDS checks for a member. The
-bands whose members are then not in one component are searched by BK-trees, where each task returns fewer links than it has members. A band
-with many members, or long ones, is dealt out in pairs of parts; so every pair that shares a band is looked up or joined by links that are,
-and no task holds a group without a bound. Components come from alternating stars.
-
-Null and empty texts have the empty set and are copies of each other. A text of fewer words than five is one shingle. Rows with
-equal doc_id are rows of their own. An empty table gives an empty result.
+"""Near copies for the pipeline: SimHash over five-word shingles, BK-trees over its fingerprints, components, and an exact check of the sets: a
+Jaccard similarity of 0.8 or more.
+
+Of 64 bits a pair at 0.8 differs in some ten, give or take three, which no radius parts well from what is less similar. So a fingerprint has
+BITS bits: there such a pair differs in 39, give or take six, unlike texts in half of them, and RADIUS lies between. Copies of a few
+shingles swing more; FEW of them have a radius of their own.
+
+A shard is the fingerprints that agree on some of their bits, drawn at random: as many as keep some SHARD of them in a
+shard, whatever their number, drawn as often as leaves a pair at 0.8 apart with a chance of MISSED at most (missed()). In a shard a
+BK-tree is built and every fingerprint looked up; links are folded into the shard's components on the spot, and a shard of over
+TREE is dealt out in pairs of parts. The components of these links, by alternating stars, are the candidates.
+
+What goes is decided by the sets, in whole numbers, within each of these components. First its members meet HEADS of them. Components that
+this does not join are searched again by BK-trees over fingerprints, now with the sets beside them, and a pair links if its sets are as similar as NEAR.
+A component with many members, or long ones, is dealt out in pairs of parts; each task returns fewer links than it has members. So every two
+members of a component are looked up or joined by links that are, and no task holds a group without a bound.
+
+Equal sets are one node. Null and empty texts have the empty set and are copies of each other. A text of fewer words than five is one
+shingle; sets of fewer shingles than LEAST are as similar as 0.8 to equal ones alone. Rows with equal doc_id are rows of their own. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, pieces, quoted, small_side, texts, tidy
-from .simhash import BKTree, components, connected, dealt, grouped, shingles
+from .simhash import TREE, BKTree, components, connected, dealt, grouped, shingles
 
 WORDS = 5
 #: Least Jaccard similarity, as a fraction.
 NEAR = (4, 5)
-BANDS, ROWS = 16, 4
-#: Members of a part of a band at most, and the shingles that count as one member.
+#: Bits of a fingerprint, and how many of them near copies differ in at most: sets of FEW shingles or more, and smaller ones.
+BITS, RADIUS, FEW, RADIUS_OF_FEW = 256, 60, 16, 70
+#: Shingles of the least set that has near copies other than itself.
+LEAST = NEAR[0]
+#: Fingerprints of a shard on average; share of the pairs at NEAR that may be missed (missed()), and the share of bits in which they agree.
+SHARD, MISSED = 128, 1e-3
+AGREED = 1 - math.acos(2 * NEAR[0] / sum(NEAR)) / math.pi
+#: Members of a candidates' component that all others meet first.
+HEADS = 4
+#: Members of a part of a component at most, and the shingles that count as one member.
 PART, SHINGLES = 256, 4096
 _NO_ID = (1 << 63) - 1
-#: Shingles whose minima are taken at once.
-_STEP = 1 << 16
-_SEEDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+#: Shingles whose bits are counted at once.
+_STEP = 1 << 15
+_WORDS = BITS // 64
+_PRINT = [f"f{i}" for i in range(_WORDS)]
+_SEEDS = np.random.default_rng(5).integers(0, 1 << 64, _WORDS, np.uint64)
 _M = np.uint64(0xFF51AFD7ED558CCD)
+#: What a bit gets for which as many shingles vote as against it.
+_TIES = np.random.default_rng(6).integers(0, 2, BITS, np.uint8)
+#: A byte's eight bits as eight counters.
+_COUNTERS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def _sets(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,22 +77,61 @@ def _keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), 7) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], np.uint64).view(np.int64)
 
 
-def _bands(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each band's minima, for the texts that have shingles."""
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    least = np.full((len(starts), BANDS * ROWS), (1 << 64) - 1, np.uint64)
+def fingerprints(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a row of BITS bits, as uint64. A bit is 1 if it is set in over half of the set's hashes; _TIES tells for half."""
+    n = np.diff(bounds)
+    votes = np.zeros((len(n), BITS), np.int32)
+    full = np.flatnonzero(n)
+    starts = bounds[:-1][full]
     for lo in range(0, len(h), _STEP):
         part = h[lo : lo + _STEP]
         first = max(0, int(np.searchsorted(starts, lo, side="right")) - 1)
         last = int(np.searchsorted(starts, lo + len(part)))
         at = np.maximum(starts[first:last] - lo, 0)
-        for j in range(BANDS * ROWS):
-            found = np.minimum.reduceat((part ^ _SEEDS[0, j]) * (_SEEDS[1, j] | np.uint64(1)), at)
-            least[first:last, j] = np.minimum(least[first:last, j], found)
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * _M, (len(starts), 1))
-    for j in range(ROWS):
-        out = (out ^ least[:, j::ROWS]) * _M
-        out ^= out >> np.uint64(29)
+        runs = np.unique(np.concatenate([at, np.arange(0, len(part), 255)]))  # a counter has eight bits
+        of = np.searchsorted(runs, at)
+        for j in range(_WORDS):
+            mixed = (part ^ _SEEDS[j]) * _M
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * _M
+            mixed ^= mixed >> np.uint64(29)
+            counted = np.add.reduceat(_COUNTERS[mixed.view(np.uint8)].reshape(-1, 8), runs, axis=0)
+            votes[full[first:last], 64 * j : 64 * j + 64] += np.add.reduceat(counted.view(np.uint8).reshape(len(runs), 64), of, axis=0, dtype=np.int32)
+    more = 2 * votes - n[:, None]
+    return np.packbits((more > 0) | ((more == 0) & (_TIES == 1)), axis=1).view(np.uint64)
+
+
+def _radius(n: np.ndarray) -> np.ndarray:
+    return np.where(n < FEW, RADIUS_OF_FEW, RADIUS)
+
+
+def _tree(prints: np.ndarray) -> BKTree:
+    """Over fingerprints, by Hamming distance."""
+    return BKTree(len(prints), lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64))
+
+
+def missed(bits: int, draws: int) -> float:
+    """Share of the pairs at NEAR, large sets of equal size, that no shard holds or that the radius leaves out."""
+    total = 0.0
+    for x in range(BITS + 1):
+        share = math.comb(BITS, x) * (1 - AGREED) ** x * AGREED ** (BITS - x)
+        together = math.prod(max(0, BITS - x - i) / (BITS - i) for i in range(bits))
+        total += share * ((1 - together) ** draws if x <= RADIUS else 1)
+    return total
+
+
+def layout(n: int, shard: int = SHARD) -> tuple[int, int]:
+    """(bits that a shard agrees on, how often they are drawn) for n fingerprints."""
+    bits = max(0, (max(n, 1) - 1).bit_length() - (shard.bit_length() - 1))
+    return bits, next(draws for draws in range(1, 1 << 15) if not bits or missed(bits, draws) <= MISSED)
+
+
+def shards(prints: np.ndarray, bits: int, draws: int) -> np.ndarray:
+    """A key for each fingerprint and draw."""
+    out = np.tile(np.arange(1, draws + 1, dtype=np.uint64) << np.uint64(48), (len(prints), 1))
+    r = np.random.default_rng(7)
+    for k in range(draws):
+        for i, bit in enumerate(r.choice(BITS, bits, replace=False).tolist()):
+            out[:, k] |= (prints[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)) << np.uint64(i)
     return out.view(np.int64)
 
 
@@ -80,9 +139,61 @@ def _sketch_batches(batches):
     for batch in batches:
         for piece in pieces(batch, "text", 1 << 20):
             h, bounds = _sets(texts(piece))
-            n = np.diff(bounds)
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)), pa.array(_bands(h, bounds).ravel()))
-            yield pa.record_batch([piece.column(0), piece.column(1), pa.array(_keys(h, bounds)), pa.array(n), bands], names=["doc_id", "t", "k", "n", "bands"])
+            prints = fingerprints(h, bounds).view(np.int64)
+            yield pa.record_batch([piece.column(0), piece.column(1), pa.array(_keys(h, bounds)), pa.array(np.diff(bounds)), *map(pa.array, prints.T.copy())], names=["doc_id", "t", "k", "n", *_PRINT])
+
+
+def _prints(columns) -> np.ndarray:
+    return np.stack([x.to_numpy(zero_copy_only=False) for x in columns], axis=1).view(np.uint64)
+
+
+def _shard_batches(bits: int, draws: int, batches):
+    for batch in batches:
+        keys = shards(_prints([batch.column(batch.schema.get_field_index(x)) for x in _PRINT]), bits, draws)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * draws), pa.array(keys.ravel()))
+        yield pa.record_batch([*batch.columns, lists], names=[*batch.schema.names, "shards"])
+
+
+def _shard_links(batches):
+    """Takes rows (deal, k, n, words of the fingerprint) sorted by deal."""
+    found, size = [], 0
+
+    def batch():
+        return pa.record_batch([pa.array(np.concatenate([x[i] for x in found])) for i in (0, 1)], names=["a", "b"])
+
+    table, columns = None, ()
+    for lo, hi, now in grouped(batches):
+        if hi - lo < 2:
+            continue
+        if now is not table:
+            table, columns = now, (now.column("k").to_numpy(), now.column("n").to_numpy(), _prints([now.column(x).combine_chunks() for x in _PRINT]))
+        k, n, prints = (x[lo:hi] for x in columns)
+        label = np.arange(len(k))
+        for a, b, _ in _tree(prints).within(_radius(n)):
+            far = (label[a] != label[b]) & (np.minimum(n[a], n[b]) * NEAR[1] >= np.maximum(n[a], n[b]) * NEAR[0])
+            if far.any():
+                label = components(len(k), a[far], b[far], label)
+        linked = np.flatnonzero(label != np.arange(len(k)))
+        if len(linked):
+            found.append((k[linked], k[label[linked]]))
+            size += len(linked)
+        if size > 1 << 16:
+            yield batch()
+            found, size = [], 0
+    if found:
+        yield batch()
+
+
+def candidates(nodes: DataFrame, shard: int = SHARD, most: int = TREE) -> DataFrame:
+    """node, root: components of fingerprints (k, n and its words) under links within the radius, of two nodes or more."""
+    some = nodes.where(F.col("n") >= LEAST).select("k", "n", *_PRINT)
+    schema = f"k long, n long, {', '.join(f'{x} long' for x in _PRINT)}, shards array<long>"
+    keyed = cut(some.mapInArrow(tidy(partial(_shard_batches, *layout(some.count(), shard))), schema))
+    rows = keyed.select(F.explode("shards").alias("shard"), "k", "n", *_PRINT)
+    heavy = dealt(rows, "shard", "k", most).select("deal", "k", "n", *_PRINT)
+    links = cut(heavy.repartition("deal").sortWithinPartitions("deal").mapInArrow(tidy(_shard_links), "a long, b long"))
+    roots = cut(connected(links))
+    return roots.union(roots.select("root", "root").distinct())
 
 
 def _set_batches(batches):
@@ -140,20 +251,23 @@ def _vectors(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def set_links(k: np.ndarray, root: np.ndarray, values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the nodes k into components of near sets, going on from the components that root tells."""
+    """Links that join the nodes k into components of near sets, going on from the components that root tells: what lies within the
+    radius of a fingerprint is held against its set."""
     bits, alone = _vectors(values, n)
-
-    def distance(a, b):
-        return np.where(a == b, 0, np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) + alone[a] + alone[b])
-
+    prints = fingerprints(values.view(np.uint64), np.concatenate([[0], np.cumsum(n)]))
+    step = max(64, (1 << 22) // bits.shape[1])
     _, first, label = np.unique(root, return_index=True, return_inverse=True)
     label = known = first[label]
-    tree = BKTree(len(k), distance, max(64, (1 << 22) // bits.shape[1]))
-    for a, b, d in tree.within(n * (NEAR[1] - NEAR[0]) // NEAR[0]):
-        # as similar as NEAR: common shingles, (sizes - distance) / 2, against the rest
-        new = (d * sum(NEAR) <= (n[a] + n[b]) * (sum(NEAR) - 2 * NEAR[0])) & (label[a] != label[b])
-        if new.any():
-            label = components(len(k), a[new], b[new], label)
+    for a, b, _ in _tree(prints).within(_radius(n)):
+        for lo in range(0, len(a), step):
+            x, y = a[lo : lo + step], b[lo : lo + step]
+            far = label[x] != label[y]
+            x, y = x[far], y[far]
+            # as similar as NEAR: common shingles, (sizes - distance) / 2, against the rest
+            d = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) + alone[x] + alone[y]
+            near = d * sum(NEAR) <= (n[x] + n[y]) * (sum(NEAR) - 2 * NEAR[0])
+            if near.any():
+                label = components(len(k), x[near], y[near], label)
     linked = np.flatnonzero(label != known)
     return k[linked], k[label[linked]]
 
@@ -171,20 +285,20 @@ def _part_links(batches):
 
 def near_copies(docs: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t, k: row and node of each document), (node, root of nodes that have near copies)."""
-    sketch = cut(_rows(docs).mapInArrow(tidy(_sketch_batches), "doc_id long, t long, k long, n long, bands array<long>"))
-    nodes = cut(sketch.groupBy("k").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    members = nodes.select("k", "n", F.explode("bands").alias("band"))
-    many = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    left = cut(members.join(many, "band"))
-    heads = left.groupBy("band").agg(F.min_by(F.struct("k", "n"), F.xxhash64("k", "band")).alias("h"))
-    met = left.join(heads, "band").where("k != h.k").where(_sized("n", "h.n"))
+    prints = ", ".join(f"{x} long" for x in _PRINT)
+    sketch = cut(_rows(docs).mapInArrow(tidy(_sketch_batches), f"doc_id long, t long, k long, n long, {prints}"))
+    nodes = cut(sketch.groupBy("k").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", *_PRINT)).alias("p")).select("k", "least", "p.*"))
+    left = cut(candidates(nodes).select(F.col("node").alias("k"), F.col("root").alias("c")).join(nodes.select("k", "n"), "k"))
+    heads = left.groupBy("c").agg(*[F.min_by(F.struct("k", "n"), F.xxhash64("k", F.lit(i))).alias(f"h{i}") for i in range(HEADS)])
+    heads = cut(heads.select("c", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("h")))
+    met = left.join(small_side(heads), "c").where("k != h.k").where(_sized("n", "h.n"))
     links = cut(near_pairs(docs, cut(met.select(F.least("k", "h.k").alias("a"), F.greatest("k", "h.k").alias("b")).distinct()), nodes))
     roots = cut(connected(links))
     left = left.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    parted = left.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("band")
-    left = cut(left.join(parted, "band"))
+    parted = left.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("c")
+    left = cut(left.join(small_side(cut(parted)), "c"))
     weight = F.greatest(F.lit(1), F.ceil(F.col("n") / SHINGLES))
-    deals = dealt(left, "band", "k", part, weight).select("deal", "k", "root")
+    deals = dealt(left, "c", "k", part, weight).select("deal", "k", "root")
     rows = deals.join(_sets_of(docs, left.select("k").distinct().join(nodes, "k")), "k").select("deal", "k", "root", "s")
     more = rows.repartition("deal").sortWithinPartitions("deal").mapInArrow(tidy(_part_links), "a long, b long")
     return sketch.select("doc_id", "t", "k"), cut(connected(cut(links.union(more))))

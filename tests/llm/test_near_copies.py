@@ -107,3 +107,50 @@ def test_set_links_against_all_pairs():
     pairs = [(i, j) for i in range(len(k)) for j in range(i) if similar(sets[i], sets[j])]
     want = near_copies.components(len(k), *np.array(pairs).T)
     assert got.tolist() == want.tolist() and len(set(want.tolist())) < len(k)
+
+
+def test_fingerprints_against_a_plain_count():
+    """A bit is 1 if over half of a set's hashes have it; sets of one shingle, of hundreds beyond a counter's 255, of an even number, and none."""
+    r = np.random.default_rng(3)
+    sizes = [1, 0, 2, 3, 700, 0, 254, 255, 256, 4, 40000, 1]
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    h = r.integers(0, 1 << 64, bounds[-1], np.uint64)
+    got = near_copies.fingerprints(h, bounds)
+    assert got.shape == (len(sizes), near_copies.BITS // 64)
+    for i in (i for i, n in enumerate(sizes) if n):
+        votes = np.zeros(near_copies.BITS, int)
+        for j, seed in enumerate(near_copies._SEEDS):
+            x = (h[bounds[i] : bounds[i + 1]] ^ seed) * near_copies._M
+            x = (x ^ (x >> np.uint64(32))) * near_copies._M
+            x ^= x >> np.uint64(29)
+            votes[64 * j : 64 * j + 64] = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=int)
+        want = (2 * votes > sizes[i]) | ((2 * votes == sizes[i]) & (near_copies._TIES == 1))
+        assert (np.unpackbits(got[i].view(np.uint8)).astype(bool) == want).all()
+
+
+def test_candidates_come_from_fingerprints(spark):
+    """Over many shards, and with shards that are dealt out, every pair of sets at 0.8 or more is in one component of fingerprints, and unlike ones are not."""
+    r = random.Random(8)
+    sets, base = [], []
+    for i in range(300):
+        own = [r.randrange(1 << 62) for _ in range(r.choice([4, 8, 40, 90, 400]))]
+        for _ in range(3):
+            n = r.randint(0, len(own) // 9)  # so many of each are changed: 0.8 or more between any two, or a little less
+            sets.append(own[: len(own) - n] + [r.randrange(1 << 62) for _ in range(n)])
+            base.append(i)
+    n = np.array([len(x) for x in sets])
+    f = near_copies.fingerprints(np.array([x for s in sets for x in s], np.uint64), np.concatenate([[0], np.cumsum(n)])).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(i, int(n[i]), *f[i]) for i in range(len(sets))], f"k long, n long, {', '.join(f'{x} long' for x in near_copies._PRINT)}")
+    assert near_copies.layout(len(sets), 16)[0] == 6
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if base[i] == base[j] and similar(set(sets[i]), set(sets[j]))]
+    assert len(pairs) > 500
+    for most in (10, 4096):
+        root = {x.node: x.root for x in near_copies.candidates(nodes, 16, most).collect()}
+        assert all(root[i] == root[j] for i, j in pairs)
+        assert all(base[i] == base[j] for i, j in root.items())
+
+
+def test_share_of_pairs_that_may_be_missed():
+    for n in (0, 1, 128, 129, 10_000, 200_000, 10_000_000):
+        bits, draws = near_copies.layout(n)
+        assert near_copies.missed(bits, draws) <= near_copies.MISSED and n <= near_copies.SHARD << bits
