@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, pieces, quoted, small_side, texts, tidy
+from .common import cut, few_files, fresh, pieces, quoted, small_side, texts, tidy
 from .simhash import TREE, BKTree, components, connected, dealt, grouped, shingles
 
 WORDS = 5
@@ -325,4 +325,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if twins.head(1):
         again = left.join(named(twins), [key, print_], "left_semi").dropDuplicates([key, print_])
         left = left.join(named(twins), [key, print_], "left_anti").unionByName(again)
-    return left.select(*quoted(docs.columns))
+    return few_files(left.select(*quoted(docs.columns)))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from factmill.llm import near_copies
+from factmill.llm import common, near_copies
 
 
 def plain_set(text):
@@ -154,3 +154,10 @@ def test_share_of_pairs_that_may_be_missed():
     for n in (0, 1, 128, 129, 10_000, 200_000, 10_000_000):
         bits, draws = near_copies.layout(n)
         assert near_copies.missed(bits, draws) <= near_copies.MISSED and n <= near_copies.SHARD << bits
+
+
+def test_files_do_not_grow_with_the_input(spark, tmp_path):
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('text ', id % 400) AS text").repartition(300, "doc_id")
+    near_copies.one_of_each(docs).write.parquet(f"{tmp_path}/kept")
+    assert 0 < len(list((tmp_path / "kept").glob("part-*"))) <= common.WAVES * spark.sparkContext.defaultParallelism < 250
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == list(range(400))
