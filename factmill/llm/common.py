@@ -59,13 +59,13 @@ def stored(df: DataFrame, what: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in WAVES partitions for each core at most, without a shuffle.
+def few_files(df: DataFrame, waves: int = WAVES) -> DataFrame:
+    """df in so many partitions for each core at most, without a shuffle.
 
     On a local disk Hadoop starts a process for each file that it makes (chmod), and until that has begun it is a second executor to
     who measures, with all memory of the first. So files should not grow in number with the input.
     """
-    return df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(waves * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def small_side(df: DataFrame) -> DataFrame:

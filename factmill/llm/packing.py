@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_UNITS
-from .common import scratch, stored, tidy
-from .token_files import Shard, open_token_files, with_global_start, write_token_files
+from .common import few_files, scratch, tidy
+from .token_files import WAVES, Shard, open_token_files, with_global_start, write_token_files
 
 WINDOW = 2048
+#: Ids after which a shard is closed: of 512 KB, since the JVM and Arrow handle each shard as one value, at several places at once.
+SHARD_TOKENS = 1 << 18
 _PIECE = "struct<doc_id:bigint,start:bigint,length:bigint,ids_crc32:bigint,doc_tokens:bigint,offset:bigint>"
 
 
@@ -33,17 +35,27 @@ def _shards(batches):
             yield before.as_py() + start.as_py(), Shard.open(payload.as_buffer())
 
 
-def _windows(window: int, with_ids: bool, batches):
-    """A record for each window of each shard, whole or in part; its pieces, and its ids if asked for."""
+def _windows(window: int, with_ids: bool, batches, whole: bool | None = None):
+    """A record for each window of each shard, whole or in part; its pieces, and its ids if asked for. whole: only those that are, or are not."""
     for base, shard in _shards(batches):
         ids = shard.ids.astype("<u4")
         data = memoryview(ids).cast("B")
         held, end = None, base  # pieces of the last window so far, which may go on in the next block
+        inner, outer = -(-base // window), (base + len(ids)) // window  # the whole windows are those from inner to before outer
         for keys, starts, ends in shard.documents():
             lo, hi = base + starts, base + ends
+            if whole is not None:
+                inside, outside = (lo < outer * window) & (hi > inner * window), (lo < inner * window) | (hi > outer * window)
+                some = np.flatnonzero(inside if whole else outside)
+                keys, lo, hi = keys.take(pa.array(some)), lo[some], hi[some]
             n = (hi - 1) // window - lo // window + 1  # pieces of each document
-            doc = np.repeat(np.arange(len(ends)), n)
+            doc = np.repeat(np.arange(len(n)), n)
             sequence = lo[doc] // window + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            if whole is not None:
+                some = np.flatnonzero(((sequence >= inner) & (sequence < outer)) == whole)
+                doc, sequence = doc[some], sequence[some]
+                if not len(doc):
+                    continue
             begin = np.maximum(lo[doc], sequence * window)
             stop = np.minimum(hi[doc], (sequence + 1) * window)
             crc = np.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((begin - base).tolist(), (stop - base).tolist(), strict=True)], np.int64)
@@ -78,22 +90,22 @@ def _records(window: int, base: int, begin: int, pieces: pa.StructArray, sequenc
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = 1, vocabulary: str | None = None, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Encodes docs into a shard table at path; one row for each piece."""
-    write_token_files(docs, path, vocabulary, end, cache_units=cache_units)
+    write_token_files(docs, path, vocabulary, end, SHARD_TOKENS, cache_units)
     return packed_pieces(docs.sparkSession, path, window)
 
 
 def packed_sequences(spark: SparkSession, path: str, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """sequence_id, length, pieces and, if asked for, ids (little-endian unsigned 32-bit): the sequences themselves, the last one short.
 
-    The cut windows are stored, so that picking the whole ones and joining the boundary records (two of a shard at most) cut no shard twice.
+    The shards are read once for the whole windows and once for the boundary records (two of a shard at most), whose other windows are not cut.
     """
-    shards = with_global_start(open_token_files(spark, path)).select("before", "start", "payload")
+    shards = few_files(with_global_start(open_token_files(spark, path)).select("before", "start", "payload"), WAVES)
     schema = f"sequence_id long, offset long, length long, pieces array<{_PIECE}>" + ", ids binary" * with_ids
-    cut = stored(shards.mapInArrow(tidy(partial(_windows, window, with_ids)), schema), "windows")
+    inner, edges = (shards.mapInArrow(tidy(partial(_windows, window, with_ids, whole=x)), schema) for x in (True, False))
     own = [F.col("ids")] if with_ids else []
-    whole = cut.where(F.col("length") == window).select("sequence_id", "length", "pieces", *own)
+    whole = inner.select("sequence_id", "length", "pieces", *own)
     records = F.sort_array(F.collect_list(F.struct("offset", "pieces", *own)))
-    edge = cut.where(F.col("length") < window).groupBy("sequence_id").agg(F.sum("length").alias("length"), records.alias("r"))
+    edge = edges.groupBy("sequence_id").agg(F.sum("length").alias("length"), records.alias("r"))
     joined = [F.aggregate(F.col("r.ids"), F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids")] if with_ids else []
     return whole.unionByName(edge.select("sequence_id", "length", F.flatten("r.pieces").alias("pieces"), *joined))
 
@@ -101,7 +113,7 @@ def packed_sequences(spark: SparkSession, path: str, window: int = WINDOW, with_
 def packed_pieces(spark: SparkSession, path: str, window: int = WINDOW) -> DataFrame:
     """A row for each piece of the sequences."""
     rows = packed_sequences(spark, path, window, with_ids=False).select("sequence_id", F.explode("pieces").alias("p"))
-    return rows.select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", "sequence_id", "p.offset")
+    return few_files(rows.select("p.doc_id", "p.start", "p.length", "p.ids_crc32", "p.doc_tokens", "sequence_id", "p.offset"), WAVES)
 
 
 def op8_packing(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -27,13 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import BROADCAST_ROWS, pieces, scratch, tidy
+from .common import BROADCAST_ROWS, few_files, pieces, scratch, tidy
 from .elias_fano import EliasFano
 
 #: Ids after which a shard is closed.
 SHARD_TOKENS = 2 << 20
 #: Documents whose boundaries are selected at once.
 BLOCK_DOCS = 4096
+#: Tasks that a core gets at most: each makes a file of shards.
+WAVES = 4
+#: Ids hardly compress, and Parquet's codecs keep direct buffers of a page's size for each core. It looks at a page's size after 100 rows
+#: unless told so: pages of 100 shards would stand in memory.
+_PLAIN = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1"}
 _HEAD = struct.Struct("<4sBBHQQQq")
 _SHARDS = "part int, seq int, start long, n_docs long, n_tokens long, payload binary"
 
@@ -82,11 +87,18 @@ class Shard:
             yield pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(known, pa.int64())]), starts, ends
 
 
-def _encode(vocabulary: str, end: int, shard_tokens: int, cache_units: int, batches):
-    from pyspark import TaskContext
+def _runs(batch: pa.RecordBatch):
+    """(part, rows) of a batch; the rows of a part stand together."""
+    part = np.asarray(batch.column(2))
+    edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]).tolist()
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi > lo:
+            yield int(part[lo]), batch.slice(lo, hi - lo)
+
 
-    part = TaskContext.get().partitionId()
+def _encode(vocabulary: str, end: int, shard_tokens: int, cache_units: int, batches):
     encoder = bpe.encoder(vocabulary, cache_units)
+    part = None
     seq = start = size = 0
     keys, lengths, ids = [], [], []
 
@@ -99,24 +111,32 @@ def _encode(vocabulary: str, end: int, shard_tokens: int, cache_units: int, batc
         return row
 
     for batch in batches:
-        for piece in pieces(batch, "text", min(2 << 20, 4 * shard_tokens)):
-            own, n = encoder.encode(piece.column(1), end)
-            keys += piece.column(0).to_pylist()
-            ids.append(own)
-            lengths.append(n)
-            size += len(own)
-            if size >= shard_tokens:
-                yield closed()
+        for own_part, rows in _runs(batch):
+            if own_part != part:
+                if keys:
+                    yield closed()
+                part, seq, start = own_part, 0, 0
+            for piece in pieces(rows, "text", min(2 << 20, 4 * shard_tokens)):
+                own, n = encoder.encode(piece.column(1), end)
+                keys += piece.column(0).to_pylist()
+                ids.append(own)
+                lengths.append(n)
+                size += len(own)
+                if size >= shard_tokens:
+                    yield closed()
     if keys:
         yield closed()
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end: int = 0, shard_tokens: int = SHARD_TOKENS, cache_units: int = bpe.CACHE_UNITS) -> DataFrame:
-    """Writes the shard table at path and returns it. cache_units: pre-tokens that a worker keeps; fewer need less memory and more time."""
+    """Writes the shard table at path and returns it. cache_units: pre-tokens that a worker keeps; fewer need less memory and more time.
+
+    A task may write several parts one after another, so that files do not grow in number with the parts.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    shards = ordered.mapInArrow(tidy(partial(_encode, vocabulary or bpe.default_vocabulary(), end, shard_tokens, cache_units)), _SHARDS)
-    shards.write.mode("overwrite").parquet(path)
+    shards = few_files(ordered.withColumn("part", F.spark_partition_id()), WAVES).mapInArrow(tidy(partial(_encode, vocabulary or bpe.default_vocabulary(), end, shard_tokens, cache_units)), _SHARDS)
+    shards.write.mode("overwrite").options(**_PLAIN).parquet(path)
     return open_token_files(docs.sparkSession, path)
 
 
@@ -160,7 +180,7 @@ def _documents(batches):
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit)."""
     shards = with_global_start(open_token_files(spark, path)).select("before", "start", "payload")
-    return shards.mapInArrow(tidy(_documents), "doc_id long, start long, n_tokens long, ids binary")
+    return few_files(shards, WAVES).mapInArrow(tidy(_documents), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def export_shards(spark: SparkSession, path: str, folder: str) -> None:
