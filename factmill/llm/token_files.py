@@ -38,7 +38,8 @@ BLOCK_DOCS = 4096
 WAVES = 4
 #: Ids hardly compress, and Parquet's codecs keep direct buffers of a page's size for each core. It looks at a page's size after 100 rows
 #: unless told so: pages of 100 shards would stand in memory.
-_PLAIN = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1"}
+#: Spark's reader holds up to 4,096 rows of a row group at once, so a group has a few shards only.
+_PLAIN = {"compression": "uncompressed", "parquet.page.size.row.check.min": "1", "parquet.block.row.count.limit": "4"}
 _HEAD = struct.Struct("<4sBBHQQQq")
 _SHARDS = "part int, seq int, start long, n_docs long, n_tokens long, payload binary"
 

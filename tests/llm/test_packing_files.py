@@ -48,11 +48,15 @@ def test_shards_are_stored_in_small_plain_pages(spark, tmp_path):
     """Codecs keep direct buffers of a page's size, and a page would take all shards of a task."""
     path = str(tmp_path / "s")
     docs = spark.createDataFrame([(i, f"{i} some words " * 4000) for i in range(40)], "doc_id long, text string").coalesce(1)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     token_files.write_token_files(docs, path, shard_tokens=1 << 14)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     for f in glob.glob(f"{path}/part-*.parquet"):
         meta = pq.ParquetFile(f).metadata
         if meta.num_rows:
             assert {meta.row_group(g).column(c).compression for g in range(meta.num_row_groups) for c in range(meta.num_columns)} == {"UNCOMPRESSED"}
+            assert meta.num_rows > 8 and max(meta.row_group(g).num_rows for g in range(meta.num_row_groups)) <= 4
 
 
 def test_a_window_over_several_shards(spark, tmp_path):
