@@ -37,12 +37,16 @@ GAP = 1024
 SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 4 << 20
 #: Shards of a row group of the stored index: a reader holds a row group at once.
-GROUP = 4
+GROUP = 1
+#: Positions hardly compress, and codecs and dictionaries hold copies of a page's values for each core.
+_PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.block.row.count.limit": str(GROUP)}
+#: Tasks that a core gets at most in writing the index and in looking it up: each makes a file.
+WAVES = 4
 #: (phrase, position) candidates that are intersected at once.
 CANDIDATES = 1 << 20
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD_BYTES else 32 for b in range(256))
-_INDEX = "rows array<long>, doc_ids array<long>, prints array<long>, n_words array<long>, terms array<binary>, counts array<long>, positions binary"
+_INDEX = "rows array<long>, doc_ids array<long>, prints array<long>, n_words array<long>, terms binary, lengths binary, counts binary, positions binary"
 _SPAN = StructType([StructField("start", LongType()), StructField("stop", LongType())])
 _MATCHES = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("items", ArrayType(StringType())), StructField("spans", ArrayType(_SPAN)), StructField("row", LongType()), StructField("print", LongType())])
 
@@ -69,6 +73,16 @@ def split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found, np.diff(np.searchsorted(first, bounds))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on as one value, of as few bytes each as the largest needs: Spark makes an object of each item of an array."""
+    width = next(w for w in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) >> 8 * w == 0)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 @dataclass
 class Phrases:
     """Distinct word windows of a block of items, and which items have them."""
@@ -130,18 +144,19 @@ class Shard:
         return cls(list(rows), list(doc_ids), list(prints), n, starts, terms, bounds, place[by])
 
     def stored(self) -> pa.RecordBatch:
-        wide = bool(len(self.positions)) and int(self.positions.max()) >= 1 << 32
         lists = [pa.array([x], pa.list_(pa.int64())) for x in (self.rows, self.doc_ids, self.prints, self.n_words.tolist())]
-        return pa.record_batch([*lists, pa.ListArray.from_arrays(pa.array([0, len(self.terms)], pa.int32()), self.terms), pa.array([np.diff(self.bounds).tolist()], pa.list_(pa.int64())), pa.array([self.positions.astype("<i8" if wide else "<u4").tobytes()], pa.binary())], names=["rows", "doc_ids", "prints", "n_words", "terms", "counts", "positions"])
+        data, ends = strings(self.terms)
+        parts = (data.tobytes(), _packed(np.diff(ends)), _packed(np.diff(self.bounds)), _packed(self.positions))
+        return pa.record_batch([*lists, *(pa.array([x], pa.binary()) for x in parts)], names=["rows", "doc_ids", "prints", "n_words", "terms", "lengths", "counts", "positions"])
 
     @classmethod
     def opened(cls, batch: pa.RecordBatch, i: int) -> Shard:
         at = lambda name: batch.column(batch.schema.get_field_index(name))[i]
         n = np.array(at("n_words").as_py(), np.int64)
-        bounds = np.concatenate([[0], np.cumsum(at("counts").values.to_numpy())]).astype(np.int64)
-        raw = at("positions").as_buffer()
-        positions = np.frombuffer(raw, "<u4" if len(raw) < 8 * int(bounds[-1]) else "<i8").astype(np.int64)
-        return cls(at("rows").as_py(), at("doc_ids").as_py(), at("prints").as_py(), n, np.cumsum(n + GAP) - n - GAP, at("terms").values, bounds, positions)
+        lengths, counts, positions = (_unpacked(at(x).as_buffer()) for x in ("lengths", "counts", "positions"))
+        ends, bounds = (np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in (lengths, counts))
+        terms = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), at("terms").as_buffer()])
+        return cls(at("rows").as_py(), at("doc_ids").as_py(), at("prints").as_py(), n, np.cumsum(n + GAP) - n - GAP, terms, bounds, positions)
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.bounds[term] : self.bounds[term + 1]] if term >= 0 else self.positions[:0]
@@ -314,12 +329,12 @@ def index_matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop
                 yield from _matched(Shard.opened(batch, i), phrases.value, slop)
 
     sc = index.sparkSession.sparkContext
-    return _united([index.mapInArrow(tidy(partial(go, sc.broadcast(p))), _MATCHES) for p in _blocks(items, window, block_bytes)])
+    return _united([few_files(index.mapInArrow(tidy(partial(go, sc.broadcast(p))), _MATCHES), WAVES) for p in _blocks(items, window, block_bytes)])
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """index_matches() over an index of docs that is stored for it."""
-    index = stored(few_files(build_index(docs)), "index", **{"parquet.block.row.count.limit": GROUP})
+    index = stored(few_files(build_index(docs), WAVES), "index", **_PLAIN)
     return index_matches(index, items, window, slop, block_bytes)
 
 
