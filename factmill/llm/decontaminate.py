@@ -38,8 +38,9 @@ SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 4 << 20
 #: Shards of a row group of the stored index: a reader holds a row group at once.
 GROUP = 1
-#: Positions hardly compress, and codecs and dictionaries hold copies of a page's values for each core.
-_PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.block.row.count.limit": str(GROUP)}
+#: Positions hardly compress, and codecs and dictionaries hold copies of a page's values for each core. Statistics would be worse: a writer keeps
+#: the least and the greatest value of each row group, here whole shards, until its file ends.
+_PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false", "parquet.page.size.row.check.min": "1", "parquet.block.row.count.limit": str(GROUP)}
 #: Tasks that a core gets at most in writing the index and in looking it up: each makes a file.
 WAVES = 4
 #: (phrase, position) candidates that are intersected at once.

@@ -52,3 +52,4 @@ def test_the_executor_gets_no_value_for_each_term_and_few_tasks(spark):
     columns = [g.column(c) for g in groups for c in range(g.num_columns)]
     assert {c.compression for c in columns} == {"UNCOMPRESSED"} and not any(c.has_dictionary_page for c in columns)
     assert max(c.num_values for c in columns) < 100
+    assert not any(c.is_stats_set for c in columns)  # a writer would hold a shard's values until its file ends
